@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
-from plumbline.llm import quality
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from plumbline.llm import idfiles, packing, quality, simhash
 from plumbline.llm.common import table
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, keep_ids=False).drop("ids")
+
+
+def op10_token_ids(spark, sf_dir):
+    return idfiles.round_trip(spark, table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
+def op9_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_simhash": op9_simhash,
+    "op10_token_ids": op10_token_ids,
+}
 
 #: DuckDB forms of those that SQL can express.
 ORACLES: dict[str, str] = {}
