@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import idfiles, packing, quality, simhash
+from plumbline.llm import decontaminate, idfiles, packing, quality, simhash, tokencount
 from plumbline.llm.common import table
 
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -16,6 +17,14 @@ def op1_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, keep_ids=False).drop("ids")
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def op10_token_ids(spark, sf_dir):
     return idfiles.round_trip(spark, table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -32,6 +41,8 @@ def op9_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
+    "op3_token_counts": op3_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_token_ids": op10_token_ids,
