@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, idfiles, packing, quality, simhash, tokencount
+from plumbline.llm import decontaminate, idfiles, packing, quality, simhash, tokencount, warc
 from plumbline.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op3_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op4_warc(spark, sf_dir):
+    captures = warc.capture_index(spark, table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+
+
 def op10_token_ids(spark, sf_dir):
     return idfiles.round_trip(spark, table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_token_ids": op10_token_ids,
