@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import ctw, decontaminate, idfiles, packing, quality, simhash, tokencount, warc
+from plumbline.llm import ctw, decontaminate, idfiles, packing, quality, simhash, tokencount, urlfilter, warc
 from plumbline.llm.common import table
 
 
@@ -34,6 +34,19 @@ def op6_lm_scores(spark, sf_dir):
     return ctw.train_and_score(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op8_url_filters(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op10_token_ids(spark, sf_dir):
     return idfiles.round_trip(spark, table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -55,6 +68,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op6_lm_scores": op6_lm_scores,
     "op7_quality_rules": op7_quality_rules,
+    "op8_url_filters": op8_url_filters,
     "op9_simhash": op9_simhash,
     "op10_token_ids": op10_token_ids,
 }
