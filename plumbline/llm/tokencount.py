@@ -10,7 +10,7 @@ tokens between its splices. Where neighbours share none, the document is encoded
 with overlaps widened fourfold, and at last as one chunk.
 
 Shorter documents are one chunk each. Their words, cut at stable positions before spaces,
-are encoded by the library once and counted from a memo.
+are encoded by the library and counted from a bounded memo.
 
 Defined cases: null and empty texts have no bytes and no tokens; a text without any
 stable position is encoded whole; rows that agree in doc_id and text are counted once
@@ -31,12 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from plumbline.llm.common import materialize, row_key
+from plumbline.llm.memo import Memo
 
 CHUNK = 1 << 15
 OVERLAP = 256
 LIMIT = 4096
-#: Words kept in the memo of one Python worker.
-MEMO_WORDS = 1 << 18
 
 _SPACE = "▁"
 _CUT = re.compile("(?<=[^ ]) ")
@@ -56,7 +55,7 @@ class Counter:
             self.library.normalize(x) == _SPACE + x.replace(" ", _SPACE) for x in ("a  b ", "ﬁ", "　é", "A\n\tb", "Ａ")
         )
         size = lambda x: len(self.library.encode(x))
-        self.memo, self.last_space = {}, size("a ") - size("a")
+        self.memo, self.last_space = Memo(size), size("a ") - size("a")
 
     def stable(self, text: str, at: int) -> bool:
         return 0 < at < len(text) and text[at - 1 : at + 1].replace(" ", _SPACE) not in self.pairs
@@ -71,12 +70,7 @@ class Counter:
         if len(words) > 1 and not words[-1]:
             words.pop()
             extra = self.last_space
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        if missing := [w for w in set(words) if w not in memo]:
-            memo.update(zip(missing, map(len, self.library.encode(missing, num_threads=1))))
-        return sum(map(memo.__getitem__, words)) + extra
+        return sum(map(self.memo.__getitem__, words)) + extra
 
     def boundaries(self, text: str) -> list[int]:
         """The character at which each token begins; the library's own offsets count bytes."""
