@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import ctw, decontaminate, idfiles, packing, quality, simhash, tokencount, urlfilter, warc
+from plumbline.llm import ctw, decontaminate, idfiles, linededup, packing, quality, simhash, tokencount, urlfilter, warc
 from plumbline.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_warc(spark, sf_dir):
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
 
 
+def op5_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def op6_lm_scores(spark, sf_dir):
     return ctw.train_and_score(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
+    "op5_line_dedup": op5_line_dedup,
     "op6_lm_scores": op6_lm_scores,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
