@@ -33,7 +33,7 @@ from plumbline.llm.common import materialize
 
 GRAM, WINDOW, REACH = 2, 3, 6
 LINE_WORDS, MIN_WORDS = 10, 10
-LONG, CUT_SHARE = 32, 8
+LONG, CUT_SHARE = 12, 6
 
 _END = re.compile("[.!?](?=[ \t\n\r\f\v])|\n")
 _WORD = re.compile(r"\S+")
