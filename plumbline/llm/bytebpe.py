@@ -1,8 +1,8 @@
 """Ids of byte-level BPE vocabularies, by the tokenizers library with a memo of words.
 
 The vocabulary's own pre-tokenizer cuts a text into words before any merge, and each
-word's ids depend on that word alone. So the library encodes each distinct word once,
-in batches, and a text is the joined ids of its words. The word pattern is written out
+word's ids depend on that word alone. So the library's model encodes each word of a
+bounded memo once, and a text is the joined ids of its words. The word pattern is written out
 for the code points of RANGES, whose classes have long been fixed; a text with any other
 character, or with an added token's string, goes to the library whole.
 """
@@ -14,10 +14,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+from plumbline.llm.memo import Memo
+
 #: Code points whose letter, number and space classes the word pattern spells out.
 RANGES = (range(0x0530), range(0x2000, 0x2070))
-#: Words kept in the memo of one Python worker.
-MEMO_WORDS = 1 << 18
 #: Characters after which a long text is cut at the next space between two ASCII letters.
 PART_CHARS = 1 << 18
 
@@ -54,25 +54,29 @@ class Encoder:
         added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         outside = "".join(f"\\u{r.start:04x}-\\u{r.stop - 1:04x}" for r in RANGES)
         self.whole = re.compile("|".join([*map(re.escape, added), f"[^{outside}]"]))
-        self.find, self.memo = word_pattern().findall, {}
+        self.find, self.memo, self.tokens = word_pattern().findall, Memo(self._word), self.library.model.tokenize
+        self.shown = _shown_bytes()
 
     def encode(self, text: str) -> bytes:
         if self.whole.search(text):
             return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self._part, _parts(text)))
+        ids = self.memo.__getitem__
+        return b"".join([b"".join(map(ids, self.find(part))) for part in _parts(text)])
 
-    def _part(self, text: str) -> bytes:
-        words, memo = self.find(text), self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        if missing := [w for w in set(words) if w not in memo]:
-            for w, e in zip(missing, self.library.encode_batch(missing, add_special_tokens=False)):
-                memo[w] = self._bytes(e.ids)
-        return b"".join(map(memo.__getitem__, words))
+    def _word(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.shown)
+        return self._bytes([t.id for t in self.tokens(shown)])
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
+def _shown_bytes() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in prints)
+    return {b: 256 + k for k, b in enumerate(rest)}
 
 
 def _parts(text: str) -> Iterator[str]:
