@@ -125,7 +125,7 @@ def test_budgeted_selection_skips_and_goes_on():
 
 def test_strides():
     rows = pd.DataFrame({"idx": [0, 1, 2], "n": [800, 800, 800], "distance": [1.0, 2.0, 3.0]})
-    assert selection.strides_within_budget(rows, 1200)["stride"].tolist() == [1, 4, 8]
+    assert selection.strides_within_budget(rows, 1200)["stride"].tolist() == [1, 4, 4]
     assert selection.strides_within_budget(rows, 100)["stride"].tolist() == [8, 8, 8]
 
 
