@@ -101,7 +101,7 @@ def test_explicit_rules(spark):
 def test_mined_rules(spark):
     rows = [(i, f"http://s{i % 5}.net/{'casino' if i % 4 == 0 else 'news'}/{'x' if i % 8 < 4 else 'y'}/{i}") for i in range(80)] + [(90, "http://q.net/casino/z"), (91, "http://q.net/y/new")]
     df = spark.createDataFrame(rows, "page_id long, url string")
-    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(80)] + [(90, None, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(80)] + [(91, None, None)], "doc_id long, quality int, toxic int")
     bad = {r.page_id for r in urlfilter.judge(df, labels, [], 0.05, 0.8).collect() if r.verdict == "block"}
     assert bad == {i for i in range(80) if i % 4 == 0} | {90}
     told = df.join(labels.withColumnRenamed("doc_id", "page_id"), "page_id").select(urlfilter.tokens(F.col("url")).alias("tokens"), (F.col("quality") == 0).alias("bad"))
