@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import curves
 from plumbline.sources.tables import materialize
 
 TOLERANCE = 0.1
@@ -113,6 +114,14 @@ def _shape(kind: str, g: list[tuple[int, str]]) -> tuple[list[tuple[float, float
         for a, b in zip(ends, ends[1:] + ends[:1] * closed):
             out += bulge((a[0], a[1]), (b[0], b[1]), a[2])
         return [(x, y, z) for x, y in (out[:-1] if closed else out)], closed
+    if kind == "ELLIPSE":
+        start, end = _number(g, 41), _number(g, 42, 2 * math.pi)
+        pts = curves.ellipse((_number(g, 10), _number(g, 20)), (_number(g, 11), _number(g, 21)), _number(g, 40, 1.0), start, end, TOLERANCE)
+        return [(x, y, _number(g, 30)) for x, y in pts], abs(end - start - 2 * math.pi) < 1e-9
+    if kind == "SPLINE":
+        every = lambda code: [float(v) for c, v in g if c == code]
+        control = list(zip(every(10), every(20), every(30)))
+        return (curves.spline(control, int(_number(g, 71, 3)), every(40), every(41)), bool(int(_number(g, 70)) & 1)) if control else None
     if kind == "3DFACE":
         return [(_number(g, 10 + k), _number(g, 20 + k), _number(g, 30 + k)) for k in range(4)], True
     return None

@@ -6,7 +6,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.sources import dxf, landxml, las, worldfile, wpi
+from plumbline.functions import curves
+from plumbline.sources import dxf, landxml, las, project, worldfile, wpi
 
 
 def las_file(path, n, fmt=7, cut=0, vlr=None):
@@ -146,3 +147,35 @@ def test_world_files(spark):
     rows = [("0.5\n0\n0\n-0.5\n100\n200\n",), ("1\n2\n3",), ("a\n0\n0\n1\n1\n1",), (None,)]
     out = [r.w for r in spark.createDataFrame(rows, "t string").select(worldfile.world_file(F.col("t")).alias("w")).collect()]
     assert (out[0].dx, out[0].dy, out[0].x) == (0.5, -0.5, 100.0) and out[1:] == [None, None, None]
+
+
+def test_curves(spark):
+    pts = curves.ellipse((1.0, 2.0), (3.0, 0.0), 0.5, 0.0, 2 * math.pi)
+    assert all(math.isclose(((x - 1) / 3) ** 2 + ((y - 2) / 1.5) ** 2, 1.0) for x, y in pts)
+    line = curves.spline([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (3.0, 3.0)], 3, [0, 0, 0, 0, 1, 1, 1, 1], samples=8)
+    assert len(line) == 9 and all(math.isclose(x, y, abs_tol=1e-12) for x, y in line) and math.isclose(line[4][0], 1.5)
+    assert curves.spline([(0.0, 0.0)], 3, [0, 1]) == [(0.0, 0.0)]
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    half = curves.clip_ring([(-1.0, 0.0), (0.5, 0.0), (0.5, 1.0), (-1.0, 1.0)], square)
+    assert math.isclose(abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(half, half[1:] + half[:1]))) / 2, 0.5)
+    rows = spark.createDataFrame([(0.2, 0.2, 0.8, 0.8), (-1.0, 0.5, 2.0, 0.5), (-1.0, 2.0, 2.0, 2.0)], "a double, b double, c double, d double")
+    out = [r.s for r in rows.select(curves.clip_segment(*[F.col(c) for c in "abcd"], square).alias("s")).collect()]
+    assert tuple(out[0]) == (0.2, 0.2, 0.8, 0.8) and out[2] is None
+    assert math.isclose(out[1].x0, 0.0, abs_tol=1e-12) and math.isclose(out[1].x1, 1.0)
+
+
+def test_project_files(spark, tmp_path):
+    folder = str(tmp_path)
+    assert project.clean(folder)
+    manifest = {"assets": [{"id": "a", "kind": "point-cloud"}, {"id": "a", "kind": "surface"}], "features": [{"id": "f", "simulationId": "s"}, {"id": "g", "simulationId": "t"}],
+                "exclusionZones": [{"id": "z", "simulationId": "s", "featureId": "nope"}]}
+    project.save(folder, manifest)
+    assert project.save(folder, manifest)["modifiedAt"] and project.clean(folder) and (tmp_path / project.BACKUP).exists()
+    with open(tmp_path / project.JOURNAL, "a") as f:
+        f.write("{")
+    assert not project.clean(folder)
+    with pytest.raises(ValueError):
+        project.inside(folder, "../x")
+    assert project.unique_name("a.las", {"a.las", "a-2.las"}) == "a-3.las"
+    found = project.issues(project.lists(spark, f"{folder}/{project.MANIFEST}"), "s")
+    assert sorted(tuple(r) for r in found.collect()) == [("other-simulation", "features", "g"), ("repeated-id", "assets", "a"), ("unknown-feature", "exclusionZones", "z")]
