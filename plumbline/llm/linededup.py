@@ -6,10 +6,11 @@ stand. Hashes of GRAM consecutive units are winnowed: of every WINDOW consecutiv
 least is a fingerprint, which guarantees one to every run of WINDOW + GRAM - 1 units. Each
 whole line of LINE_WORDS words or more is a fingerprint, too.
 
-Fingerprints are joined by hash to their first occurrence in the order of (doc_id, text hash,
+Fingerprints are joined by hash to their first occurrence in the order of (doc_id, row hash,
 position), never among themselves. From there a match is extended both ways, unit by unit,
-up to REACH units: a longer run has its next fingerprint within that reach. Runs in one document are
-merged, and those of MIN_WORDS words or more are deleted. First occurrences stay.
+up to REACH units: the last fingerprint of a run has at most WINDOW - 1 of its units beside it.
+Runs in one document are merged, and those of MIN_WORDS words or more are deleted. First
+occurrences stay.
 
 Defined cases: null texts stay null; texts without words are left as they are; a text all of
 whose units come earlier becomes empty; repeats within one text go, too; rows that agree in doc_id
@@ -29,16 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from plumbline.llm.common import materialize
+from plumbline.llm.common import materialize, release
 
-GRAM, WINDOW, REACH = 2, 3, 6
+GRAM, WINDOW, REACH = 2, 4, 3
 LINE_WORDS, MIN_WORDS = 10, 10
 LONG, CUT_SHARE = 12, 6
+#: Stands for a null doc_id, which comes first.
+NO_ID = -(1 << 63)
 
 _END = re.compile("[.!?](?=[ \t\n\r\f\v])|\n")
 _WORD = re.compile(r"\S+")
 
-UNITS = "__key long, id long, th long, units array<long>, fp array<long>, pos array<int>, len array<int>"
+UNITS = "__key long, id long, units array<long>, fp array<long>, pos array<int>, len array<int>"
 
 
 def units(text: str) -> tuple[list[int], np.ndarray, list[int], list[bool]]:
@@ -113,9 +116,9 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             _, hashes, sizes, breaks = units(text or "")
             rows.append((hashes.view(np.int64), *fingerprints(hashes, sizes, breaks)))
         out = pd.DataFrame(rows, columns=["units", "fp", "pos", "len"])
-        for c in ("__key", "id", "th"):
+        for c in ("__key", "id"):
             out[c] = batch[c].astype("Int64").array
-        yield out[["__key", "id", "th", "units", "fp", "pos", "len"]]
+        yield out[["__key", "id", "units", "fp", "pos", "len"]]
 
 
 def _merged(runs, sizes: list[int]) -> list[tuple[int, int]]:
@@ -145,24 +148,18 @@ def _delete(texts: pd.Series, runs: pd.Series) -> pd.Series:
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(__key, runs): of each document with repeats, the ranges a..b of units that came before."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    rows = rows.select(F.xxhash64("id", "th").alias("__key"), "id", "th", "text")
+    rows = rows.select(F.xxhash64("id", "th").alias("__key"), F.coalesce("id", F.lit(NO_ID)).alias("id"), "text")
     table = materialize(rows.mapInPandas(_units, UNITS), "units")
-    found = table.select("__key", "id", "th", F.explode(F.arrays_zip("fp", "pos", "len")).alias("f")).select(
-        F.col("f.fp").alias("fp"), "__key", "id", "th", F.col("f.pos").alias("pos"), F.col("f.len").alias("len")
-    )
-    place = F.struct("id", "th", "pos", F.col("__key").alias("key"), "len")
-    first = found.groupBy("fp").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    first = first.select("fp", F.col("first.key").alias("__key"), F.col("first.pos").alias("fpos"), F.col("first.len").alias("flen"))
-    around = (
-        first.join(table.select("__key", "units"), "__key")
-        .select("fp", F.col("__key").alias("fkey"), "fpos", "flen",
-                F.transform(F.sequence(F.lit(1), F.lit(REACH)), lambda j: F.get("units", F.col("fpos") - j)).alias("left"),
-                F.transform(F.sequence(F.lit(0), F.lit(REACH - 1)), lambda j: F.get("units", F.col("fpos") + F.col("flen") + j)).alias("right"))
-        .dropDuplicates(["fp"])
-    )
-    seeds = found.join(around, "fp").filter("NOT (__key = fkey AND pos = fpos) AND len = flen").select("__key", "pos", "len", "left", "right")
-    own = seeds.join(table.select("__key", "units"), "__key")
+    if not table.groupBy("__key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        table = materialize(table.dropDuplicates(["__key"]), "units")  # equal rows are one document
+    arrays = table.select("__key", "units")
+    repeated = materialize(_repeated(table), "repeated")
+    release(spark)
+    seeds = materialize(_seeds(repeated, arrays), "seeds")
+    release(spark)
+    own = seeds.join(arrays, "__key")
 
     def matched(at, theirs):
         """How many units from at(0) on, one after the other, equal theirs."""
@@ -177,10 +174,37 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return ranges.groupBy("__key").agg(F.collect_set("r").alias("runs"))
 
 
+def _repeated(table: DataFrame) -> DataFrame:
+    """(fp, __key, pos, len, own): the places of fingerprints that occur twice or more.
+
+    own tells the places in documents with the least id. Least ids and counts are added up
+    before the shuffle; places travel once, to be joined with them."""
+    found = table.select("__key", "id", F.explode(F.arrays_zip("fp", "pos", "len")).alias("f")).select(
+        F.col("f.fp").alias("fp"), "__key", "id", F.col("f.pos").alias("pos"), F.col("f.len").alias("len")
+    )
+    least = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1").select("fp", "first_id")
+    return found.join(least, "fp").select("fp", "__key", "pos", "len", (F.col("id") == F.col("first_id")).alias("own"))
+
+
+def _seeds(repeated: DataFrame, arrays: DataFrame) -> DataFrame:
+    """(__key, pos, len, left, right): later places of fingerprints, with the units around the first place."""
+    place = F.min(F.struct(F.col("__key").alias("key"), "pos", "len"))
+    first = repeated.filter("own").groupBy("fp").agg(place.alias("p"))
+    first = first.select("fp", F.col("p.key").alias("__key"), F.col("p.pos").alias("fpos"), F.col("p.len").alias("flen"))
+    around = first.join(arrays, "__key").select(
+        "fp", F.col("__key").alias("fkey"), "fpos", "flen",
+        F.transform(F.sequence(F.lit(1), F.lit(REACH)), lambda j: F.get("units", F.col("fpos") - j)).alias("left"),
+        F.transform(F.sequence(F.lit(0), F.lit(REACH - 1)), lambda j: F.get("units", F.col("fpos") + F.col("flen") + j)).alias("right"),
+    )
+    later = repeated.join(around, "fp").filter("NOT (__key = fkey AND pos = fpos) AND len = flen")
+    return later.select("__key", "pos", "len", "left", "right")
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with later repeated runs deleted from the text; all other columns unchanged."""
     runs = materialize(repeated_runs(docs, doc_id, text), "runs").select(F.col("__key").alias("__run_key"), F.col("runs").alias("__runs"))
     key = F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))
+    release(docs.sparkSession)
     told = docs.withColumn("__run_key", key).join(runs, "__run_key", "left")
     cut = F.pandas_udf(_delete, StringType())(F.col(text), F.col("__runs"))
     return told.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
