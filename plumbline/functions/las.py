@@ -93,7 +93,7 @@ def stride(total: Column, budget: int) -> Column:
 
 def tier_stride(tier: str, depth: Column) -> Column:
     _, least, at_root = TIERS[tier]
-    return F.greatest(F.lit(least), F.shiftright(F.lit(at_root), depth))
+    return F.greatest(F.lit(least), F.call_function("shiftright", F.lit(at_root), depth))
 
 
 def world(grid: Column, scale: float, offset: float = 0.0) -> Column:

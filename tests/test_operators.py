@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from plumbline.functions import las, text
 from plumbline.operators import mesh, octree, points, project, regions, selection
-from plumbline.plans import catalog
+from plumbline.plans import catalog, details  # noqa: F401
 from plumbline.streaming import state
 
 SF = "/root/testdata/sf0.001"
