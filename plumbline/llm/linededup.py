@@ -1,8 +1,7 @@
 """Repeated runs of lines, found by winnowing and deleted where they come again.
 
-A text's lines are cut into units: at sentence ends, and inside units of more than LONG
-words after words that a hash picks, so that equal passages are cut alike wherever they
-stand. Hashes of GRAM consecutive units are winnowed: of every WINDOW consecutive ones the
+A text's lines are cut into units: at sentence ends, and after words that a hash picks, so
+that equal passages are cut alike wherever they stand. Hashes of GRAM consecutive units are winnowed: of every WINDOW consecutive ones the
 least is a fingerprint, which guarantees one to every run of WINDOW + GRAM - 1 units. Each
 whole line of LINE_WORDS words or more is a fingerprint, too.
 
@@ -22,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -31,59 +31,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from plumbline.llm.common import materialize, release
+from plumbline.llm.memo import Memo
 
 GRAM, WINDOW, REACH = 2, 4, 3
 LINE_WORDS, MIN_WORDS = 10, 10
-LONG, CUT_SHARE = 12, 6
+CUT_SHARE = 16
 #: Stands for a null doc_id, which comes first.
 NO_ID = -(1 << 63)
 
-_END = re.compile("[.!?](?=[ \t\n\r\f\v])|\n")
 _WORD = re.compile(r"\S+")
 
 UNITS = "__key long, id long, units array<long>, fp array<long>, pos array<int>, len array<int>"
 
 
-def units(text: str) -> tuple[list[int], np.ndarray, list[int], list[bool]]:
-    """Of each unit: its first character, hash, number of words, and whether it ends a line.
+#: Whether a unit ends after a word, for words met.
+_ends = Memo(lambda word: word[-1] in ".!?" or xxhash.xxh64_intdigest(word) % CUT_SHARE == 0)
+
+
+def _line_units(line: str) -> tuple[list[str], list[int]]:
+    """The words of a line, and the number of words up to the end of each of its units."""
+    words = line.split()
+    ends = [i for i, end in enumerate(map(_ends.__getitem__, words), 1) if end]
+    if words and (not ends or ends[-1] < len(words)):
+        ends.append(len(words))
+    return words, ends
+
+
+def units(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Hashes of a text's units, and (first unit, units) of its lines of LINE_WORDS words or more."""
+    hashes, lines, of = [], [], xxhash.xxh64_intdigest
+    for line in text.split("\n"):
+        words, ends = _line_units(line)
+        if len(words) >= LINE_WORDS:
+            lines.append((len(hashes), len(ends)))
+        hashes += [of(" ".join(words[a:b])) for a, b in zip([0, *ends], ends)]
+    return np.array(hashes, np.uint64), lines
+
+
+def unit_places(text: str) -> tuple[list[int], list[int]]:
+    """The first character and the number of words of each unit.
 
     A unit reaches to the next one's first character; blank stretches belong to the unit before."""
-    starts, hashes, sizes, breaks, of = [], [], [], [], xxhash.xxh64_intdigest
-    at, end = 0, len(text)
-    for stop in [*(m.end() for m in _END.finditer(text)), end]:
-        words = text[at:stop].split()
+    starts, sizes, at = [], [], 0
+    for line in text.split("\n"):
+        words, ends = _line_units(line)
         if words:
-            if len(words) <= LONG:
-                starts.append(at)
-                hashes.append(of(" ".join(words)))
-                sizes.append(len(words))
-                breaks.append(False)
-            else:
-                first, part = at, []
-                for m in _WORD.finditer(text, at, stop):
-                    if not part:
-                        begin = first if not starts or first == at else m.start()
-                    part.append(m[0])
-                    if of(m[0]) % CUT_SHARE == 0 or m.end() == stop:
-                        starts.append(begin)
-                        hashes.append(of(" ".join(part)))
-                        sizes.append(len(part))
-                        breaks.append(False)
-                        first, part = m.end(), []
-                if part:
-                    starts.append(begin)
-                    hashes.append(of(" ".join(part)))
-                    sizes.append(len(part))
-                    breaks.append(False)
-        if breaks and stop and text[stop - 1] == "\n":
-            breaks[-1] = True
-        at = stop
+            lead = len(line) - len(line.lstrip())
+            stops = [lead + e + i for i, e in enumerate(accumulate(map(len, words)))]
+            if stops[-1] != len(line.rstrip()):  # more than one blank between words
+                stops = [m.end() for m in _WORD.finditer(line)]
+            starts += [at, *[at + stops[e - 1] for e in ends[:-1]]]
+            sizes += [b - a for a, b in zip([0, *ends], ends)]
+        at += len(line) + 1
     if starts:
         starts[0] = 0
-    return starts, np.array(hashes, np.uint64), sizes, breaks
+    return starts, sizes
 
 
-def fingerprints(hashes: np.ndarray, sizes: list[int], breaks: list[bool]) -> tuple[list[int], list[int], list[int]]:
+def fingerprints(hashes: np.ndarray, lines: list[tuple[int, int]]) -> tuple[list[int], list[int], list[int]]:
     """(hash, first unit, units) of every fingerprint of a text."""
     fps, pos, length = [], [], []
     n = len(hashes) - GRAM + 1
@@ -96,16 +101,11 @@ def fingerprints(hashes: np.ndarray, sizes: list[int], breaks: list[bool]) -> tu
         rows = np.lib.stride_tricks.sliding_window_view(grams, w)
         chosen = np.unique(np.arange(len(rows)) + (w - 1 - rows[:, ::-1].argmin(axis=1)))
         fps, pos, length = grams[chosen].view(np.int64).tolist(), chosen.tolist(), [GRAM] * len(chosen)
-    first = words = 0
-    for i, (size, last) in enumerate(zip(sizes, breaks)):
-        words += size
-        if last or i + 1 == len(sizes):
-            if words >= LINE_WORDS:
-                line = xxhash.xxh64_intdigest(hashes[first : i + 1].tobytes(), seed=1)
-                fps.append(line - (1 << 64) if line >> 63 else line)
-                pos.append(first)
-                length.append(i + 1 - first)
-            first, words = i + 1, 0
+    for first, number in lines:
+        line = xxhash.xxh64_intdigest(hashes[first : first + number].tobytes(), seed=1)
+        fps.append(line - (1 << 64) if line >> 63 else line)
+        pos.append(first)
+        length.append(number)
     return fps, pos, length
 
 
@@ -113,8 +113,8 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for text in batch["text"]:
-            _, hashes, sizes, breaks = units(text or "")
-            rows.append((hashes.view(np.int64), *fingerprints(hashes, sizes, breaks)))
+            hashes, lines = units(text or "")
+            rows.append((hashes.view(np.int64), *fingerprints(hashes, lines)))
         out = pd.DataFrame(rows, columns=["units", "fp", "pos", "len"])
         for c in ("__key", "id"):
             out[c] = batch[c].astype("Int64").array
@@ -124,7 +124,7 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _merged(runs, sizes: list[int]) -> list[tuple[int, int]]:
     """Runs as disjoint ranges of units in order, without those of too few words."""
     out: list[list[int]] = []
-    for a, b in sorted((int(r["a"]), int(r["b"])) for r in runs):
+    for a, b in sorted(zip(runs[::2], runs[1::2])):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -133,7 +133,7 @@ def _merged(runs, sizes: list[int]) -> list[tuple[int, int]]:
 
 
 def delete_runs(text: str, runs) -> str:
-    starts, _, sizes, _ = units(text)
+    starts, sizes = unit_places(text)
     starts = [*starts, len(text)]
     kept, at = [], 0
     for a, b in _merged(runs, sizes):
@@ -143,11 +143,11 @@ def delete_runs(text: str, runs) -> str:
 
 
 def _delete(texts: pd.Series, runs: pd.Series) -> pd.Series:
-    return pd.Series([t if r is None or t is None else delete_runs(t, r) for t, r in zip(texts, runs)], dtype=object)
+    return pd.Series([None if t is None else delete_runs(t, r.tolist()) for t, r in zip(texts, runs)], dtype=object)
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(__key, runs): of each document with repeats, the ranges a..b of units that came before."""
+    """(__key, runs): of each document with repeats, the ranges of units that came before, as begin, end, begin, end and so on."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     rows = rows.select(F.xxhash64("id", "th").alias("__key"), F.coalesce("id", F.lit(NO_ID)).alias("id"), "text")
@@ -170,8 +170,8 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     before = matched(lambda j: F.get("units", F.col("pos") - 1 - j), F.col("left"))
     after = matched(lambda j: F.get("units", F.col("pos") + F.col("len") + j), F.col("right"))
-    ranges = own.select("__key", F.struct((F.col("pos") - before).alias("a"), (F.col("pos") + F.col("len") + after).alias("b")).alias("r"))
-    return ranges.groupBy("__key").agg(F.collect_set("r").alias("runs"))
+    ranges = own.select("__key", F.array(F.col("pos") - before, F.col("pos") + F.col("len") + after).alias("r"))
+    return ranges.groupBy("__key").agg(F.flatten(F.collect_set("r")).alias("runs"))
 
 
 def _repeated(table: DataFrame) -> DataFrame:
@@ -205,6 +205,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     runs = materialize(repeated_runs(docs, doc_id, text), "runs").select(F.col("__key").alias("__run_key"), F.col("runs").alias("__runs"))
     key = F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))
     release(docs.sparkSession)
-    told = docs.withColumn("__run_key", key).join(runs, "__run_key", "left")
+    told = docs.withColumn("__run_key", key)
     cut = F.pandas_udf(_delete, StringType())(F.col(text), F.col("__runs"))
-    return told.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
+    changed = told.join(runs, "__run_key").select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
+    # Both joins read one shuffle of docs; only texts with runs go to Python.
+    return told.join(runs, "__run_key", "left_anti").select(*docs.columns).union(changed)
