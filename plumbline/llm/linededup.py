@@ -1,9 +1,12 @@
 """Repeated runs of lines, found by winnowing and deleted where they come again.
 
-A text's lines are cut into units: at sentence ends, and after words that a hash picks, so
-that equal passages are cut alike wherever they stand. Hashes of GRAM consecutive units are winnowed: of every WINDOW consecutive ones the
-least is a fingerprint, which guarantees one to every run of WINDOW + GRAM - 1 units. Each
-whole line of LINE_WORDS words or more is a fingerprint, too.
+A text's lines are cut into units: at sentence ends, and after the word of least hash among
+every SPAN consecutive words of a line. So no unit has more than SPAN words, and equal passages
+are cut alike wherever they stand, but for SPAN words at each end. Hashes of GRAM consecutive
+units are winnowed: of every WINDOW consecutive ones the least is a fingerprint, which guarantees
+one to every run of WINDOW + GRAM - 1 whole units, and so to every passage of
+(WINDOW + GRAM + 2) * SPAN - 2 = 46 words. Each whole line of LINE_WORDS words or more is
+a fingerprint, too.
 
 Fingerprints are joined by hash to their first occurrence in the order of (doc_id, row hash,
 position), never among themselves. From there a match is extended both ways, unit by unit,
@@ -35,7 +38,7 @@ from plumbline.llm.memo import Memo
 
 GRAM, WINDOW, REACH = 2, 4, 3
 LINE_WORDS, MIN_WORDS = 10, 10
-CUT_SHARE = 16
+SPAN = 6
 #: Stands for a null doc_id, which comes first.
 NO_ID = -(1 << 63)
 
@@ -44,14 +47,27 @@ _WORD = re.compile(r"\S+")
 UNITS = "__key long, id long, units array<long>, fp array<long>, pos array<int>, len array<int>"
 
 
-#: Whether a unit ends after a word, for words met.
-_ends = Memo(lambda word: word[-1] in ".!?" or xxhash.xxh64_intdigest(word) % CUT_SHARE == 0)
+#: The ranks of words met; 0 for those that end a sentence.
+_ranks = Memo(lambda word: 0 if word[-1] in ".!?" else xxhash.xxh64_intdigest(word) | 1)
 
 
 def _line_units(line: str) -> tuple[list[str], list[int]]:
     """The words of a line, and the number of words up to the end of each of its units."""
     words = line.split()
-    ends = [i for i, end in enumerate(map(_ends.__getitem__, words), 1) if end]
+    ranks = list(map(_ranks.__getitem__, words))
+    ends = [i for i, rank in enumerate(ranks[: SPAN - 1], 1) if not rank]
+    least, low = -1, 0  # the last word of least rank among those that the window holds
+    for i in range(SPAN - 1, len(ranks)):
+        if least <= i - SPAN:
+            window = ranks[i - SPAN + 1 : i + 1]
+            low = min(window)
+            least = i - window[::-1].index(low)
+        elif ranks[i] <= low:
+            least, low = i, ranks[i]
+        else:
+            continue
+        if not ends or ends[-1] <= least:
+            ends.append(least + 1)
     if words and (not ends or ends[-1] < len(words)):
         ends.append(len(words))
     return words, ends

@@ -111,6 +111,31 @@ def test_winnowing_guarantees_a_fingerprint():
         assert fa & fb
 
 
+@pytest.mark.parametrize("stops", [0, 0.1, 0.4])
+def test_passages_of_51_words_share_a_fingerprint(stops):
+    rng = random.Random(51)
+    found = lambda t: set(linededup.fingerprints(*linededup.units(t))[0])
+    for vocabulary in (3, 40, 5000):
+        for _ in range(200):
+            word = lambda p: f"{p}{rng.randint(0, vocabulary)}" + "." * (rng.random() < stops)
+            passage = " ".join(word("p") for _ in range(51))
+            a, b = (" ".join([*(word(h) for _ in range(30)), passage, *(word(h) for _ in range(30))]) for h in "ab")
+            assert found(a) & found(b)
+
+
+def test_passages_of_51_words_go(spark):
+    rng = random.Random(52)
+    text = lambda p, n: " ".join(f"{p}{rng.randint(0, 9999)}" for _ in range(n))
+    passages = [text("p", 51) for _ in range(40)]
+    rows = [(i, f"{text('h', 30)} {passages[i % 40]} {text('h', 30)}") for i in range(80)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert all(got[i] == rows[i][1] for i in range(40))
+    for i in range(40, 80):
+        left = set(got[i].split())
+        assert not left & set(passages[i % 40].split()[10:41])
+        assert {w for w in rows[i][1].split() if w[0] == "h"} <= left
+
+
 def bits(t):
     w = (t or "").encode().lower().split()
     shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
