@@ -192,7 +192,9 @@ def _ball(fp: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, tau: int = TAU, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, fp, component_id) for each row; th is the text's XXH64."""
+    """(doc_id, th, fp, component_id, root) for each row; th is the text's XXH64.
+
+    root names the component: component_id is null for every one without an id."""
     rows = materialize(
         docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), fingerprint_column(F.col(text)).alias("fp")),
         "fingerprints",
@@ -201,14 +203,19 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, doc_id: str = "doc_id", tex
     roots = components(link(fps.select("fp"), tau)).withColumnRenamed("node", "fp")
     placed = fps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+    named = placed.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "th", "fp", "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, tau: int = TAU, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs for each component: that with the smallest (doc_id, text hash). Columns are unchanged."""
     found = materialize(near_duplicates(docs, tau, doc_id, text), "components")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("k"))
+    return keep_first(docs, found, doc_id, text)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of docs, the row with the smallest (doc_id, text hash) of each root in found(doc_id, th, root)."""
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("k"))
     keep = first.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
     times = found.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.count("*").alias("__n"))
     kept = keep.alias("k").join(

@@ -228,6 +228,13 @@ def test_one_of_each_group_stays(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_unrelated_documents_without_ids_stay(spark):
+    (_, a), (_, b) = prose(31, 2, 5000)
+    rows = [(None, a), (None, b), (None, b), (1, prose(32, 1, 5000)[0][1])]
+    kept = simhash.drop_near_duplicates(frame(spark, rows)).collect()
+    assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
+
+
 def bench(spark, items):
     return spark.createDataFrame(items, "item_id long, text string").withColumn("hits", F.lit(1))
 
