@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import common, decontaminate, linededup, packing, quality, simhash
+from plumbline.llm import common, decontaminate, linededup, nearcopies, packing, quality
 from plumbline.llm.queries import BYTE_BPE
 
 
@@ -20,8 +20,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies, of five-word similarity 0.8 or more."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import components, ctw, decontaminate, linededup, quality, simhash
+from plumbline.llm import components, ctw, decontaminate, linededup, nearcopies, quality, simhash
 
 ODD = [(200, None), (201, ""), (202, " \n\t "), (None, "no id here"), (203, "x" * 5000), (204, "a b"), (205, "a b"), (205, "a b")]
 
@@ -235,6 +235,65 @@ def test_unrelated_documents_without_ids_stay(spark):
     assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
 
 
+def changed(rng, text, edits):
+    words = text.split()
+    for k in rng.sample(range(len(words)), edits):
+        words[k] = f"c{rng.randint(0, 10**6)}"
+    return " ".join(words)
+
+
+def similar_groups(texts):
+    """The component of each text, by brute force over five-word shingles."""
+    sets = []
+    for t in texts:
+        w = [x.lower() for x in words_of(t)]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or x & sets[j] and 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("group", [2, 64])
+def test_near_copies_of_changed_words_go(spark, group):
+    rng = random.Random(80)
+    boiler = " ".join(f"b{k}" for k in range(60))
+    texts = []
+    for i in range(24):
+        own = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(40, 200)))
+        base = f"{own} {boiler}" if i % 2 else own
+        texts += [base, *(changed(rng, base, e) for e in (1, 2, 3, 4, 6, 9))]
+    texts += [changed(rng, boiler, e) for e in (1, 1, 1, 1, 1, 2, 2, 2)]
+    rows = [*enumerate(texts), *[(1000 + (i or 0), t) for i, t in ODD], (None, texts[0]), (None, None), (None, "apart from all the others stands this")]
+    root = similar_groups([t for _, t in rows])
+    assert len(set(root)) < len(rows) - 40
+    df = frame(spark, rows)
+    kept = nearcopies.drop_near_copies(df, group=group)
+    assert kept.columns == df.columns
+    first = {}
+    for (i, t), r in zip(rows, root):
+        first.setdefault(r, set()).add((i is None, i or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(min(v) for v in first.values())
+    assert nearcopies.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(81)
+    base = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(300))
+    df = frame(spark, [(1, base), *((i, changed(rng, base, 5)) for i in range(2, 12))])
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()] == [1]
+
+
 def bench(spark, items):
     return spark.createDataFrame(items, "item_id long, text string").withColumn("hits", F.lit(1))
 
