@@ -263,6 +263,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW)
     index = build_index(docs)
     bad = documents(index).join(search(index, benchmark, size), ["segment", "doc"], "left_semi")
     bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
-    keyed = docs.withColumn("__id", F.col("doc_id")).withColumn("__th", F.xxhash64("text"))
-    out = keyed.alias("d").join(bad.alias("b"), F.expr("d.__id <=> b.__id AND d.__th <=> b.__th"), "left_anti")
-    return out.select(*docs.columns)
+    keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
+    out = keyed.alias("d").join(bad.alias("b"), F.expr("d.id <=> b.__id AND d.th <=> b.__th"), "left_anti")
+    return out.select("row.*")

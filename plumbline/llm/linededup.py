@@ -36,14 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from plumbline.llm.common import SPACES, materialize, release
-from plumbline.llm.wordhash import Texts, span_hashes, sums
+from plumbline.llm.wordhash import Texts, slices, span_hashes, sums, text_blocks
 
 GRAM, WINDOW = 26, 25
 LINE_WORDS = 3
 #: Stands for a null doc_id, which comes first.
 NO_ID = -(1 << 63)
-#: Bytes of text whose words are in a Python worker's memory at once; a longer text is there alone.
-BLOCK = 1 << 22
 #: Low bits of a hash that give way to its position when the least is sought.
 PLACE_BITS = 24
 
@@ -53,26 +51,6 @@ RUNS = "k1 long, k2 int, id long, a int, b int, l1 long, l2 int, lid long, lat i
 CONTEXTS = "k1 long, k2 int, id long, at int, side int, around array<int>"
 
 
-def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most BLOCK bytes, or of one row."""
-    at, total = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > at and total + n > BLOCK:
-            yield at, i
-            at, total = i, 0
-        total += n
-    if at < len(sizes):
-        yield at, len(sizes)
-
-
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    column = batch.column("text")
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    for a, b in _slices(sizes):
-        part = batch.slice(a, b - a)
-        yield part, Texts(part.column("text"))
-
-
 def _least(grams: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """The positions of the least of WINDOW hashes from each of windows on, the last of equal ones."""
     low = np.uint64((1 << PLACE_BITS) - 1)
@@ -137,7 +115,7 @@ def fingerprints(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["fp", "k1", "k2", "id", "pos", "len"]
     for batch in batches:
-        for part, texts in _blocks(batch):
+        for part, texts in text_blocks(batch):
             fp, text, pos, size = fingerprints(texts)
             own = [part.column(c).take(pa.array(text)) for c in ("k1", "k2", "id")]
             yield pa.RecordBatch.from_arrays([pa.array(fp), *own, pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32))], names)
@@ -178,7 +156,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words next to places: those before `at`, the nearest first, or those from it on, as 32-bit hashes."""
     names = ["k1", "k2", "id", "at", "side", "around"]
     for batch in batches:
-        for part, texts in _blocks(batch):
+        for part, texts in text_blocks(batch):
             hashes = texts.hashes().astype(np.uint32).view(np.int32)
             rows = []
             for i, (k1, k2, own, wanted) in enumerate(zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "id", "wanted")))):
@@ -236,7 +214,7 @@ def _cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
     held = np.flatnonzero(texts.notna().to_numpy())
     column = pa.array(texts.iloc[held], pa.string()) if len(held) else None
     sizes = pa.compute.binary_length(column).to_numpy() if len(held) else np.zeros(0)
-    for a, b in _slices(sizes):
+    for a, b in slices(sizes):
         block = Texts(column.slice(a, b - a))
         hashes = block.hashes().astype(np.uint32).view(np.int32)
         for j in range(b - a):
@@ -255,11 +233,13 @@ def repeated_places(places: DataFrame) -> DataFrame:
     here = F.xxhash64("k1", "k2", "pos")
     seen = places.select("fp", "id", here.alias("h")).groupBy("fp")
     least = seen.agg(F.min("id").alias("first_id"), F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("fp", "first_id")
+    least = materialize(least, "least")  # a join with an aggregate as such would not be split
     own = (F.col("id") == F.col("first_id")).alias("own")
     repeated = materialize(places.join(least, "fp").select("fp", "k1", "k2", "id", "pos", "len", own), "repeated")
     release(places.sparkSession)
     place = F.min(F.struct("id", "k1", "k2", "pos"))
     first = repeated.filter("own").groupBy("fp").agg(place.alias("p"))
+    first = materialize(first, "first-places")
     first = first.select("fp", F.col("p.k1").alias("f1"), F.col("p.k2").alias("f2"), F.col("p.id").alias("fid"), F.col("p.pos").alias("fpos"))
     later = repeated.join(first, "fp").filter("NOT (k1 = f1 AND k2 = f2 AND pos = fpos)")
     each = F.struct("pos", "len", "f1", "f2", "fid", "fpos")

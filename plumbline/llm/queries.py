@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import ctw, decontaminate, idfiles, linededup, packing, quality, simhash, tokencount, urlfilter, warc
+from plumbline.llm import ctw, decontaminate, idfiles, linededup, oracles, packing, quality, simhash, tokencount, urlfilter, warc
 from plumbline.llm.common import table
 
 
@@ -27,7 +27,7 @@ def op3_token_counts(spark, sf_dir):
 
 def op4_warc(spark, sf_dir):
     captures = warc.capture_index(spark, table(spark, sf_dir, "pages"))
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_line_dedup(spark, sf_dir):
@@ -79,4 +79,9 @@ QUERIES = {
 }
 
 #: DuckDB forms of those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": oracles.DECONTAMINATION,
+    "op4_warc": oracles.WARC,
+    "op7_quality_rules": oracles.QUALITY,
+    "op8_url_filters": oracles.url_filters(URL_RULES),
+}

@@ -2,8 +2,8 @@
 
 Fingerprints are 64-bit majorities over XXH64 hashes of word shingles. The distinct ones
 are linked: their bits are grouped into partitions of correlated bits, each partition
-gets its own threshold t_i with sum(t_i) = tau - m + 1, allotted by dynamic programming
-over estimated candidate counts, and two fingerprints within tau must agree within t_i
+gets its own threshold t_i <= 2 with sum(t_i) = tau - m + 1, allotted by dynamic programming
+over candidate counts that a bounded sample estimates, and two fingerprints within tau must agree within t_i
 in some partition i. t_i = 0 emits the partition's value as a signature; t_i >= 1 also
 emits the values one bit off, so that two values within two bits share one; t_i = -1
 leaves the partition out. Fingerprints that share a signature are verified.
@@ -35,6 +35,8 @@ from plumbline.llm.common import materialize
 from plumbline.llm.components import components
 
 TAU = 2
+#: Fingerprints, those of least hash, by whose distances candidates are estimated; the estimate only picks thresholds.
+SAMPLE = 2048
 #: Holders of one signature that are paired directly.
 GROUP = 64
 #: Numbers of partitions that are weighed against each other.
@@ -105,45 +107,52 @@ def group_bits(both: np.ndarray, total: int, parts: int) -> list[list[int]]:
     return out
 
 
-def _distances(both: np.ndarray, total: int, bits: list[int]) -> np.ndarray:
-    """P(two fingerprints differ in exactly k of these bits), bits taken as independent."""
-    p = both.diagonal()[bits] / max(total, 1)
-    out = np.array([1.0])
+def _distances(sample: np.ndarray, bits: list[int]) -> np.ndarray:
+    """P(two fingerprints differ in exactly k of these bits): what pairs of the sample show, and what independent bits would have if more."""
+    own = sample & np.uint64(sum(1 << b for b in bits))
+    shown = np.zeros(len(bits) + 1)
+    for at in range(len(own) - 1):
+        shown += np.bincount(np.bitwise_count(own[at] ^ own[at + 1 :]), minlength=len(shown))
+    p = np.array([(sample >> np.uint64(b) & np.uint64(1)).mean() if len(sample) else 0 for b in bits])
+    alone = np.array([1.0])
     for q in 2 * p * (1 - p):
-        out = np.convolve(out, [1 - q, q])
-    return out
+        alone = np.convolve(alone, [1 - q, q])
+    return np.maximum(shown / max(shown.sum(), 1), alone)
 
 
-def allot(total: int, parts: list[list[int]], both: np.ndarray, tau: int) -> tuple[float, list[int]]:
-    """Thresholds, one a part, that sum to tau - m + 1 at the least estimated cost, by dynamic programming."""
+def allot(total: int, parts: list[list[int]], sample: np.ndarray, tau: int) -> tuple[float, list[int]] | None:
+    """Thresholds of at most 2, one a part, that sum to tau - m + 1 at the least estimated cost, by dynamic programming; None if there are none."""
 
-    def cost(bits: list[int], t: int) -> float:
+    def cost(bits: list[int], near: np.ndarray, t: int) -> float:
         if t < 0:
             return 0.0
-        near = _distances(both, total, bits)
         rows = total * (1 if t == 0 else 1 + len(bits))
         pairs = 0.5 * total * total * near[: (0 if t == 0 else 2) + 1].sum()
-        return rows + min(pairs, 65.0 * total)
+        return rows + pairs
 
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for bits in parts:
-        step: dict[int, tuple[float, list[int]]] = {}
+        near, step = _distances(sample, bits), {}
         for used, (sofar, chosen) in best.items():
-            for t in range(-1, tau + 1):
-                found = (sofar + cost(bits, t), [*chosen, t])
+            for t in range(-1, 3):
+                found = (sofar + cost(bits, near, t), [*chosen, t])
                 if used + t not in step or found < step[used + t]:
                     step[used + t] = found
         best = step
-    return best[tau - len(parts) + 1]
+    return best.get(tau - len(parts) + 1)
 
 
 def plan(fps: DataFrame, tau: int = TAU) -> tuple[list[list[int]], list[int]]:
     both, total = bit_statistics(fps), fps.count()
+    drawn = fps.select("fp").distinct().orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
+    sample = np.array([r.fp for r in drawn], np.int64).view(np.uint64)
     weighed = []
     for m in PARTITION_COUNTS:
         parts = group_bits(both, total, m)
-        cost, thresholds = allot(total, parts, both, tau)
-        weighed.append((cost, parts, thresholds))
+        if found := allot(total, parts, sample, tau):
+            weighed.append((found[0], parts, found[1]))
+    if not weighed:
+        raise ValueError(f"{PARTITION_COUNTS} partitions of thresholds up to 2 do not reach tau = {tau}")
     return min(weighed, key=lambda x: x[0])[1:]
 
 
@@ -152,26 +161,31 @@ def _mask(bits: list[int]) -> int:
 
 
 def signatures(fps: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(part, sig, fp): what each fingerprint is found by."""
+    """(part, sig) before the columns of fps: what each fingerprint is found by."""
     found = []
     for i, (bits, t) in enumerate(zip(parts, thresholds)):
         if t < 0:
             continue
         value = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
         sig = F.explode(F.array(value, *[value.bitwiseXOR(F.lit(_mask([b]))) for b in bits])) if t else value
-        found.append(fps.select(F.lit(i).alias("part"), sig.alias("sig"), "fp"))
+        found.append(fps.select(F.lit(i).alias("part"), sig.alias("sig"), *fps.columns))
     return reduce(DataFrame.union, found)
 
 
+def shared_signatures(fps: DataFrame, tau: int) -> DataFrame:
+    """(part, sig, columns of fps, n): signatures that n >= 2 rows hold."""
+    rows = signatures(fps, *plan(fps, tau))
+    sizes = materialize(rows.groupBy("part", "sig").agg(F.count("*").alias("n")).filter("n > 1"), "signature-sizes")
+    return materialize(rows.join(sizes, ["part", "sig"]), "signatures")
+
+
 def link(fps: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
     """fps(fp), distinct -> edges (a, b) that join exactly those components which pairs within tau <= 2 bits make."""
     if not 0 <= tau <= 2:
         raise ValueError("tau must be 0, 1 or 2")
     if tau == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    rows = signatures(fps, *plan(fps, tau))
-    sizes = rows.groupBy("part", "sig").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(rows.join(sizes, ["part", "sig"]), "signatures")
+    shared = shared_signatures(fps.select("fp"), tau)
 
     def within(groups: DataFrame) -> DataFrame:
         near = lambda x: (x > F.col("a")) & (F.bit_count(x.bitwiseXOR(F.col("a"))) <= tau)
@@ -203,7 +217,8 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, doc_id: str = "doc_id", tex
     roots = components(link(fps.select("fp"), tau)).withColumnRenamed("node", "fp")
     placed = fps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id", "root")
+    named = materialize(placed.join(least, "root").select("fp", "component_id", "root"), "named")
+    # Empty texts and exact copies share a fingerprint; nothing needs its rows together, so that Spark splits this join.
     return rows.join(named, "fp").select("doc_id", "th", "fp", "component_id", "root")
 
 
@@ -221,9 +236,7 @@ def keep_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
     kept = keep.alias("k").join(
         times.alias("t"), F.expr("k.__id <=> t.__id AND k.__th <=> t.__th")
     ).select("k.__id", "k.__th", "t.__n")
-    keyed = docs.withColumn("__id", F.col(doc_id)).withColumn("__th", F.xxhash64(F.col(text)))
-    out = keyed.alias("d").join(kept.alias("k"), F.expr("d.__id <=> k.__id AND d.__th <=> k.__th")).select(
-        "d.*", F.col("k.__n").alias("__n")
-    )
-    once = out.filter("__n = 1").select(*docs.columns)
-    return once.union(out.filter("__n > 1").dropDuplicates(["__id", "__th"]).select(*docs.columns))
+    keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.struct("*").alias("row"))
+    out = keyed.alias("d").join(kept.alias("k"), F.expr("d.id <=> k.__id AND d.th <=> k.__th")).select("id", "th", "row", "__n")
+    once = out.filter("__n = 1").select("row.*")
+    return once.union(out.filter("__n > 1").dropDuplicates(["id", "th"]).select("row.*"))

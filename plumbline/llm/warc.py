@@ -3,9 +3,9 @@
 `write_archives` gives each page a record: of pages with equal payloads the one with the
 smallest page_id is a response, the others revisit it. `write_runs` reads the archives
 back, and each archive's captures become a run sorted by URL key and timestamp.
-`merge_runs` merges runs by a tree of losers, FAN_IN at a time, until one pass is left;
-that pass is cut into key ranges, each of which merges its slice of every run. The result
-is the capture history of every URL, in global order.
+`merge_runs` merges runs by a tree of losers, FAN_IN at a time, until one pass is left.
+Every pass is cut into key ranges, each of which merges its slice of every run of a group; a
+run of a later pass is one file a range. The result is the capture history of every URL, in global order.
 
 Records are gzip members of their own, as other readers expect. WARC-Payload-Digest is the
 bare base32 SHA-1 of the full payload, also in revisits, which name the response in
@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
@@ -42,7 +43,7 @@ FAN_IN = 128
 #: Captures in a row group of a run, which is what a merge holds of each run.
 GROUP_ROWS = 512
 #: Runs, and captures of each, from which the key ranges are chosen; they only balance the tasks.
-RANGE_RUNS, RANGE_KEYS = 256, 32
+RANGE_RUNS, RANGE_KEYS = 256, 128
 #: Captures a key range should hold.
 RANGE_ROWS = 1 << 17
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
@@ -150,15 +151,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     """Write the pages as WARC files in folder; returns their list (archive)."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
-    salts = 8
     shared = (
         pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("n"))
         .groupBy("sha1", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("times"))
         .filter((F.col("times") > 1) & (F.col("n") >= min_bytes))
-        .select("sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        .select("sha1", "first")
     )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    told = salted.join(shared, ["sha1", "salt"], "left").select(
+    # Nothing needs the rows of a payload together, so that Spark splits this join where a payload is hot.
+    told = rows.join(materialize(shared, "shared-payloads"), "sha1", "left").select(
         "page_id", "url", "html", "sha1", "first",
         F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)).alias("revisit"),
     )
@@ -227,14 +227,25 @@ def _slice(path: str, low: tuple | None, high: tuple | None) -> Iterator[_Captur
 
 def write_runs(archives: DataFrame, folder: str) -> DataFrame:
     """Read every archive back and write its captures as a sorted run; returns the list (run, n)."""
-    return materialize(archives.repartition("archive").mapInPandas(_run(folder), "run string, n long"), "runs")
+    # The list is short but names large files: an explicit number of tasks is left alone by adaptive execution.
+    dealt = archives.repartition(max(1, archives.count()), "archive")
+    return materialize(dealt.mapInPandas(_run(folder), "run string, n long"), "runs")
 
 
-def _merge_group(folder: str):
-    def merge(batch: pd.DataFrame) -> pd.DataFrame:
-        path = f"{folder}/{hashlib.sha1('|'.join(sorted(batch['run'])).encode()).hexdigest()}.run"
-        n = _save(path, iter(LoserTree([_slice(r, None, None) for r in sorted(batch["run"])])))
-        return pd.DataFrame({"run": [path], "n": [n]})
+def _piece(run: str, part: int) -> str:
+    """The file of a run that holds the key range; a run of the first pass is one file."""
+    return run if run.endswith(".run") else f"{run}/{part:06d}.run"
+
+
+def _merge_groups(folder: str, edges: list[tuple | None]):
+    """Merge rows (g, part, runs): key range `part` of each group's runs, into a file."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, part, runs in zip(batch["g"], batch["part"], batch["runs"]):
+                run = f"{folder}/{g:06d}"
+                slices = [_slice(_piece(r, part), edges[part], edges[part + 1]) for r in sorted(runs)]
+                yield pd.DataFrame({"run": [run], "n": [_save(_piece(run, part), iter(LoserTree(slices)))]})
 
     return merge
 
@@ -259,24 +270,33 @@ def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
     """The captures of all runs in global order: rows of CAPTURE_KIND with part, the key range they lie in.
 
     Rows are in order within a part and parts in order of their numbers."""
-    spark, level = runs.sparkSession, 0
-    while (k := runs.count()) > FAN_IN:
-        level += 1
-        groups = -(-k // FAN_IN)
-        dealt = runs.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(groups)))
-        runs = materialize(dealt.groupBy("g").applyInPandas(_merge_group(f"{folder}/level-{level}"), "run string, n long"), "runs")
-    names = [r.run for r in runs.orderBy("run").collect()]  # at most FAN_IN
-    total = runs.agg(F.sum("n")).first()[0] or 0
+    spark, level, coarse = runs.sparkSession, 0, None
+    total, k = (x or 0 for x in runs.agg(F.sum("n"), F.count("*")).first())
     sampled = runs.orderBy(F.xxhash64("run")).limit(RANGE_RUNS)
     keys = sorted(tuple(r) for r in sampled.mapInPandas(_keys, "urlkey string, ts long, page_id long").collect())
     parts = max(1, min(-(-total // RANGE_ROWS), len(keys)), min(spark.sparkContext.defaultParallelism, len(keys)))
     cuts = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
     edges = [None, *cuts, None]
+    while k > FAN_IN:
+        level += 1
+        groups = -(-k // FAN_IN)
+        if coarse is None:  # ranges of all passes but the last: as many tasks, each for one group only
+            step = max(1, min(groups, len(edges) - 1))
+            coarse = [*edges[:-1:step], None]
+        ranges = len(coarse) - 1
+        dealt = runs.select(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("g"), "run").groupBy("g").agg(F.collect_list("run").alias("runs"))
+        tasks = dealt.select("g", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("part"), "runs").repartition(groups * ranges, "g", "part")
+        done = materialize(tasks.mapInPandas(_merge_groups(f"{folder}/level-{level}", coarse), "run string, n long"), "runs")
+        runs = materialize(done.groupBy("run").agg(F.sum("n").alias("n")), "runs")
+        k = runs.count()
+    names = [r.run for r in runs.orderBy("run").collect()]  # at most FAN_IN
+    within = coarse or [None, None]
+    piece = [bisect_right(within[1:-1], e) if e else 0 for e in edges[:-1]]  # which coarse range each range lies in
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in batch["id"].tolist():
-                merged = iter(LoserTree([_slice(r, edges[part], edges[part + 1]) for r in names]))
+                merged = iter(LoserTree([_slice(_piece(r, piece[part]), edges[part], edges[part + 1]) for r in names]))
                 while rows := [r for _, r in zip(range(8192), merged)]:
                     out = pd.DataFrame(rows, columns=CAPTURE.names)
                     for c in ("page_id", "refers_to"):

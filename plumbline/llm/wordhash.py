@@ -6,6 +6,8 @@ time. Spans of words are hashed by differences of one running polynomial sum, wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +21,9 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 1 << 12
 
+#: Bytes of text whose words are in a Python worker's memory at once; a longer text is there alone.
+BLOCK = 1 << 22
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -43,9 +48,11 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Texts:
-    """The words of an Arrow array of texts: first and last byte of each, and the first word of each text."""
+    """The words of an Arrow array of texts: first and last byte of each, and the first word of each text.
+
+    fold makes lower case of A-Z."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, fold: bool = False):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         _, offsets, data = texts.buffers()
         offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -53,6 +60,8 @@ class Texts:
         self.data = np.zeros(n + 8, np.uint8)  # eight more bytes, so that each word can be read by eights
         if n:
             self.data[:n] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        if fold:  # A-Z to a-z
+            self.data[(self.data >= 65) & (self.data <= 90)] |= 32
         self.offsets = offsets - offsets[0]
         word = ~_BLANK[self.data[:n]]
         begins, ends = word.copy(), word.copy()
@@ -90,6 +99,26 @@ class Texts:
         return out
 
 
+def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most BLOCK bytes, or of one row."""
+    at, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and total + n > BLOCK:
+            yield at, i
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def text_blocks(batch: pa.RecordBatch, fold: bool = False) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Rows of a batch with a column `text`, few enough at a time, and their words."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    for a, b in slices(sizes):
+        part = batch.slice(a, b - a)
+        yield part, Texts(part.column("text"), fold)
+
+
 def sums(hashes: np.ndarray) -> np.ndarray:
     """Running sums that span_hashes takes differences of."""
     out = np.zeros(len(hashes) + 1, np.uint64)

@@ -3,13 +3,14 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import urlfilter, warc
+from plumbline.llm import idfiles, urlfilter, warc
 from plumbline.llm.common import new_folder
 from plumbline.llm.losertree import LoserTree
 from plumbline.llm.queries import URL_RULES
@@ -102,9 +103,39 @@ def test_mined_rules(spark):
     rows = [(i, f"http://s{i % 5}.net/{'casino' if i % 4 == 0 else 'news'}/{'x' if i % 8 < 4 else 'y'}/{i}") for i in range(80)] + [(90, "http://q.net/casino/z"), (91, "http://q.net/y/new")]
     df = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(80)] + [(91, None, None)], "doc_id long, quality int, toxic int")
-    bad = {r.page_id for r in urlfilter.judge(df, labels, [], 0.05, 0.8).collect() if r.verdict == "block"}
+    bad = {r.page_id for r in urlfilter.judge(df, labels, [], 0.05, 0.8, 4).collect() if r.verdict == "block"}
     assert bad == {i for i in range(80) if i % 4 == 0} | {90}
     told = df.join(labels.withColumnRenamed("doc_id", "page_id"), "page_id").select(urlfilter.tokens(F.col("url")).alias("tokens"), (F.col("quality") == 0).alias("bad"))
-    kept = urlfilter.mine(told, 0.05, 0.8).collect()
+    kept = urlfilter.mine(told, 0.05, 0.8, 4).collect()
     assert all(r.confidence >= 0.8 and r.support >= 0.05 for r in kept)
     assert ["p:casino"] in [r.antecedent for r in kept] and not any("p:casino" in r.antecedent and len(r.antecedent) > 1 for r in kept)
+
+
+def test_a_mined_rule_decides_on_the_given_pages(spark):
+    """Labels that follow the hosts of the given pages: rules are mined, and agree with counting by hand."""
+    given = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    spam = lambda u: re.search("://[^/]*(casino|bets|pills|adult|spam)", u) is not None
+    rows = [(r.page_id, r.url) for r in given.collect()]
+    told = [(i, int(not spam(u)), 0) for i, u in rows if i % 3 == 0] + [(0, 1, 0)] * 3  # several labels of one page
+    labels = spark.createDataFrame(told, "doc_id long, quality int, toxic int")
+    out = {r.page_id: r.verdict for r in urlfilter.judge(given, labels, []).collect()}
+    assert len(out) == len(rows)
+    tokens = {r.page_id: set(r.t) for r in given.select("page_id", urlfilter.tokens(F.col("url")).alias("t")).collect()}
+    bad = {i for i, q, _ in told if q == 0}
+    known = {i for i, _, _ in told}
+    count = collections.Counter(c for i in known for k in (1, 2, 3) for c in itertools.combinations(sorted(tokens[i]), k))
+    hits = collections.Counter(c for i in bad for k in (1, 2, 3) for c in itertools.combinations(sorted(tokens[i]), k))
+    rules = [set(c) for c, n in hits.items() if n >= max(8, 0.01 * len(known)) and n >= 0.6 * count[c] and n / count[c] >= 1.5 * len(bad) / len(known)]
+    assert rules
+    assert out == {i: "block" if any(r <= tokens[i] for r in rules) else "allow" for i, _ in rows}
+    assert "block" in out.values() and "allow" in out.values()
+
+
+def test_lists_of_files_are_dealt_to_many_tasks(spark):
+    """Adaptive execution must not bring rows that name large files together in one task."""
+    df = spark.createDataFrame([(f"archive-{i}", i) for i in range(64)], "archive string, n long")
+    task = lambda batches: (b.assign(task=__import__("pyspark").TaskContext.get().partitionId()) for b in batches)
+    dealt = df.repartition(max(1, df.count()), "archive").mapInPandas(task, "archive string, n long, task int")
+    assert dealt.select("task").distinct().count() >= 8
+    plan = idfiles.read_ids(df.selectExpr("archive as path", "n as start"))._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan
