@@ -41,7 +41,7 @@ def voxel_sums(points: DataFrame, cell: float, low: tuple[float, float, float],
 def drop_small_cells(cells: DataFrame, least: int = MIN_POINTS, *by: str) -> DataFrame:
     """Cells of at least so many points, or all of a group that has no such cell."""
     any_large = cells.groupBy(*by).agg(F.max("n").alias("_most"))
-    joined = cells.join(F.broadcast(any_large), list(by)) if by else cells.crossJoin(F.broadcast(any_large))  # one row a node
+    joined = cells.join(any_large, list(by)) if by else cells.crossJoin(F.broadcast(any_large))  # one row in all
     return joined.filter((F.col("n") >= least) | (F.col("_most") < least)).drop("_most")
 
 
@@ -120,15 +120,20 @@ def fit_planes(points: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def floor_percentile(df: DataFrame, value: str, share: float, *by: str) -> DataFrame:
-    """The element floor((n - 1) * share) of each group's ascending values, and n.
+def floor_percentiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """n, and for each named share the element floor((n - 1) * share) of each group's ascending values, all in one pass.
 
     Equal values are counted before they are ranked, so that a group is one row a distinct value."""
     counted = df.groupBy(*by, value).agg(F.count("*").alias("_k"))
     up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     ranked = counted.select(*by, value, F.sum("_k").over(up).alias("_to"), F.sum("_k").over(whole).alias("n"))
-    return ranked.filter(F.col("_to") > F.floor((F.col("n") - 1) * share)).groupBy(*by, "n").agg(F.min(value).alias("value"))
+    at = [F.min(F.when(F.col("_to") > F.floor((F.col("n") - 1) * share), F.col(value))).alias(name) for name, share in shares.items()]
+    return ranked.groupBy(*by, "n").agg(*at)
+
+
+def floor_percentile(df: DataFrame, value: str, share: float, *by: str) -> DataFrame:
+    return floor_percentiles(df, value, {"value": share}, *by)
 
 
 def strided(points: DataFrame, budget: int, order: str = "idx") -> DataFrame:

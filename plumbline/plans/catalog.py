@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
 from plumbline.functions import las, text
-from plumbline.operators import mesh, octree, points, project, selection
+from plumbline.operators import listing, mesh, octree, points, project, selection
 from plumbline.plans import views
-from plumbline.sources.tables import table
+from plumbline.sources.tables import shared_dir, table
+from plumbline.streaming import state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -208,8 +211,7 @@ def plane_fit_by_label(spark, sf_dir):
 SELECT classification, n, max(CASE WHEN k-1=floor((n-1)*0.5) THEN zi END) AS p50, max(CASE WHEN k-1=floor((n-1)*0.9) THEN zi END) AS p90 FROM r GROUP BY ALL""")
 def percentile_floor_index(spark, sf_dir):
     p = views.points(spark, sf_dir)
-    half, most = (points.floor_percentile(p, "zi", q, "classification") for q in (0.5, 0.9))
-    return half.withColumnRenamed("value", "p50").join(most.select("classification", F.col("value").alias("p90")), "classification").select("classification", "n", "p50", "p90")
+    return points.floor_percentiles(p, "zi", {"p50": 0.5, "p90": 0.9}, "classification").select("classification", "n", "p50", "p90")
 
 
 @query(f"""{P}, q AS (SELECT i AS qid, (i%10)*100+50 AS qx, (i//10)*100+50 AS qy FROM range(100) t(i)),
@@ -247,6 +249,18 @@ def octree_lossless(spark, sf_dir):
     return owned.agg(F.count("*").alias("stored"), F.countDistinct("idx").alias("distinct_points")).withColumn("source", F.lit(p.count()))
 
 
+@query(f"""{P} SELECT idx FROM v_points WHERE x BETWEEN 200 AND 600 AND y BETWEEN 300 AND 800 AND z BETWEEN 20 AND 150
+UNION ALL SELECT -1 UNION ALL SELECT -1""")
+def octree_store(spark, sf_dir):
+    """An index written, read back by a box, and compared with its source as a bag (rows -1, once a side, if nothing is missing or added)."""
+    p, low, high = views.points(spark, sf_dir), (0.0, 0.0, 0.0), (1000.0, 1000.0, 1000.0)
+    folder = f"{shared_dir(spark)}/plumbline/index-{uuid.uuid4().hex}"
+    octree.write_index(octree.own(p, low, high, capacity=256, max_depth=12), folder, low, high, p.count())
+    stored = octree.read_points(spark, folder).select(*p.columns)
+    missing = listing.bag_difference(p, stored).select((F.lit(-1) - F.col("n")).alias("idx"))
+    return octree.read_points(spark, folder, *BOX).select("idx").union(missing)
+
+
 @query(f"""{P}, s AS (SELECT *, row_number() OVER (PARTITION BY classification ORDER BY idx) AS k FROM v_points WHERE idx%3=0)
 SELECT classification, idx FROM s WHERE k<=20""")
 def preview_leaf_sample(spark, sf_dir):
@@ -329,12 +343,12 @@ UNION ALL SELECT least(c,a), greatest(c,a) FROM v_faces)"""
 
 @query(f"{EDGES} SELECT DISTINCT lo, hi FROM e")
 def tin_unique_edges(spark, sf_dir):
-    return mesh.unique_edges(views.grid_faces(spark))
+    return mesh.unique_edges(views.grid_faces(spark, sf_dir))
 
 
 @query(f"{EDGES} SELECT lo, hi FROM e GROUP BY ALL HAVING count(*)=1")
 def tin_boundary_edges(spark, sf_dir):
-    return mesh.boundary_edges(views.grid_faces(spark))
+    return mesh.boundary_edges(views.grid_faces(spark, sf_dir))
 
 
 @query(f"""{T}, f AS (SELECT a, b, c, (q.y-p.y)*(r.z-p.z)-(q.z-p.z)*(r.y-p.y) AS fx, (q.z-p.z)*(r.x-p.x)-(q.x-p.x)*(r.z-p.z) AS fy,
@@ -342,16 +356,16 @@ def tin_boundary_edges(spark, sf_dir):
 s AS (SELECT v AS vertex_id, sum(fx) AS x, sum(fy) AS y, sum(fz) AS z FROM (SELECT unnest([a,b,c]) AS v, fx, fy, fz FROM f) GROUP BY v)
 SELECT vertex_id, round(x/sqrt(x*x+y*y+z*z),6) AS nx, round(y/sqrt(x*x+y*y+z*z),6) AS ny, round(z/sqrt(x*x+y*y+z*z),6) AS nz FROM s""")
 def tin_vertex_normals(spark, sf_dir):
-    n = mesh.vertex_normals(views.grid_faces(spark), views.grid_vertices(spark))
+    n = mesh.vertex_normals(views.grid_faces(spark, sf_dir), views.grid_vertices(spark, sf_dir))
     return n.select("vertex_id", *[r6(F.col(c), c) for c in ("nx", "ny", "nz")])
 
 
 @query()
 def tin_boundary_loops(spark, sf_dir):
-    return mesh.boundary_loops(views.grid_faces(spark).withColumn("surface_id", F.lit("s")))
+    return mesh.boundary_loops(views.grid_faces(spark, sf_dir).withColumn("surface_id", F.lit("s")))
 
 
-@query(f"""{T}, p AS (SELECT event_id AS point_id, user_id%50 AS line, (event_id*37)%700 + 0.25::DOUBLE AS x, (event_id*91)%700 + 0.5::DOUBLE AS y FROM events WHERE event_id<4000),
+@query(f"""{T}, p AS (SELECT event_id AS point_id, user_id%50 AS line, (event_id*37)%700 + 0.25::DOUBLE AS x, (event_id*91)%700 + 0.5::DOUBLE AS y FROM events),
 t AS (SELECT p.x AS ax,p.y AS ay,p.z AS az,q.x AS bx,q.y AS by_,q.z AS bz,r.x AS cx,r.y AS cy,r.z AS cz FROM v_faces JOIN v_vertices p ON a=p.vertex_id
 JOIN v_vertices q ON b=q.vertex_id JOIN v_vertices r ON c=r.vertex_id),
 w AS (SELECT point_id, az, bz, cz, ((x-ax)*(cy-ay)-(cx-ax)*(y-ay))/((bx-ax)*(cy-ay)-(cx-ax)*(by_-ay)) AS wb,
@@ -361,19 +375,19 @@ j AS (SELECT p.*, z FROM p LEFT JOIN h USING (point_id))
 SELECT point_id, round(last_value(z IGNORE NULLS) OVER (PARTITION BY line ORDER BY point_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),6) AS z FROM j""")
 def drape_points_on_tin(spark, sf_dir):
     e = F.col("event_id")
-    p = table(spark, sf_dir, "events").filter(e < 4000).select(
+    p = table(spark, sf_dir, "events").select(
         e.alias("point_id"), (F.col("user_id") % 50).alias("line"), ((e * 37) % 700 + 0.25).alias("x"), ((e * 91) % 700 + 0.5).alias("y")
     )
-    told = mesh.drape(p, views.grid_faces(spark), views.grid_vertices(spark), 20.0)
+    told = mesh.drape(p, views.grid_faces(spark, sf_dir), views.grid_vertices(spark, sf_dir), 20.0)
     return mesh.carry_last(told, "draped", "point_id", "line").select("point_id", r6(F.col("draped"), "z"))
 
 
-LINES = "v_lines AS (SELECT o_custkey AS line, o_orderkey AS seq, CAST((o_orderkey*7919)%1000 AS DOUBLE) AS x, CAST((o_orderkey*104729)%1000 AS DOUBLE) AS y FROM orders WHERE o_custkey<200)"
+LINES = "v_lines AS (SELECT o_custkey AS line, o_orderkey AS seq, CAST((o_orderkey*7919)%1000 AS DOUBLE) AS x, CAST((o_orderkey*104729)%1000 AS DOUBLE) AS y FROM orders)"
 
 
 def _lines(spark, sf_dir):
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").filter("o_custkey < 200").select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("line"), k.alias("seq"), ((k * 7919) % 1000).cast("double").alias("x"), ((k * 104729) % 1000).cast("double").alias("y")
     )
 
@@ -496,41 +510,43 @@ def fk_violations(spark, sf_dir):
     return project.foreign_keys(views.features(spark, sf_dir), "layer_id", layers, "n_nationkey").select("feature_id", "layer_id")
 
 
-@query("""WITH n AS (SELECT o_orderkey, CAST(o_orderkey*o_orderkey AS BIGINT) AS n FROM orders) SELECT o_orderkey, CASE WHEN n<1024 THEN n||' B'
-WHEN n<1048576 THEN CASE WHEN n/1024.0>=100 THEN printf('%.0f KB',n/1024.0::DOUBLE) ELSE printf('%.1f KB',n/1024.0::DOUBLE) END
-ELSE CASE WHEN n/1048576.0>=100 THEN printf('%.0f MB',n/1048576.0::DOUBLE) ELSE printf('%.1f MB',n/1048576.0::DOUBLE) END END AS label FROM n WHERE n<1073741824 AND o_orderkey%2=1""")
+def _steps(units, factor: int, line) -> str:
+    return " ".join(line(unit, factor ** (len(units) - 1 - k)) for k, unit in enumerate(units))
+
+
+@query(f"""WITH n AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT)*o_orderkey*o_orderkey AS n FROM orders) SELECT o_orderkey, CASE
+{_steps(("TB", "GB", "MB", "KB", "B"), 1024, lambda u, s: f"WHEN n>={s} THEN CASE WHEN n/{s}.0>=100 THEN printf('%.0f {u}',floor(n/{s}.0::DOUBLE+0.5)) ELSE printf('%.1f {u}',floor(n/{s}.0::DOUBLE*10+0.5)/10) END" if s > 1 else "ELSE n||' B'")} END AS label FROM n""")
 def byte_size_label(spark, sf_dir):
-    k = F.col("o_orderkey")
-    n = table(spark, sf_dir, "orders").filter((k * k < 1073741824) & (k % 2 == 1)).select("o_orderkey", (k * k).alias("n"))
-    return n.select("o_orderkey", text.byte_size(F.col("n")).alias("label"))
+    k = F.col("o_orderkey").cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.byte_size(k * k * k).alias("label"))
 
 
-@query("""WITH n AS (SELECT o_orderkey, CAST(o_orderkey*37 AS BIGINT) AS n FROM orders WHERE o_orderkey*37<999500), t AS (SELECT *, CASE WHEN n>=1000 THEN (n*10+500)//1000 ELSE n*10 END AS tenths FROM n)
-SELECT o_orderkey, CASE WHEN n<1000 THEN n::VARCHAR WHEN tenths<1000 THEN (tenths//10)||CASE WHEN tenths%10<>0 THEN '.'||(tenths%10) ELSE '' END||'K' ELSE ((n+500)//1000)||'K' END AS label FROM t""")
+@query(f"""WITH n AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT)*o_orderkey AS n FROM orders), t AS (SELECT *, {", ".join(f"(n*10*2+{s})//({s}*2) AS t{u}, (n*2+{s})//({s}*2) AS w{u}" for u, s in (("B", 10**9), ("M", 10**6), ("K", 10**3)))} FROM n)
+SELECT o_orderkey, CASE {" ".join(f"WHEN n>={s - s // 2000} THEN (CASE WHEN t{u}<1000 THEN (t{u}//10)||CASE WHEN t{u}%10<>0 THEN '.'||(t{u}%10) ELSE '' END ELSE CAST(w{u} AS VARCHAR) END)||'{u}'" for u, s in (("B", 10**9), ("M", 10**6)))}
+WHEN n>=999.5 THEN (CASE WHEN tK<1000 THEN (tK//10)||CASE WHEN tK%10<>0 THEN '.'||(tK%10) ELSE '' END ELSE CAST(wK AS VARCHAR) END)||'K' ELSE CAST(n AS VARCHAR) END AS label FROM t""")
 def compact_number_label(spark, sf_dir):
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").filter(k * 37 < 999500).select("o_orderkey", text.compact(k * 37).alias("label"))
+    k = F.col("o_orderkey").cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.compact(k * k).alias("label"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id%10=3),
-e AS (SELECT user_id, event_id, k, value AS ema FROM o WHERE k=1 UNION ALL SELECT o.user_id, o.event_id, o.k, e.ema+0.25*(o.value-e.ema) FROM e JOIN o ON o.user_id=e.user_id AND o.k=e.k+1)
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, value, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events),
+e AS (SELECT user_id, event_id, k, ms, value AS ema FROM o WHERE k=1 UNION ALL SELECT o.user_id, o.event_id, o.k, o.ms, e.ema+(1-exp(-(o.ms-e.ms)/180.0::DOUBLE))*(o.value-e.ema) FROM e JOIN o ON o.user_id=e.user_id AND o.k=e.k+1)
 SELECT user_id, event_id, round(ema,6) AS ema FROM e""")
 def ema_ground_follow(spark, sf_dir):
-    """Exponential smoothing along each track, as an ordered fold of one track's values."""
-    e = table(spark, sf_dir, "events").filter(F.col("user_id") % 10 == 3)
-    # A track is one viewer's session; its events are bounded by its time span.
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    fold = F.aggregate(
-        F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(1))),
-        F.array(F.struct(F.get("s", 0)["event_id"].alias("event_id"), F.get("s", 0)["value"].alias("ema"))),
-        lambda acc, x: F.array_append(
-            acc, F.struct(x["event_id"].alias("event_id"), (F.element_at(acc, -1)["ema"] + 0.25 * (x["value"] - F.element_at(acc, -1)["ema"])).alias("ema"))
-        ),
-    )
-    return rows.select("user_id", F.explode(fold).alias("f")).select("user_id", "f.event_id", r6(F.col("f.ema"), "ema"))
+    """Exponential smoothing along each track, by the step that the stream takes."""
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("long").alias("track"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").cast("long").alias("seq"), F.col("value").cast("double").alias("z")
+    )
+    return state.follow_table(e).select(F.col("track").alias("user_id"), F.col("seq").alias("event_id"), r6(F.col("level"), "ema"))
+
+
+RADIUS = "((nx*7+ny*13+nz*5+level*11)%101)"
 
 
-@query("""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k<=3""")
+@query(f"""{N}, r AS (SELECT key, level, nx, ny, nz, {RADIUS} AS radius FROM v_nodes), k AS (SELECT a.key AS a, b.key AS b, a.radius AS ra, b.radius AS rb FROM r a JOIN r b ON b.level<a.level
+AND b.nx=(a.nx>>CAST(a.level-b.level AS INT)) AND b.ny=(a.ny>>CAST(a.level-b.level AS INT)) AND b.nz=(a.nz>>CAST(a.level-b.level AS INT))),
+d AS (SELECT a AS key FROM k WHERE rb>=ra UNION SELECT b FROM k WHERE ra>rb) SELECT key, radius FROM r WHERE key NOT IN (SELECT key FROM d) ORDER BY radius DESC, key LIMIT 20""")
 def largest_surfels_topk(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
-    return table(spark, sf_dir, "orders").withColumn("k", F.row_number().over(w)).filter("k <= 3").select("o_orderkey", "o_custkey")
+    """The largest of the tiles' surfels that no larger one above or below them in the tree stands for."""
+    n = views.nodes(spark, sf_dir).withColumn("radius", F.expr(RADIUS))
+    return selection.without_kin(n, "radius").orderBy(F.col("radius").desc(), "key").limit(20).select("key", "radius")

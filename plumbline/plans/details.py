@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
@@ -15,14 +14,14 @@ from plumbline.plans.catalog import CAMERA, SCALE, N, P, SSE_SQL, query, r6
 from plumbline.sources.tables import table
 
 
-@query(f"""{N}, a AS (SELECT key, level, min_x, max_x, min_y, max_y, min_z, max_z FROM v_nodes WHERE level=3), b AS (SELECT * FROM a WHERE key LIKE '3-1-%')
+@query(f"""{N}, a AS (SELECT key, level, min_x, max_x, min_y, max_y, min_z, max_z FROM v_nodes WHERE level=3), b AS (SELECT * FROM a)
 SELECT b.key AS left_key, a.key AS right_key FROM b JOIN a ON b.key<a.key AND a.max_x>=b.min_x AND a.min_x<=b.max_x AND a.max_y>=b.min_y AND a.min_y<=b.max_y
 AND a.max_z>=b.min_z AND a.min_z<=b.max_z""")
 def box_overlap_pairs(spark, sf_dir):
     """Touching boxes of one level: neighbours differ by one cell at most, so that cells make an equi-join."""
     n = views.nodes(spark, sf_dir).filter("level = 3")
     step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(d) for v, d in zip((i, j, k), "xyz")]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    left = n.filter(F.col("key").startswith("3-1-")).select(F.col("key").alias("left_key"), "nx", "ny", "nz", *[F.col(b).alias(f"l_{b}") for b in selection.BOX], step.alias("s"))
+    left = n.select(F.col("key").alias("left_key"), "nx", "ny", "nz", *[F.col(b).alias(f"l_{b}") for b in selection.BOX], step.alias("s"))
     left = left.select("left_key", *[(F.col(f"n{d}") + F.col(f"s.{d}")).alias(f"n{d}") for d in "xyz"], *[f"l_{b}" for b in selection.BOX])
     met = left.join(n, ["nx", "ny", "nz"]).filter(F.col("left_key") < F.col("key"))
     touch = geo.overlaps({b: F.col(f"l_{b}") for b in selection.BOX}, {b: F.col(b) for b in selection.BOX})
@@ -90,19 +89,19 @@ def slope_aspect(spark, sf_dir):
     return s.select("vec_id", F.round("slope", 5).alias("slope"), geo.aspect_label(F.col("x"), F.col("y"), F.col("slope")).alias("aspect"))
 
 
-@query("""WITH a AS (SELECT o_orderkey, o_orderkey%50+1.0::DOUBLE AS r, (o_orderkey%36+1)*10.0::DOUBLE AS deg FROM orders WHERE o_orderkey<2000)
+@query("""WITH a AS (SELECT o_orderkey, o_orderkey%50+1.0::DOUBLE AS r, (o_orderkey%36+1)*10.0::DOUBLE AS deg FROM orders)
 SELECT o_orderkey, CAST(least(greatest(ceil(radians(deg)/(2*acos(1-0.1::DOUBLE/r))),2),256) AS INT) AS segments FROM a""")
 def arc_segment_counts(spark, sf_dir):
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").filter(k < 2000).select(k, geo.arc_segments(k % 50 + F.lit(1.0), F.radians((k % 36 + 1) * F.lit(10.0))).alias("segments"))
+    return table(spark, sf_dir, "orders").select(k, geo.arc_segments(k % 50 + F.lit(1.0), F.radians((k % 36 + 1) * F.lit(10.0))).alias("segments"))
 
 
-@query("""WITH a AS (SELECT o_orderkey, o_orderkey%50+1.0::DOUBLE AS r FROM orders WHERE o_orderkey<200), p AS (SELECT o_orderkey, r, unnest(range(9)) AS i FROM a)
+@query("""WITH a AS (SELECT o_orderkey, o_orderkey%50+1.0::DOUBLE AS r FROM orders), p AS (SELECT o_orderkey, r, unnest(range(9)) AS i FROM a)
 SELECT o_orderkey, i, round(r*cos(radians(20)*i/8*9),6) AS x, round(r*sin(radians(20)*i/8*9),6) AS y FROM p""")
 def arc_points(spark, sf_dir):
     k = F.col("o_orderkey")
     pts = geo.arc_points(F.lit(0.0), F.lit(0.0), k % 50 + F.lit(1.0), F.lit(0.0), F.lit(math.radians(180)), F.lit(8))
-    return table(spark, sf_dir, "orders").filter(k < 200).select(k, F.posexplode(pts).alias("i", "p")).select("o_orderkey", F.col("i").cast("long").alias("i"), r6(F.col("p.x"), "x"), r6(F.col("p.y"), "y"))
+    return table(spark, sf_dir, "orders").select(k, F.posexplode(pts).alias("i", "p")).select("o_orderkey", F.col("i").cast("long").alias("i"), r6(F.col("p.x"), "x"), r6(F.col("p.y"), "y"))
 
 
 @query("""WITH s AS (SELECT o_orderkey AS k, (o_orderkey*7)%100 AS px, (o_orderkey*13)%100 AS py, (o_orderkey*3)%50 AS ax, (o_orderkey*5)%50 AS ay, 50+(o_orderkey*11)%50 AS bx, 50+(o_orderkey*17)%50 AS by_ FROM orders),
@@ -138,9 +137,9 @@ def ground_ladder(spark, sf_dir):
 def fetch_order(spark, sf_dir):
     """The next six tiles to fetch: pinned levels first, then the largest errors."""
     s = selection.score(views.nodes(spark, sf_dir), CAMERA, SCALE).filter("level <= 2")
-    pinned = F.when(F.col("level") == 0, 0).otherwise(1)
-    top = s.orderBy(pinned, F.col("sse").desc(), "key").limit(6)
-    return top.withColumn("k", F.row_number().over(Window.orderBy(pinned, F.col("sse").desc(), "key"))).select("key", F.col("k").cast("long").alias("k"))
+    none = s.limit(0).select("key", F.lit(0.0).alias("seq"))
+    told = selection.fetch_order(s.filter("level = 0").select("key"), none, s.select("key", (-F.col("sse")).alias("seq")), none)
+    return told.select("key", F.col("place").alias("k"))
 
 
 @query("""WITH s AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey%3=0), l AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey%2=0), f AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey%7=0)
@@ -151,9 +150,8 @@ def residency_sets(spark, sf_dir):
     k = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     selected, loaded, asked = k.filter("k % 3 = 0"), k.filter("k % 2 = 0"), k.filter("k % 7 = 0")
     count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    return count(asked.join(selected, "k", "left_anti"), "stale").union(count(selected.join(loaded, "k", "left_anti"), "unsettled")).union(
-        count(selected.union(asked).distinct(), "selected")
-    )
+    stale, missing = selection.residency(*(df.withColumnRenamed("k", "key") for df in (selected, loaded, asked)))
+    return count(stale, "stale").union(count(missing, "unsettled")).union(count(selected.union(asked).distinct(), "selected"))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS seq, o_custkey AS k, CASE WHEN o_orderkey%11=0 THEN 'delete' ELSE 'set' END AS op, CASE WHEN o_orderkey%2=0 THEN o_orderpriority END AS name FROM orders),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,18 +75,22 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVIDENCE = """v_evidence AS (SELECT o_custkey AS feature_id, o_orderkey AS seq,
   (['tin-vertex','picked-coordinate','cloud-point','manual-note','dwg-vertex'])[(o_orderkey%5)+1] AS kind FROM orders)"""
 
-GRID = 64
+
+def grid_side(spark: SparkSession, sf_dir: str) -> int:
+    """A square grid of about as many vertices as there are orders."""
+    return max(8, math.isqrt(table(spark, sf_dir, "orders").count()))
 
 
-def grid_vertices(spark: SparkSession, side: int = GRID) -> DataFrame:
-    i = F.col("id")
+def grid_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side, i = grid_side(spark, sf_dir), F.col("id")
     row, col = F.floor(i / side).cast("long"), i % side
     return spark.range(side * side).select(
         i.alias("vertex_id"), (col * 10).cast("double").alias("x"), (row * 10).cast("double").alias("y"), ((row * 7 + col * 13) % 17).cast("double").alias("z")
     )
 
 
-def grid_faces(spark: SparkSession, side: int = GRID) -> DataFrame:
+def grid_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = grid_side(spark, sf_dir)
     q = side - 1
     row, col = F.floor(F.col("id") / q).cast("long"), F.col("id") % q
     a = row * side + col
@@ -94,22 +100,21 @@ def grid_faces(spark: SparkSession, side: int = GRID) -> DataFrame:
     )
 
 
-TIN = f"""v_vertices AS (SELECT i AS vertex_id, CAST((i%{GRID})*10 AS DOUBLE) AS x, CAST((i//{GRID})*10 AS DOUBLE) AS y,
-  CAST(((i//{GRID})*7+(i%{GRID})*13)%17 AS DOUBLE) AS z FROM range({GRID * GRID}) t(i)),
-v_quads AS (SELECT q, (q//{GRID - 1})*{GRID}+q%{GRID - 1} AS a FROM range({(GRID - 1) ** 2}) t(q)),
-v_faces AS (SELECT q*2 AS face_id, a, a+1 AS b, a+{GRID} AS c FROM v_quads UNION ALL SELECT q*2+1, a+1, a+{GRID + 1}, a+{GRID} FROM v_quads)"""
+TIN = """v_side AS (SELECT greatest(8, CAST(floor(sqrt(count(*))) AS BIGINT)) AS s FROM orders),
+v_vertices AS (SELECT i AS vertex_id, CAST((i%s)*10 AS DOUBLE) AS x, CAST((i//s)*10 AS DOUBLE) AS y, CAST(((i//s)*7+(i%s)*13)%17 AS DOUBLE) AS z FROM (SELECT s, unnest(range(s*s)) AS i FROM v_side)),
+v_quads AS (SELECT q, s, (q//(s-1))*s+q%(s-1) AS a FROM (SELECT s, unnest(range((s-1)*(s-1))) AS q FROM v_side)),
+v_faces AS (SELECT q*2 AS face_id, a, a+1 AS b, a+s AS c FROM v_quads UNION ALL SELECT q*2+1, a+1, a+s+1, a+s FROM v_quads)"""
 
 
 def nodes(spark: SparkSession, sf_dir: str, depth: int = 4) -> DataFrame:
     """Octree nodes of the points to a depth, on the cube of 1000 units at the origin, with the points below each."""
-    side, found = 1000.0, None
-    p = points(spark, sf_dir)
-    # Cells by halving: on this cube the coordinates are whole hundredths and no cell edge is rounded.
-    for level in range(depth + 1):
-        size = side / 2**level
-        cell = [F.floor(F.col(d) / size).cast("long").alias(f"n{d}") for d in "xyz"]
-        at = p.select(*cell).groupBy("nx", "ny", "nz").agg(F.count("*").alias("point_count")).withColumn("level", F.lit(level))
-        found = at if found is None else found.unionByName(at)
+    # On this cube the coordinates are whole hundredths and no cell edge is rounded; points are counted once, in the deepest cells.
+    side, smallest = 1000.0, 1000.0 / 2**depth
+    cell = [F.floor(F.col(d) / smallest).cast("long").alias(f"n{d}") for d in "xyz"]
+    deepest = points(spark, sf_dir).groupBy(*cell).agg(F.count("*").alias("k"))
+    up = [F.expr(f"shiftright(n{d}, {depth} - level)").alias(f"n{d}") for d in "xyz"]
+    each = deepest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    found = each.groupBy("level", *up).agg(F.sum("k").alias("point_count"))
     size = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
     bounds = [((F.col(f"n{d}") + k) * size).alias(f"{m}_{d}") for m, k in (("min", 0), ("max", 1)) for d in "xyz"]
     return found.select(F.concat_ws("-", "level", "nx", "ny", "nz").alias("key"), "level", "nx", "ny", "nz", "point_count", *bounds)

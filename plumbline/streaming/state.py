@@ -25,6 +25,19 @@ def smooth(previous: float | None, value: float | None, elapsed_ms: float, tau_m
     return previous + (value - previous) * (1 - math.exp(-max(0.0, elapsed_ms) / tau_ms))
 
 
+def follow_table(events: DataFrame) -> DataFrame:
+    """events(track, ts_ms, seq, z) of a table -> (track, seq, level). A track is one viewer's session."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, level, last, out = rows.sort_values(["ts_ms", "seq"]), None, None, []
+        for ts, z in zip(rows["ts_ms"].tolist(), rows["z"].tolist()):
+            level, last = smooth(level, z, 0.0 if last is None else ts - last), ts
+            out.append(level)
+        return rows[["track", "seq"]].assign(level=out)
+
+    return events.groupBy("track").applyInPandas(run, "track long, seq long, level double")
+
+
 def _follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     level, last = state.get if state.exists else (None, None)
     rows = pd.concat(list(batches)).sort_values(["ts_ms", "seq"])

@@ -1,6 +1,7 @@
 """Operators against small models of their own, and every registered query against its SQL."""
 
 import math
+import random
 import os
 
 import duckdb
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plumbline.functions import las, text
-from plumbline.operators import mesh, octree, points, project, regions, selection
-from plumbline.plans import catalog, details  # noqa: F401
+from plumbline.operators import editing, listing, mesh, octree, points, project, regions, selection
+from plumbline.plans import catalog, details, more  # noqa: F401
 from plumbline.streaming import state
 
 SF = "/root/testdata/sf0.001"
@@ -83,11 +84,11 @@ def model(n, capacity, depth):
     return owner
 
 
-@pytest.mark.parametrize("n, capacity", [(600, 32), (5000, 32)])
-def test_every_point_has_one_owner(spark, n, capacity):
+@pytest.mark.parametrize("n, capacity, local", [(600, 32, 200), (5000, 32, 900), (5000, 32, 1 << 20)])
+def test_every_point_has_one_owner(spark, n, capacity, local):
     i = F.col("id")
     df = spark.range(n).select(i.alias("idx"), *[(i * k % m * 0.01).alias(d) for d, k, m in (("x", 7919, 100000), ("y", 104729, 100000), ("z", 1299709, 20000))])
-    out = octree.own(df, (0.0,) * 3, (1000.0,) * 3, capacity, 12, block=500).select("idx", "level").collect()
+    out = octree.own(df, (0.0,) * 3, (1000.0,) * 3, capacity, 12, block=500, local=local).select("idx", "level").collect()
     assert len(out) == n and {r.idx: r.level for r in out} == model(n, capacity, 12)
 
 
@@ -210,3 +211,105 @@ def test_residency_stream(spark, tmp_path):
     q.stop()
     got = sorted((r.tick, r.action, r.key) for r in spark.table("tiles").collect())
     assert got == [(0, "fetch", "a"), (0, "fetch", "b"), (1, "evict", "a"), (1, "fetch", "c"), (2, "evict", "b"), (2, "fetch", "d")]
+
+
+def test_octree_store(spark, tmp_path):
+    i = F.col("id")
+    df = spark.range(3000).select(i.alias("idx"), *[(i * k % m * 0.01).alias(d) for d, k, m in (("x", 7919, 100000), ("y", 104729, 100000), ("z", 1299709, 20000))])
+    low, high, folder = (0.0,) * 3, (1000.0,) * 3, tmp_path.as_uri() + "/index"
+    owned = octree.own(df, low, high, 64, 12)
+    with pytest.raises(FileNotFoundError):
+        octree.read_manifest(spark, folder)
+    with pytest.raises(ValueError):
+        octree.write_index(owned, folder + "-short", low, high, 3001)
+    with pytest.raises(FileNotFoundError):
+        octree.read_nodes(spark, folder + "-short")
+    octree.write_index(owned, folder, low, high, 3000, source="cloud")
+    with pytest.raises(FileExistsError):
+        octree.write_index(owned, folder, low, high, 3000)
+    assert octree.read_manifest(spark, folder)["point_count"] == 3000
+    stored = octree.read_points(spark, folder).select("idx", "x", "y", "z")
+    assert {r.n for r in listing.bag_difference(df, stored).collect()} == {0}
+    box = ((100.0, 50.0, 0.0), (400.0, 700.0, 90.0))
+    got = octree.read_points(spark, folder, *box)
+    inside = df.filter(" AND ".join(f"{d} BETWEEN {a} AND {b}" for d, a, b in zip("xyz", *box)))
+    assert {r.idx for r in got.collect()} == {r.idx for r in inside.collect()} and inside.count() > 50
+    assert octree.read_points(spark, folder, levels=(0, 1)).filter("level > 1").isEmpty()
+    nodes = octree.read_nodes(spark, folder)
+    assert nodes.agg(F.sum("point_count")).first()[0] == 3000 and selection.orphans(nodes).isEmpty()
+
+
+def test_drafts_follow_their_states(spark):
+    rng, names = random.Random(3), ("start", "place", "close", "confirm", "cancel")
+    least = {"point": 1, "polyline": 2, "polygon": 3}
+    rows, want = [], {}
+    for d in range(60):
+        mode = rng.choice(list(least))
+        state, n = "idle", 0
+        for k in range(rng.randint(0, 12) + 1):
+            e = rng.choice(names)
+            rows.append((d, k, mode, e))
+            if e == "start" and state in ("idle", "complete", "cancelled"):
+                state, n = "placing", 0
+            elif e == "place" and state in ("placing", "adding"):
+                state, n = ("complete" if mode == "point" else "adding"), n + 1
+            elif e == "close" and state == "adding" and n >= least[mode]:
+                state = "closing"
+            elif e == "confirm" and state == "closing":
+                state = "complete"
+            elif e == "cancel" and state in ("placing", "adding", "closing"):
+                state, n = "cancelled", 0
+        want[d] = (state, n)
+    out = editing.drafts(spark.createDataFrame(rows, "draft long, seq long, mode string, event string")).collect()
+    assert {r.draft: (r.state, r.vertices) for r in out} == want
+
+
+def test_moves_undo_by_their_inverse(spark):
+    vertices = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 9.0, 0.0, 0.0), (2, 0.0, 9.0, 0.0), (3, 9.0, 9.0, 0.0)], "vertex_id long, x double, y double, z double")
+    faces = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 3, 2)], "face_id long, a long, b long, c long")
+    moves = spark.createDataFrame([(0, 1.0, 1.0), (1, -5.0, 12.0), (3, 4.5, 4.5)], "vertex_id long, x double, y double")
+    judged = editing.blocked_moves(faces, vertices, moves)
+    assert {r.vertex_id: r.blocked for r in judged.collect()} == {0: False, 1: True, 3: True}
+    after, commands = editing.apply_moves(vertices, judged)
+    assert {r.vertex_id: (r.x, r.y) for r in after.collect()} == {0: (1.0, 1.0), 1: (9.0, 0.0), 2: (0.0, 9.0), 3: (9.0, 9.0)}
+    back = editing.inverse(commands).select("vertex_id", F.col("to_x").alias("x"), F.col("to_y").alias("y"), F.lit(False).alias("blocked"))
+    assert sorted(editing.apply_moves(after, back)[0].collect()) == sorted(vertices.collect())
+    e = {(r.lo, r.hi): (r.first, r.second) for r in editing.edge_faces(faces).collect()}
+    assert e[1, 2] == (0, 1) and e[0, 1] == (0, None)
+    s = editing.edge_swaps(faces, vertices).collect()
+    assert len(s) == 1 and {s[0].a1, s[0].a2, s[0].a3} == {0, 3, 1} and {s[0].b1, s[0].b2, s[0].b3} == {0, 3, 2}
+    hits = spark.createDataFrame([(7, 0, 4.0, 0.5, 0.0), (8, 0, 0.2, 3.0, 0.0)], "hit_id long, face_id long, x double, y double, z double")
+    assert {r.hit_id: (r.from_id, r.to_id, r.distance) for r in editing.nearest_edges(hits, faces, vertices).collect()} == {7: (0, 1, 0.5), 8: (2, 0, 0.2)}
+
+
+def test_regions_within_budgets(spark):
+    rng = random.Random(5)
+    rows, cells = [], [(0, 0, 0, 0)]
+    while cells:
+        level, *n = cells.pop(0)
+        size = 1000.0 / 2**level
+        count = rng.randint(1, 90)
+        rows.append(("c", "-".join(map(str, (level, *n))), level, *n, count, *[v * size for v in n], *[(v + 1) * size for v in n]))
+        if level < 3:
+            cells += [(level + 1, *(2 * v + (k >> i & 1) for i, v in enumerate(n))) for k in range(8) if rng.random() < 0.5]
+    names = ["cloud", "key", "level", "nx", "ny", "nz", "point_count", *selection.BOX]
+    nodes = spark.createDataFrame(rows, names)
+    low, high, budget = (100.0, 100.0), (700.0, 600.0), 400
+    by_key = {r[2:6]: r for r in rows}
+    queue, told, used, limited = [(0, 0, 0, 0)], [], 0, False
+    while queue:
+        r = by_key.get(queue.pop(0))
+        if r is None or r[10] < low[0] or r[7] > high[0] or r[11] < low[1] or r[8] > high[1]:
+            continue
+        if used + r[6] > budget:
+            limited = True
+            continue
+        used += r[6]
+        told.append(r[1])
+        level, *n = r[2:6]
+        queue += [(level + 1, *(2 * v + (k >> i & 1) for i, v in enumerate(n))) for k in range(8)]
+    out = selection.region_within_budget(nodes, low, high, budget).orderBy("seq").collect()
+    assert [r.key for r in out] == told and out[0].limited == limited
+    parts = selection.sectors(nodes, low, high, budget, 8)
+    assert 1 < len(parts) <= 8
+    assert sum((b[0] - a[0]) * (b[1] - a[1]) for a, b in parts) == pytest.approx(600 * 500)
