@@ -3,46 +3,27 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import materialize, shared_dir, table  # noqa: F401
+
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACES = "\\x09-\\x0D\\x20"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut, and lost executors lose nothing."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of frames that are no longer held."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once for each row."""
     return F.transform(F.array(value), body)[0]

@@ -78,15 +78,14 @@ def lower_bound(counts: np.ndarray, limit: int) -> int:
     """The Martello-Toth bound L2 on the number of sequences; counts[l] pieces have length l."""
     lengths = np.arange(limit + 1)
     number, mass = np.cumsum(counts), np.cumsum(counts * lengths)
-    half, best = limit // 2, 0
+    half = limit // 2
     large, large_mass = number[limit] - number[half], mass[limit] - mass[half]
-    for k in range(0, half + 1):
-        top = number[limit] - number[limit - k]  # over limit - k: nothing of k or more fits beside them
-        mid, mid_mass = large - top, large_mass - (mass[limit] - mass[limit - k])
-        small = mass[half] - (mass[k - 1] if k else 0)
-        spare = mid * limit - mid_mass
-        best = max(best, int(top + mid + max(0, -(-(small - spare) // limit))))
-    return best
+    k = np.arange(half + 1)
+    top = number[limit] - number[limit - k]  # over limit - k: nothing of k or more fits beside them
+    mid, mid_mass = large - top, large_mass - (mass[limit] - mass[limit - k])
+    small = mass[half] - np.concatenate([[0], mass[:half]])
+    spare = mid * limit - mid_mass
+    return int((top + mid + np.maximum(0, -(-(small - spare) // limit))).max())
 
 
 def best_fit(counts: np.ndarray, limit: int) -> list[tuple[int, tuple[int, ...]]]:
