@@ -6,7 +6,8 @@ packing depends on, and that is at most `limit` numbers whatever the input. Bin
 searches over them: the largest length left opens a sequence, the undominated fillings
 around it are tried from the least waste on, each as often as the counts allow, and a
 branch is cut when its sequences and a lower bound on the rest reach the incumbent, which
-best-fit decreasing supplies first. The search ends at the lower bound or after NODES nodes.
+best-fit decreasing supplies first. The search ends at the lower bound, or at the bounds that a
+`Search` sets; EXACT sets none, which suits a few dozen pieces. Whether the result is proven is logged.
 
 The patterns found are dealt to the pieces in Spark: each piece gets a rank among those of
 its length (its rank within the batch that made it, plus that batch's offset), and each
@@ -19,9 +20,12 @@ null; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import logging
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,10 +37,21 @@ from plumbline.llm.common import materialize
 
 LIMIT = 1024
 END_ID = 2
-#: Nodes of the search, and steps of the enumeration at one node, before the incumbent is taken.
-NODES, STEPS = 6000, 400
-#: Fillings tried at one node.
-BRANCHES = 4
+
+
+@dataclass(frozen=True)
+class Search:
+    """Bounds of the search: nodes in all, steps of the enumeration at one node, and fillings tried at it; None is no bound.
+
+    Without bounds every maximal filling is tried, one sequence at a time, so that the search ends with a proof."""
+
+    nodes: int | None = 6000
+    steps: int | None = 400
+    branches: int | None = 4
+
+
+BOUNDED, EXACT = Search(), Search(None, None, None)
+_log = logging.getLogger(__name__)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, block long, rank long"
 
@@ -110,12 +125,14 @@ def best_fit(counts: np.ndarray, limit: int) -> list[tuple[int, tuple[int, ...]]
     return [(n, kind) for x in opened.values() for kind, n in x.items() if n]
 
 
-def fillings(counts: np.ndarray, largest: int, room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` beside `largest`, least waste first, larger pieces first among equals.
+def fillings(counts: np.ndarray, largest: int, room: int, search: Search = BOUNDED) -> list[tuple[int, ...]]:
+    """Fillings of `room` beside `largest`, least waste first, larger pieces first among equals.
 
     A filling is dominated if its pieces fit into the room of another's: with one piece
     that fills the room, all others are. Otherwise they are enumerated from large to small;
-    whatever still takes a piece that is left is dominated by itself with that piece.
+    whatever still takes a piece that is left is dominated by itself with that piece. Without bounds all
+    that are left are returned, the undominated ones among them; with bounds, such as waste no more than
+    any before them, and of these the first `branches`.
     """
     if room <= 0:
         return [()]
@@ -124,12 +141,12 @@ def fillings(counts: np.ndarray, largest: int, room: int) -> list[tuple[int, ...
     have = [int(x) for x in np.flatnonzero(counts[: min(room, largest) + 1])[::-1]]
     left = {x: int(counts[x]) - (x == largest) for x in have}
     found: list[tuple[int, tuple[int, ...]]] = []
-    steps, bound = 0, room
+    steps, bound, branches, most = 0, room, search.branches, math.inf if search.steps is None else search.steps
 
     def extend(chosen: list[int], rest: int, at: int) -> None:
         nonlocal steps, bound
         steps += 1
-        if steps > STEPS or bound == 0 and len(found) >= BRANCHES:
+        if steps > most or bound == 0 and branches and len(found) >= branches:
             return
         fits = False
         for k in range(at, len(have)):
@@ -142,24 +159,29 @@ def fillings(counts: np.ndarray, largest: int, room: int) -> list[tuple[int, ...
             extend(chosen, rest - x, k)
             chosen.pop()
             left[x] += 1
-            if steps > STEPS:
+            if steps > most:
                 break
-        if not fits and rest <= bound:
+        if not fits and (rest <= bound or branches is None):
             bound = rest
             found.append((rest, tuple(chosen)))
 
     extend([], room, 0)
     found.sort(key=lambda f: (f[0], len(f[1])))
-    return [f for _, f in found[:BRANCHES]] or [()]
+    return [f for _, f in found[:branches]] or [()]
 
 
-def bin_completion(counts: np.ndarray, limit: int) -> list[tuple[int, tuple[int, ...]]]:
+def bin_completion(counts: np.ndarray, limit: int, search: Search = BOUNDED) -> list[tuple[int, tuple[int, ...]]]:
     """(times, lengths) for each kind of sequence; every piece of counts is in exactly one."""
+    return complete(counts, limit, search)[0]
+
+
+def complete(counts: np.ndarray, limit: int, search: Search = BOUNDED) -> tuple[list[tuple[int, tuple[int, ...]]], bool]:
+    """The packing, and whether it is proven to need the fewest sequences: it meets the bound, or a search without bounds has ended."""
     counts = np.asarray(counts, np.int64)
     bound, best = lower_bound(counts, limit), best_fit(counts, limit)
     best_n, nodes = sum(n for n, _ in best), 0
     stack = [(counts, 0, ())]
-    while stack and best_n > bound and nodes < NODES:
+    while stack and best_n > bound and (search.nodes is None or nodes < search.nodes):
         left, used, chain = stack.pop()
         nodes += 1
         some = np.flatnonzero(left)
@@ -174,26 +196,28 @@ def bin_completion(counts: np.ndarray, limit: int) -> list[tuple[int, tuple[int,
             continue
         largest = int(some[-1])
         options = []
-        for filling in fillings(left, largest, limit - largest):
+        for filling in fillings(left, largest, limit - largest, search):
             kind = (largest, *filling)
             need = Counter(kind)
-            times = min(int(left[x]) // k for x, k in need.items())
+            times = 1 if search == EXACT else min(int(left[x]) // k for x, k in need.items())
             after = left.copy()
             for x, k in need.items():
                 after[x] -= times * k
             options.append((after, used + times, (chain, times, kind)))
         stack += reversed(options)
-    return best
+    return best, best_n <= bound or search == EXACT
 
 
-def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
+def pack(pieces: DataFrame, limit: int = LIMIT, search: Search = BOUNDED) -> DataFrame:
     """pieces (see PIECES), written to the shared folder already -> the same with sequence_id and offset."""
     spark = pieces.sparkSession
     counts = np.zeros(limit + 1, np.int64)
     for length, n in pieces.groupBy("length").agg(F.count("*")).collect():  # at most `limit` rows
         counts[length] = n
     taken, ranges, first = Counter(), [], 0
-    for times, kind in bin_completion(counts, limit):
+    packing, proven = complete(counts, limit, search)
+    _log.info("%d sequences, %s", sum(n for n, _ in packing), "the fewest" if proven else f"{lower_bound(counts, limit)} at least")
+    for times, kind in packing:
         at = 0
         for length, each in sorted(Counter(kind).items(), reverse=True):
             ranges.append((length, taken[length], taken[length] + times * each, each, first, at))
@@ -217,5 +241,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
-    return pack(materialize(cut_pieces(docs, path, limit, end_id, keep_ids), "pieces"), limit)
+def pack_documents(
+    docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, keep_ids: bool = True, search: Search = BOUNDED
+) -> DataFrame:
+    return pack(materialize(cut_pieces(docs, path, limit, end_id, keep_ids), "pieces"), limit, search)

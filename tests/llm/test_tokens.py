@@ -62,10 +62,42 @@ def test_bin_completion_places_every_piece_within_bounds(seed):
     assert packing.lower_bound(counts, limit) <= n <= sum(t for t, _ in packing.best_fit(counts, limit))
 
 
+def fewest(pieces, limit):
+    """The least number of sequences, by trying every piece in every sequence."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= pieces[i] and rooms[k] not in rooms[:k]:
+                place(i + 1, [*rooms[:k], rooms[k] - pieces[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, limit - pieces[i]])
+
+    place(0, [])
+    return best
+
+
 def test_bin_completion_beats_best_fit():
-    counts = np.zeros(11, int)
-    counts[[6, 5, 4, 3, 2]] = [1, 1, 1, 1, 1]  # 6+4, 5+3+2 fill two
-    assert sum(t for t, _ in packing.bin_completion(counts, 10)) == 2
+    beaten = 0
+    rng = random.Random(12)
+    for _ in range(300):
+        limit = rng.choice([10, 17, 30, 50])
+        pieces = sorted((rng.randint(1, limit) for _ in range(rng.randint(1, 9))), reverse=True)
+        counts = np.bincount(pieces, minlength=limit + 1)
+        want, first = fewest(pieces, limit), sum(n for n, _ in packing.best_fit(counts, limit))
+        for search in (packing.EXACT, packing.BOUNDED):
+            found, proven = packing.complete(counts, limit, search)
+            assert sorted((x for n, kind in found for _ in range(n) for x in kind), reverse=True) == pieces
+            assert all(sum(kind) <= limit for _, kind in found)
+            assert sum(n for n, _ in found) == want or search == packing.BOUNDED and not proven
+        assert packing.lower_bound(counts, limit) <= want <= first
+        beaten += want < first
+    assert beaten  # best fit alone does not always pack the fewest
 
 
 def test_packing_is_whole_and_gapless(spark):
