@@ -26,18 +26,16 @@ def ellipse(centre: Point, major: Point, ratio: float, start: float, end: float,
 
 
 def spline(control: list[tuple[float, ...]], degree: int, knots: list[float], weights: list[float] | None = None, samples: int = 64) -> list[tuple[float, ...]]:
-    """Points of a B-spline, rational with weights; the control points where its data do not fit together."""
-    n = len(control)
-    if degree < 1 or n <= degree or len(knots) != n + degree + 1 or any(a > b for a, b in zip(knots, knots[1:])):
-        return list(control)
-    w = weights if weights and len(weights) == n and all(x > 0 for x in weights) else [1.0] * n
-    low, high = knots[degree], knots[n]
-    if not low < high:
+    """`samples` points of a B-spline, both ends among them, rational with weights; the control points where its data do not fit together."""
+    n, degree = len(control), max(1, int(degree) or 3)
+    if n <= degree or len(knots) < n + degree + 1:
         return list(control)
+    w = [weights[i] if weights and i < len(weights) else 1.0 for i in range(n)]
+    low, high, count = knots[degree], knots[n], max(2, samples)
     out = []
-    for k in range(samples + 1):
-        t = low + (high - low) * k / samples
-        span = max(i for i in range(degree, n) if knots[i] <= t)
+    for k in range(count):
+        t = low + (high - low) * k / (count - 1)
+        span = max((i for i in range(degree, n) if knots[i] <= t), default=degree)
         d = [(*(c * w[i] for c in control[i]), w[i]) for i in range(span - degree, span + 1)]
         for r in range(1, degree + 1):
             for j in range(degree, r - 1, -1):
@@ -45,7 +43,7 @@ def spline(control: list[tuple[float, ...]], degree: int, knots: list[float], we
                 width = knots[i + degree - r + 1] - knots[i]
                 u = (t - knots[i]) / width if width else 0.0
                 d[j] = tuple((1 - u) * a + u * b for a, b in zip(d[j - 1], d[j]))
-        out.append(tuple(c / d[degree][-1] for c in d[degree][:-1]))
+        out.append(tuple(c / (d[degree][-1] or 1) for c in d[degree][:-1]))
     return out
 
 

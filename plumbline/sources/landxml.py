@@ -23,9 +23,11 @@ ROWS = (
     "file string, kind string, surface int, name string, id string, seq int, role string, x double, y double, z double, "
     "a string, b string, c string, visible boolean, detail string"
 )
+# Elements that are read or known to be left aside; all others are reported.
 KNOWN = {
-    "LandXML", "Units", "Metric", "Imperial", "Project", "Application", "Surfaces", "Surface", "Definition", "Pnts", "P", "Faces", "F",
-    "SourceData", "Breaklines", "Breakline", "Boundaries", "Boundary", "Contours", "Contour", "PntList3D", "PntList2D", "Chains", "DataPoints", "PointFiles",
+    "LandXML", "Project", "Application", "Author", "Units", "Imperial", "Metric", "CoordinateSystem", "FeatureDictionary", "Feature", "Property",
+    "Surfaces", "Surface", "Definition", "Pnts", "P", "Faces", "F", "SourceData", "DataPoints", "Breaklines", "Breakline", "Boundaries", "Boundary",
+    "Contours", "Contour", "PntList2D", "PntList3D",
 }
 
 

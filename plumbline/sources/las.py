@@ -1,14 +1,16 @@
 """LAS point clouds: header, variable-length records and points, as a Python data source.
 
     spark.dataSource.register(LasSource)
-    spark.read.format("las").option("path", file).load()
+    spark.read.format("las").load(path)
 
-A partition is a range of records, so that one large file is read by many tasks; option
-`records` sets its length, `start` and `count` read a part of the file.
+The path is a file, a folder with .las files, or a pattern of file names in one. A partition is a range of
+records, so that one large file is read by many tasks; option `records` sets its length, `start`
+and `count` read a part of each file, `box` only points in "x0,y0,z0,x1,y1,z1".
 """
 
 from __future__ import annotations
 
+import fnmatch
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,10 +25,12 @@ RECORDS = 1_000_000
 
 # Byte offset of red in a record, by point format.
 RGB_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
+# And of the GPS time, which formats 0 and 2 lack.
+TIME_AT = {1: 20, 3: 20, 4: 20, 5: 20, 6: 22, 7: 22, 8: 22, 9: 22, 10: 22}
 
 SCHEMA = (
     "idx long, xi int, yi int, zi int, x double, y double, z double, intensity int, classification int, return_byte int, "
-    "return_number int, number_of_returns int, user_data int, r int, g int, b int"
+    "return_number int, number_of_returns int, user_data int, r int, g int, b int, gps_time double, file string"
 )
 
 
@@ -109,10 +113,12 @@ def dtype(header: Header) -> np.dtype:
     at |= {"classification": ("u1", 16 if header.point_format >= 6 else 15), "user_data": ("u1", 17 if header.point_format >= 6 else 16)}
     if (rgb := RGB_AT.get(header.point_format)) is not None:
         at |= {c: ("<u2", rgb + 2 * k) for k, c in enumerate("rgb")}
+    if (time := TIME_AT.get(header.point_format)) is not None:
+        at["gps_time"] = ("<f8", time)
     return np.dtype({"names": list(at), "formats": [f for f, _ in at.values()], "offsets": [o for _, o in at.values()], "itemsize": header.record_bytes})
 
 
-def decode(raw: bytes, header: Header, first: int) -> pa.RecordBatch:
+def decode(raw: bytes, header: Header, first: int, file: str = "") -> pa.RecordBatch:
     """Points of whole records; a record cut short at the end is left out."""
     rec = np.frombuffer(raw[: len(raw) // header.record_bytes * header.record_bytes], dtype(header))
     new = header.point_format >= 6
@@ -124,7 +130,25 @@ def decode(raw: bytes, header: Header, first: int) -> pa.RecordBatch:
     rgb = header.point_format in RGB_AT
     cols |= {c: rec[c] if rgb else np.full(len(rec), 255) for c in "rgb"}
     kinds = {"idx": pa.int64(), "x": pa.float64(), "y": pa.float64(), "z": pa.float64()}
-    return pa.RecordBatch.from_arrays([pa.array(v).cast(kinds.get(k, pa.int32())) for k, v in cols.items()], names=list(cols))
+    arrays = {k: pa.array(v).cast(kinds.get(k, pa.int32())) for k, v in cols.items()}
+    arrays["gps_time"] = pa.array(rec["gps_time"]) if header.point_format in TIME_AT else pa.nulls(len(rec), pa.float64())
+    arrays["file"] = pa.repeat(pa.scalar(file), len(rec))
+    return pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+
+
+def list_files(path: str) -> list[str]:
+    """The file, the .las files of a folder, or the files of a folder whose names fit a pattern, in order."""
+    folder, _, name = path.rpartition("/")
+    pattern = any(c in name for c in "*?[")
+    fs, at = open_input((folder or ".") if pattern else path)
+    if pattern:
+        found, keep, whole = pafs.FileSelector(at), lambda f: fnmatch.fnmatchcase(f.base_name, name), folder
+    elif fs.get_file_info(at).type == pafs.FileType.Directory:
+        found, keep, whole = pafs.FileSelector(at, recursive=True), lambda f: f.base_name.lower().endswith(".las"), path
+    else:
+        return [path]
+    head = whole.rstrip("/").removesuffix(at.rstrip("/"))  # the scheme, and whatever else stands before the path
+    return sorted(head + f.path for f in fs.get_file_info(found) if f.is_file and keep(f))
 
 
 def read_header(path: str) -> Header:
@@ -144,20 +168,34 @@ class LasReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.size = options["path"], int(options.get("records", RECORDS))
         self.start, self.count = int(options.get("start", 0)), options.get("count")
+        self.box = [float(x) for x in options["box"].split(",")] if "box" in options else None
 
     def partitions(self) -> list[Records]:
-        n = read_header(self.path).n_points
-        end = n if self.count is None else min(n, self.start + int(self.count))
-        return [Records(self.path, at, min(self.size, end - at)) for at in range(self.start, end, self.size)] or [Records(self.path, 0, 0)]
+        out = []
+        for path in list_files(self.path):
+            head = read_header(path)
+            if self.box and any(head.high[k] < self.box[k] or head.low[k] > self.box[k + 3] for k in range(3)):
+                continue  # nothing of the file lies in the box
+            end = head.n_points if self.count is None else min(head.n_points, self.start + int(self.count))
+            out += [Records(path, at, min(self.size, end - at)) for at in range(self.start, end, self.size)]
+        return out or [Records("", 0, 0)]
 
     def read(self, part: Records) -> Iterator[pa.RecordBatch]:
+        if not part.count:
+            return
         header = read_header(part.path)
         fs, at = open_input(part.path)
         step = 1 << 16
         with fs.open_input_file(at) as f:
             f.seek(header.points_at + part.start * header.record_bytes)
             for k in range(0, part.count, step):
-                yield decode(f.read(min(step, part.count - k) * header.record_bytes), header, part.start + k)
+                batch = decode(f.read(min(step, part.count - k) * header.record_bytes), header, part.start + k, part.path)
+                if self.box:
+                    inside = np.ones(batch.num_rows, bool)
+                    for d, low, high in zip("xyz", self.box, self.box[3:]):
+                        inside &= (batch.column(d).to_numpy() >= low) & (batch.column(d).to_numpy() <= high)
+                    batch = batch.filter(pa.array(inside))
+                yield batch
 
 
 class LasSource(DataSource):

@@ -1,5 +1,6 @@
 """File formats: points, tiles, surfaces and linework."""
 
+import dataclasses
 import math
 import struct
 
@@ -152,7 +153,7 @@ def test_world_files(spark):
 def test_curves(spark):
     pts = curves.ellipse((1.0, 2.0), (3.0, 0.0), 0.5, 0.0, 2 * math.pi)
     assert all(math.isclose(((x - 1) / 3) ** 2 + ((y - 2) / 1.5) ** 2, 1.0) for x, y in pts)
-    line = curves.spline([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (3.0, 3.0)], 3, [0, 0, 0, 0, 1, 1, 1, 1], samples=8)
+    line = curves.spline([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (3.0, 3.0)], 3, [0, 0, 0, 0, 1, 1, 1, 1], samples=9)
     assert len(line) == 9 and all(math.isclose(x, y, abs_tol=1e-12) for x, y in line) and math.isclose(line[4][0], 1.5)
     assert curves.spline([(0.0, 0.0)], 3, [0, 1]) == [(0.0, 0.0)]
     square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
@@ -179,3 +180,30 @@ def test_project_files(spark, tmp_path):
     assert project.unique_name("a.las", {"a.las", "a-2.las"}) == "a-3.las"
     found = project.issues(project.lists(spark, f"{folder}/{project.MANIFEST}"), "s")
     assert sorted(tuple(r) for r in found.collect()) == [("other-simulation", "features", "g"), ("repeated-id", "assets", "a"), ("unknown-feature", "exclusionZones", "z")]
+
+
+def test_las_folders_patterns_and_boxes(spark, tmp_path):
+    spark.dataSource.register(las.LasSource)
+    for k, name in enumerate(("a.las", "b.LAS", "note.txt")):
+        if k < 2:
+            las_file(tmp_path / name, 100 + k)
+        else:
+            (tmp_path / name).write_text("no points")
+    read = lambda path, **o: spark.read.format("las").options(**o).load(str(path))
+    assert read(tmp_path).count() == 201 and read(tmp_path).select("file").distinct().count() == 2
+    assert read(f"{tmp_path}/a*").count() == 100 and read(f"{tmp_path.as_uri()}/?.las").count() == 100
+    box = (0.0, 0.0, 0.0, 400.0, 500.0, 100.0)
+    whole, part = read(tmp_path), read(tmp_path, box=",".join(map(str, box)))
+    inside = " AND ".join(f"{d} BETWEEN {box[k]} AND {box[k + 3]}" for k, d in enumerate("xyz"))
+    assert 0 < part.count() == whole.filter(inside).count() < 201
+    assert whole.filter("gps_time is null").isEmpty()
+    assert las.dtype(dataclasses.replace(las.read_header(f"{tmp_path}/a.las"), point_format=2)).names[-1] != "gps_time"
+
+
+def test_spline_samples_both_ends():
+    control, knots = [(0.0, 0.0), (1.0, 2.0), (3.0, 2.0), (4.0, 0.0)], [0, 0, 0, 0, 1, 1, 1, 1, 1, 1]
+    line = curves.spline(control, 3, knots, samples=9)
+    assert len(line) == 9 and line[0] == control[0] and line[-1] == control[-1]
+    t = 0.25
+    want = [sum(math.comb(3, i) * t**i * (1 - t) ** (3 - i) * control[i][d] for i in range(4)) for d in (0, 1)]
+    assert line[2] == pytest.approx(want)
