@@ -157,3 +157,51 @@ def raster_bounds(width: Column, height: Column, t: dict[str, Column]) -> Column
 
 def sheet_to_ground(px: Column, py: Column, width: Column, height: Column, per_foot: Column) -> Column:
     return F.struct(((px - width / 2) / per_foot).alias("x"), (-((py - height / 2) / per_foot)).alias("y"))
+
+
+Pair = tuple[Column, Column]
+
+
+def turn(a: Pair, b: Pair, c: Pair) -> Column:
+    """Twice the signed area of a, b, c."""
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
+def on_segment(a: Pair, b: Pair, p: Pair, epsilon: float = 1e-6) -> Column:
+    out = F.abs(turn(a, b, p)) <= epsilon
+    for k in (0, 1):
+        out = out & (p[k] >= F.least(a[k], b[k]) - epsilon) & (p[k] <= F.greatest(a[k], b[k]) + epsilon)
+    return out
+
+
+def segments_meet(a: Pair, b: Pair, c: Pair, d: Pair, epsilon: float = 1e-6) -> Column:
+    """Whether segments ab and cd cross, or an end of one lies on the other."""
+    crossing = (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
+    return crossing | on_segment(a, b, c, epsilon) | on_segment(a, b, d, epsilon) | on_segment(c, d, a, epsilon) | on_segment(c, d, b, epsilon)
+
+
+def ring_edges(ring: Column) -> Column:
+    """An array of structs a, b from an array of structs x, y; the last point joins the first."""
+    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, (i + 1) % F.size(ring)).alias("b")))
+
+
+def ring_holds(ring: Column, x: Column, y: Column) -> Column:
+    """The even-odd rule with half-open edges, for a ring in a column."""
+
+    def crosses(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
+
+    return F.size(F.filter(ring_edges(ring), lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+
+
+def edge_allowed(ring: Column, a: Pair, b: Pair, epsilon: float = 1e-6) -> Column:
+    """Whether an edge between two points may be drawn within a ring: an edge of its border, or one whose middle lies inside or on it and that meets no border edge it shares no end with."""
+    same = lambda p, q: (F.abs(p[0] - q["x"]) <= epsilon) & (F.abs(p[1] - q["y"]) <= epsilon)
+    at = lambda p: (p["x"], p["y"])
+    edges, middle = ring_edges(ring), ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
+    border = F.exists(edges, lambda e: (same(a, e["a"]) & same(b, e["b"])) | (same(a, e["b"]) & same(b, e["a"])))
+    inside = ring_holds(ring, *middle) | F.exists(edges, lambda e: on_segment(at(e["a"]), at(e["b"]), middle, epsilon))
+    shares = lambda e: same(a, e["a"]) | same(a, e["b"]) | same(b, e["a"]) | same(b, e["b"])
+    met = F.exists(edges, lambda e: ~shares(e) & segments_meet(a, b, at(e["a"]), at(e["b"]), epsilon))
+    return border | (inside & ~met)

@@ -208,7 +208,7 @@ def own(
             yield pd.DataFrame({"idx": b["idx"], "level": b["level"], "nx": nx, "ny": ny, "nz": nz})
 
     every = below + ([reduce(DataFrame.union, found).mapInPandas(cells, "idx long, level int, nx long, ny long, nz long")] if found else [])
-    owners = reduce(DataFrame.union, every)
+    owners = materialize(reduce(DataFrame.union, every), "owners")  # read more than once by those who sort or count them
     return points.join(owners.withColumnRenamed("idx", order), order).select(*points.columns, *NODE)
 
 

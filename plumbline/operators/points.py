@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import geometry as geo
 from plumbline.functions import las
 
 #: Surfel cells: factors of the point spacing, least points, and limits of radius and confidence.
@@ -174,3 +175,18 @@ def nearest_within(queries: DataFrame, candidates: DataFrame, reach: float, *ord
     key = F.struct(*[F.col(o) for o in order], F.col("distance"), (-F.col("seq")).alias("_s"))
     best = met.groupBy("query_id").agg(F.min_by(F.struct("seq", "distance", *order), key).alias("_b"))
     return best.select("query_id", "_b.*")
+
+
+def count_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """(polygon_id, inside, inside_filtered): points(x, y, passes) of each of polygons(polygon_id, ring), all of them and those that pass.
+
+    Polygons are dealt to the cells of a grid that their bounds meet, points to their cell: an equi-join. A point is in one
+    cell, so that it meets a polygon once."""
+    axis = lambda d: F.transform("ring", lambda p: p[d])
+    xs, ys = axis("x"), axis("y")
+    span = lambda v: F.sequence(F.floor(F.array_min(v) / cell).cast("long"), F.floor(F.array_max(v) / cell).cast("long"))
+    dealt = polygons.select("polygon_id", "ring", F.explode(span(xs)).alias("gx"), ys.alias("_y")).select("polygon_id", "ring", "gx", F.explode(span(F.col("_y"))).alias("gy"))
+    p = points.select("x", "y", "passes", *[F.floor(F.col(d) / cell).cast("long").alias(f"g{d}") for d in "xy"])
+    inside = p.join(dealt, ["gx", "gy"]).filter(geo.ring_holds(F.col("ring"), F.col("x"), F.col("y")))
+    found = inside.groupBy("polygon_id").agg(F.count("*").alias("inside"), F.count_if("passes").alias("inside_filtered"))
+    return polygons.select("polygon_id").join(found, "polygon_id", "left").fillna(0, ["inside", "inside_filtered"])

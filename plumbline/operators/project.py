@@ -114,3 +114,30 @@ def replay(rows: DataFrame, commands: DataFrame, key: str, fields: list[str]) ->
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+INDEX_KIND, SURFEL_KIND = "point-cloud-index", "analytic-surfel-render"
+
+
+def asset_issues(assets: DataFrame) -> DataFrame:
+    """(rule, id) of assets(id, kind, truth, index_source, surfel_source, surfel_index) whose payload and kind do not agree, or whose sources are unknown.
+
+    index_source is there exactly for fully indexed point-cloud indexes, surfel_source for derived surfels."""
+    kind, truth = F.col("kind"), F.col("truth")
+    fits = lambda name, truly: F.col(name).isNotNull() != F.coalesce(truly, F.lit(False))
+    own = (
+        ("index-payload", fits("index_source", (kind == INDEX_KIND) & (truth == "indexed-full"))),
+        ("surfel-payload", fits("surfel_source", (kind == SURFEL_KIND) & (truth == "derived"))),
+    )
+    told = assets.select("id", F.explode(F.array_compact(F.array(*[F.when(wrong, rule) for rule, wrong in own]))).alias("rule"))
+    links = F.array(*[F.struct(F.lit(f"unknown-{c.replace('_', '-')}").alias("rule"), F.col(c).alias("target")) for c in ("index_source", "surfel_source", "surfel_index")])
+    each = assets.select("id", F.explode(links).alias("l")).select("id", "l.rule", "l.target").filter("target is not null")
+    unknown = each.join(assets.select(F.col("id").alias("target")), "target", "left_anti")
+    return told.select("rule", "id").union(unknown.select("rule", "id"))
+
+
+def surfel_evidence(evidence: DataFrame, assets: DataFrame) -> DataFrame:
+    """(rule, id) of features whose evidence(feature_id, asset_id) names a surfel asset: surfels are derived. Unknown assets are allowed."""
+    surfels = assets.filter(F.col("kind") == SURFEL_KIND).select(F.col("id").alias("asset_id"))
+    bad = evidence.join(surfels, "asset_id", "left_semi").select("feature_id").distinct()
+    return bad.select(F.lit("surfel-evidence").alias("rule"), F.col("feature_id").alias("id"))

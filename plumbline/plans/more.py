@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import display
-from plumbline.operators import editing, listing, selection
+from plumbline.functions import geometry as geo
+from plumbline.operators import editing, listing, points, project, selection
 from plumbline.plans import views
 from plumbline.plans.catalog import CAMERA, N, P, query, r6
 from plumbline.sources.tables import table
@@ -407,3 +408,65 @@ def region_sectors(spark, sf_dir):
     total = n.agg(F.sum("point_count")).first()[0]
     found = selection.sectors(n, (100.0, 100.0), (900.0, 700.0), total // 6, 8)
     return spark.createDataFrame([(*low, *high) for low, high in found], "min_x double, min_y double, max_x double, max_y double")
+
+
+@query("""WITH a AS (SELECT p_partkey AS id, p_partkey%3 AS k, p_partkey%4<>0 AS truly, CASE WHEN p_partkey%5<>0 THEN p_partkey*2%2500 END AS link FROM part),
+b AS (SELECT id, k=1 AND truly AS is_index, k=2 AND truly AS is_surfel, CASE WHEN k=1 THEN link END AS i, CASE WHEN k=2 THEN link END AS s, CASE WHEN k=2 AND id%7=0 THEN id+1 END AS x FROM a)
+SELECT 'index-payload' AS rule, id FROM b WHERE (i IS NOT NULL)<>is_index UNION ALL SELECT 'surfel-payload', id FROM b WHERE (s IS NOT NULL)<>is_surfel
+UNION ALL SELECT 'unknown-index-source', id FROM b WHERE i NOT IN (SELECT id FROM a) UNION ALL SELECT 'unknown-surfel-source', id FROM b WHERE s NOT IN (SELECT id FROM a)
+UNION ALL SELECT 'unknown-surfel-index', id FROM b WHERE x NOT IN (SELECT id FROM a)
+UNION ALL SELECT DISTINCT 'surfel-evidence', o_custkey FROM orders WHERE o_orderkey%3000 IN (SELECT id FROM a WHERE k=2)""")
+def manifest_issues(spark, sf_dir):
+    k = F.col("p_partkey")
+    link = F.when(k % 5 != 0, k * 2 % 2500)
+    assets = table(spark, sf_dir, "part").select(
+        k.alias("id"), F.when(k % 3 == 1, project.INDEX_KIND).when(k % 3 == 2, project.SURFEL_KIND).otherwise("point-cloud").alias("kind"),
+        F.when(k % 4 == 0, "source").when(k % 3 == 1, "indexed-full").otherwise("derived").alias("truth"),
+        F.when(k % 3 == 1, link).alias("index_source"), F.when(k % 3 == 2, link).alias("surfel_source"), F.when((k % 3 == 2) & (k % 7 == 0), k + 1).alias("surfel_index"),
+    )
+    evidence = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("feature_id"), (F.col("o_orderkey") % 3000).alias("asset_id"))
+    return project.asset_issues(assets).union(project.surfel_evidence(evidence, assets))
+
+
+def _polygons(spark, sf_dir):
+    """Customers' work areas: rings of six corners."""
+    k = F.col("c_custkey")
+    x, y = (k * 37 % 900).cast("double"), (k * 91 % 900).cast("double")
+    corners = ((0, 0), (60, 5), (45, 30), (70, 80), (30, 50), (5, 75))
+    ring = F.array(*[F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in corners])
+    return table(spark, sf_dir, "customer").select(k.alias("polygon_id"), ring.alias("ring"))
+
+
+_CORNERS = ((0, 0), (60, 5), (45, 30), (70, 80), (30, 50), (5, 75))
+_EDGES = [(a, b) for a, b in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1]) if a[1] != b[1]]
+_CROSS = "+".join(f"CAST((({ay}>v)<>({by}>v)) AND u<({bx - ax}*(v-{ay})/{by - ay}::DOUBLE+{ax}) AS INT)" for (ax, ay), (bx, by) in _EDGES)
+
+
+@query(f"""{P}, c AS (SELECT c_custkey AS id, CAST(c_custkey*37%900 AS DOUBLE) AS x0, CAST(c_custkey*91%900 AS DOUBLE) AS y0 FROM customer),
+h AS (SELECT id, x-x0 AS u, y-y0 AS v, classification<>2 AS passes FROM c JOIN v_points ON x BETWEEN x0 AND x0+70 AND y BETWEEN y0 AND y0+80),
+i AS (SELECT id, count(*) AS n, count(*) FILTER (passes) AS m FROM h WHERE ({_CROSS})%2=1 GROUP BY id)
+SELECT c.id AS polygon_id, coalesce(n,0) AS inside, coalesce(m,0) AS inside_filtered FROM c LEFT JOIN i ON i.id=c.id""")
+def points_in_work_areas(spark, sf_dir):
+    p = views.points(spark, sf_dir).select("x", "y", (F.col("classification") != 2).alias("passes"))
+    return points.count_in_polygons(p, _polygons(spark, sf_dir), 50.0)
+
+
+@query("""WITH s AS (SELECT o_orderkey AS k, (o_orderkey*7)%50 AS ax, (o_orderkey*13)%50 AS ay, (o_orderkey*3)%50 AS bx, (o_orderkey*5)%50 AS by_, (o_orderkey*11)%50 AS cx, (o_orderkey*17)%50 AS cy, (o_orderkey*19)%50 AS dx, (o_orderkey*23)%50 AS dy FROM orders),
+o AS (SELECT *, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS o1, (bx-ax)*(dy-ay)-(by_-ay)*(dx-ax) AS o2, (dx-cx)*(ay-cy)-(dy-cy)*(ax-cx) AS o3, (dx-cx)*(by_-cy)-(dy-cy)*(bx-cx) AS o4 FROM s)
+SELECT k, (o1*o2<0 AND o3*o4<0) OR (o1=0 AND cx BETWEEN least(ax,bx) AND greatest(ax,bx) AND cy BETWEEN least(ay,by_) AND greatest(ay,by_))
+OR (o2=0 AND dx BETWEEN least(ax,bx) AND greatest(ax,bx) AND dy BETWEEN least(ay,by_) AND greatest(ay,by_)) OR (o3=0 AND ax BETWEEN least(cx,dx) AND greatest(cx,dx) AND ay BETWEEN least(cy,dy) AND greatest(cy,dy))
+OR (o4=0 AND bx BETWEEN least(cx,dx) AND greatest(cx,dx) AND by_ BETWEEN least(cy,dy) AND greatest(cy,dy)) AS meet FROM o""")
+def segment_intersections(spark, sf_dir):
+    k = F.col("o_orderkey")
+    at = lambda p, q: ((k * p % 50).cast("double"), (k * q % 50).cast("double"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), geo.segments_meet(at(7, 13), at(3, 5), at(11, 17), at(19, 23)).alias("meet"))
+
+
+@query(None)
+def edges_within_work_areas(spark, sf_dir):
+    """Which of the straight lines between corners of a work area may be drawn in it."""
+    p = _polygons(spark, sf_dir)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(6) for j in range(i)]))
+    e = p.withColumn("e", pairs).select("polygon_id", "ring", "e.*")
+    at = lambda k: (F.get("ring", F.col(k))["x"], F.get("ring", F.col(k))["y"])
+    return e.select("polygon_id", "i", "j", geo.edge_allowed(F.col("ring"), at("i"), at("j")).alias("allowed"))

@@ -313,3 +313,24 @@ def test_regions_within_budgets(spark):
     parts = selection.sectors(nodes, low, high, budget, 8)
     assert 1 < len(parts) <= 8
     assert sum((b[0] - a[0]) * (b[1] - a[1]) for a, b in parts) == pytest.approx(600 * 500)
+
+
+def test_edges_of_a_concave_ring(spark):
+    corners = [(0, 0), (60, 5), (45, 30), (70, 80), (30, 50), (5, 75)]
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+    def inside(p):
+        hits = 0
+        for a, b in zip(corners, corners[1:] + corners[:1]):
+            if turn(a, b, p) == 0 and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1]):
+                return True
+            hits += (a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0]
+        return hits % 2 == 1
+
+    want = {}
+    for i in range(6):
+        for j in range(i):
+            steps = [tuple(corners[i][d] + (corners[j][d] - corners[i][d]) * t / 997 for d in (0, 1)) for t in range(1, 997)]
+            want[i, j] = (i - j) in (1, 5) or all(map(inside, steps))
+    rows = more.edges_within_work_areas(spark, SF).filter("polygon_id <= 3").collect()
+    assert rows and all(r.allowed == want[r.i, r.j] for r in rows)
