@@ -334,3 +334,17 @@ def test_edges_of_a_concave_ring(spark):
             want[i, j] = (i - j) in (1, 5) or all(map(inside, steps))
     rows = more.edges_within_work_areas(spark, SF).filter("polygon_id <= 3").collect()
     assert rows and all(r.allowed == want[r.i, r.j] for r in rows)
+
+
+def test_triangles_stay_in_a_concave_region():
+    ring = [(0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (3.5, 5.0), (3.5, 1.5), (1.5, 1.5), (1.5, 5.0), (0.0, 5.0)]
+    rng = random.Random(8)
+    extra = [(rng.uniform(0, 5), rng.uniform(0, 5)) for _ in range(40)]
+    kept, triangles = regions.patch(ring, extra)
+    assert all(regions.inside(p, ring) for p in kept) and len(kept) > 20
+    for t in triangles:
+        corners = [kept[v] for v in t]
+        for _ in range(40):  # any point of a triangle lies in the region
+            w = sorted((rng.random(), rng.random()))
+            w = (w[0], w[1] - w[0], 1 - w[1])
+            assert regions.inside(tuple(sum(c[d] * k for c, k in zip(corners, w)) for d in (0, 1)), ring, 1e-6)
