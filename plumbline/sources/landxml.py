@@ -7,16 +7,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
+from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
+from plumbline.sources.tables import materialize
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<\?.*?(?:\?>|$)|<!.*?(?:>|$)|<(/?)([^\s/>]+)([^>]*?)(/?)>|([^<]+)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 _ENTITY = re.compile(r"&(#x[0-9a-fA-F]+|#[0-9]+|lt|gt|amp|quot|apos);")
+#: Rows of a file that are in memory at once.
+CHUNK = 1 << 16
 _NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
 
 ROWS = (
@@ -115,14 +120,16 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in ROWS.split(", ")]
     for batch in batches:
         for file, content in zip(batch["path"], batch["content"]):
-            rows = [{"file": file, **r} for r in parse(file, bytes(content).decode("utf-8", "replace"))]
-            out = pd.DataFrame(rows, columns=names).astype(object)
-            yield out.where(out.notna(), None)
+            told = ({"file": file, **r} for r in parse(file, bytes(content).decode("utf-8", "replace")))
+            while rows := list(islice(told, CHUNK)):
+                out = pd.DataFrame(rows, columns=names).astype(object)
+                yield out.where(out.notna(), None)
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """surfaces, vertices, faces (vertex numbers a, b, c), rejected faces, lines, units and unknown elements."""
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_rows, ROWS)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = materialize(files.mapInPandas(_rows, ROWS), "landxml")  # each file is parsed once
     kind = lambda k: rows.filter(F.col("kind") == k)
     vertices = kind("vertex").select("file", "surface", F.col("seq").alias("vertex"), "id", "x", "y", "z")
     faces = kind("face").select("file", "surface", "a", "b", "c", "visible")
@@ -142,10 +149,36 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def write(surfaces: DataFrame, vertices: DataFrame, faces: DataFrame, places: int = 3) -> DataFrame:
+def provenance(modified: Column, dirty: Column, explicit: Column, app: str) -> Column:
+    """The comment of a written surface: what was changed, by the number of vertices if it is known, and whose triangulation it has."""
+    some = F.concat(modified.cast("string"), F.when(modified == 1, " vertex modified").otherwise(" vertices modified"))
+    status = F.when(modified > 0, some).when(modified.isNull() & F.coalesce(dirty, F.lit(False)), "surface modified").otherwise("no changes")
+    made = F.when(explicit, "triangulation preserved from source").otherwise("triangulation rebuilt")
+    return F.concat(F.lit(f"<!-- exported by {escape(app)}; "), status, F.lit("; "), made, F.lit(" -->"))
+
+
+def _polylines(lines: DataFrame, places: int) -> DataFrame:
+    """(file, surface, breaklines, contours, boundaries): the elements of each surface's lines, in order of their numbers."""
+    point = F.concat_ws(" ", *[F.format_string(f"%.{places}f", F.coalesce(F.col(c), F.lit(0.0))) for c in "yxz"])
+    each = lines.groupBy("file", "surface", "role", F.col("line").cast("int").alias("k")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", point.alias("p")))), lambda s: s["p"]), " ").alias("points"), F.first("boundary").alias("kind")
+    )
+    list_ = F.concat(F.lit("<PntList3D>"), F.col("points"), F.lit("</PntList3D>"))
+    boundary = F.concat(F.lit('<Boundary bndType="'), F.coalesce("kind", F.lit("outer")), F.lit('">'), list_, F.lit("</Boundary>"))
+    tag = lambda name: F.concat(F.lit(f"<{name}>"), list_, F.lit(f"</{name}>"))
+    text = F.when(F.col("role") == "boundary", boundary).when(F.col("role") == "contour", tag("Contour")).otherwise(tag("Breakline"))
+    told = each.filter(F.col("role").isin("breakline", "contour", "boundary")).withColumn("xml", text)
+    whole = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("k", "xml")))), lambda s: s["xml"]), "")
+    around = lambda c, *names: F.when(F.length(c) > 0, F.concat(F.lit("".join(f"<{n}>" for n in names)), c, F.lit("".join(f"</{n}>" for n in names[::-1])))).otherwise("")
+    found = told.groupBy("file", "surface").agg(*[whole(r).alias(r) for r in ("breakline", "contour", "boundary")])
+    return found.select("file", "surface", F.concat(around(F.col("breakline"), "SourceData", "Breaklines"), around(F.col("contour"), "Contours"), around(F.col("boundary"), "Boundaries")).alias("ls"))
+
+
+def write(surfaces: DataFrame, vertices: DataFrame, faces: DataFrame, places: int = 3, lines: DataFrame | None = None, unit: str | None = None) -> DataFrame:
     """(file, xml): LandXML text of each file's surfaces, with coordinates to a fixed number of decimals.
 
-    A surface's lines are gathered in order, since a text file has one writer; surfaces are written apart."""
+    lines are those of `read`: breaklines, contours and boundaries are written. surfaces may have a column comment,
+    such as `provenance`. A surface's lines are gathered in order, since a text file has one writer; surfaces are written apart."""
     number = lambda c: F.format_string(f"%.{places}f", F.col(c))
     p = vertices.select("file", "surface", F.col("vertex").alias("k"), F.concat(
         F.lit('<P id="'), (F.col("vertex") + 1).cast("string"), F.lit('">'), F.concat_ws(" ", number("y"), number("x"), number("z")), F.lit("</P>")
@@ -157,11 +190,17 @@ def write(surfaces: DataFrame, vertices: DataFrame, faces: DataFrame, places: in
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda s: s["line"]), "\n").alias(name)
     )
     each = surfaces.join(gather(p, "ps"), ["file", "surface"], "left").join(gather(f, "fs"), ["file", "surface"], "left")
+    each = each.join(_polylines(lines, places), ["file", "surface"], "left") if lines is not None else each.withColumn("ls", F.lit(""))
+    comment = F.coalesce("comment", F.lit("")) if "comment" in surfaces.columns else F.lit("")
     body = F.concat(
-        F.lit('<Surface name="'), tx.escape_xml(F.col("name")), F.lit('"><Definition surfType="TIN"><Pnts>\n'), F.coalesce("ps", F.lit("")),
-        F.lit("\n</Pnts><Faces>\n"), F.coalesce("fs", F.lit("")), F.lit("\n</Faces></Definition></Surface>"),
+        F.lit('<Surface name="'), tx.escape_xml(F.col("name")), F.lit('">'), comment, F.lit('<Definition surfType="TIN"><Pnts>\n'), F.coalesce("ps", F.lit("")),
+        F.lit("\n</Pnts><Faces>\n"), F.coalesce("fs", F.lit("")), F.lit("\n</Faces>"), F.coalesce("ls", F.lit("")), F.lit("</Definition></Surface>"),
     )
     whole = each.select("file", F.struct("surface", body.alias("xml")).alias("s")).groupBy("file").agg(F.array_sort(F.collect_list("s")).alias("s"))
     text = F.array_join(F.transform("s", lambda s: s["xml"]), "\n")
-    head = '<?xml version="1.0"?>\n<LandXML xmlns="http://www.landxml.org/schema/LandXML-1.2" version="1.2">\n<Surfaces>\n'
+    head = '<?xml version="1.0"?>\n<LandXML xmlns="http://www.landxml.org/schema/LandXML-1.2" version="1.2">\n'
+    if unit:
+        tag = "Metric" if "meter" in unit.lower() else "Imperial"
+        head += f'<Units><{tag} linearUnit="{escape(unit)}"/></Units>\n'
+    head += "<Surfaces>\n"
     return whole.select("file", F.concat(F.lit(head), text, F.lit("\n</Surfaces>\n</LandXML>\n")).alias("xml"))

@@ -94,12 +94,16 @@ def test_landxml_tables_and_round_trip(spark, tmp_path):
     assert sorted((r.a, r.b, r.c, r.visible) for r in t["faces"].collect()) == [(0, 1, 2, True), (0, 2, 3, False)]
     assert t["rejected"].collect()[0].c == "99" and [r.name for r in t["unknown"].collect()] == ["Odd"]
     assert {r.boundary for r in t["lines"].collect()} == {"inclusion"} and t["units"].collect()[0].unit == "meter"
-    xml = landxml.write(t["surfaces"], t["vertices"], t["faces"]).collect()[0].xml
+    told = landxml.provenance(F.when(F.col("surface") == 0, 1), F.col("surface") == 1, F.col("surface") == 0, "plumb & line")
+    xml = landxml.write(t["surfaces"].withColumn("comment", told), t["vertices"], t["faces"], lines=t["lines"], unit="meter").collect()[0].xml
+    assert "<!-- exported by plumb &amp; line; 1 vertex modified; triangulation preserved from source -->" in xml and "; surface modified; triangulation rebuilt -->" in xml
     (tmp_path / "out").mkdir()
     (tmp_path / "out/s.xml").write_text(xml)
     again = landxml.read(spark, str(tmp_path / "out"))
     place = lambda f: sorted((r.surface, r.vertex, r.x, r.y, r.z) for r in f["vertices"].collect())
     assert place(t) == place(again)
+    drawn = lambda f: sorted((r.surface, r.role, r.seq, r.x, r.y, r.z or 0.0, r.boundary) for r in f["lines"].collect())
+    assert drawn(t) == drawn(again) and drawn(t) and again["units"].collect()[0].unit == "meter"
     assert sorted((r.a, r.b, r.c, r.visible) for r in again["faces"].collect()) == [(0, 1, 2, True), (0, 2, 3, False)]
 
 
