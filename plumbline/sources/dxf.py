@@ -127,6 +127,54 @@ def _shape(kind: str, g: list[tuple[int, str]]) -> tuple[list[tuple[float, float
     return None
 
 
+def _split(groups: list[tuple[int, str]], code: int) -> list[list[tuple[int, str]]]:
+    """The groups from each one with the code on, up to the next such one."""
+    at = [k for k, (c, _) in enumerate(groups) if c == code]
+    return [groups[a:b] for a, b in zip(at, [*at[1:], len(groups)])]
+
+
+def _hatch_edge(g: list[tuple[int, str]]) -> list[tuple[float, float]]:
+    """Points of one edge of a boundary: a line, an arc, an ellipse's arc, or the control points of any other curve."""
+    kind, at = int(_number(g, 72)), (_number(g, 10), _number(g, 20))
+    start, end, forward = _number(g, 50), _number(g, 51), _number(g, 73, 1) != 0
+    if kind == 1:
+        return [at, (_number(g, 11), _number(g, 21))]
+    if kind == 2:
+        turn = ((end - start) if forward else (start - end)) % 360 or 360.0
+        return arc(*at, _number(g, 40), math.radians(start), math.radians(turn if forward else -turn))
+    if kind == 3:
+        return curves.ellipse(at, (_number(g, 11), _number(g, 21)), _number(g, 40, 1.0), math.radians(start), math.radians(end), TOLERANCE)
+    ends = [k for k, (c, _) in enumerate(g) if c == 10 and k + 1 < len(g) and g[k + 1][0] == 20]
+    return [(float(g[k][1]), float(g[k + 1][1])) for k in ends]
+
+
+def hatch_loops(groups: list[tuple[int, str]]) -> list[list[tuple[float, float]]]:
+    """The closed rings of a hatch's boundary paths that have three points or more; the first point is not repeated."""
+    count = next((k for k, (c, _) in enumerate(groups) if c == 91), None)
+    if count is None:
+        return []
+    out = []
+    for path in _split(groups[count + 1 :], 92)[: int(_number(groups[count:], 91))]:
+        size = int(_number(path, 93))
+        if int(_number(path, 92)) & 2:
+            ends = [(_number(v, 10), _number(v, 20), next((float(x) for c, x in v[:3] if c == 42), 0.0)) for v in _split(path, 10)[:size]]
+            ring = [(ends[0][0], ends[0][1])] if ends else []
+            for a, b in zip(ends, ends[1:] + ends[:1]):
+                ring += bulge((a[0], a[1]), (b[0], b[1]), a[2])
+            ring = ring[:-1]  # back at the first vertex
+        else:
+            ring = []
+            for edge in _split(path, 72)[:size]:
+                points = _hatch_edge(edge)
+                same = ring and points and math.dist(ring[-1], points[0]) < 1e-9
+                ring += points[1:] if same else points
+            if len(ring) > 1 and math.dist(ring[0], ring[-1]) < 1e-9:
+                ring.pop()
+        if len(ring) >= 3:
+            out.append(ring)
+    return out
+
+
 def parse(file: str, text: str) -> tuple[list[dict], list[dict]]:
     """(entities, layers) of a file; entities of a type not read have no points. Nothing is raised for bad input."""
     entities, layers, block = [], [], None
@@ -136,12 +184,17 @@ def parse(file: str, text: str) -> tuple[list[dict], list[dict]]:
             layers.append({"file": file, "name": _text(g, 2), "color": abs(color), "linetype": _text(g, 6) or None, "lineweight": int(_number(g, 370, -3)), "hidden": color < 0 or bool(int(_number(g, 70)) & 1)})
         elif section == "BLOCKS" and kind in ("BLOCK", "ENDBLK"):
             block = _text(g, 2) if kind == "BLOCK" else None
-        elif section in ("BLOCKS", "ENTITIES"):
+        elif section in ("BLOCKS", "ENTITIES") and kind not in ("ENDSEC", "EOF"):
             row = {"file": file, "block": block if section == "BLOCKS" else None, "entity": len(entities), "type": kind, "layer": _text(g, 8, "0"), "color": int(_number(g, 62, 256)), "paper": _number(g, 67) == 1, "closed": False}
             try:
-                shape = _shape(kind, g)
+                shape, loops = _shape(kind, g), hatch_loops(g) if kind == "HATCH" else []
             except ValueError:
-                shape = None
+                shape, loops = None, []
+            for ring in loops:  # a row for each boundary of a hatch
+                told = {n: list(v) for n, v in zip(("xs", "ys"), zip(*ring))} | {"zs": [0.0] * len(ring)}
+                entities.append(row | told | {"closed": True, "entity": len(entities)})
+            if loops:
+                continue
             if kind == "INSERT":
                 row |= {"target": _text(g, 2), "px": _number(g, 10), "py": _number(g, 20), "pz": _number(g, 30), "sx": _number(g, 41, 1.0), "sy": _number(g, 42, 1.0), "rotation": math.radians(_number(g, 50))}
                 row |= {"columns": max(1, int(_number(g, 70, 1))), "rows": max(1, int(_number(g, 71, 1))), "dx": _number(g, 44), "dy": _number(g, 45)}

@@ -211,3 +211,17 @@ def test_spline_samples_both_ends():
     t = 0.25
     want = [sum(math.comb(3, i) * t**i * (1 - t) ** (3 - i) * control[i][d] for i in range(4)) for d in (0, 1)]
     assert line[2] == pytest.approx(want)
+
+
+def test_hatch_boundaries():
+    square = [(91, "3"), (92, "2"), (72, "1"), (73, "1"), (93, "4"), (10, "0"), (20, "0"), (42, "0"), (10, "4"), (20, "0"), (42, "1"), (10, "4"), (20, "4"), (10, "0"), (20, "4")]
+    edges = [(92, "0"), (93, "3"), (72, "1"), (10, "0"), (20, "0"), (11, "10"), (21, "0"), (72, "2"), (10, "5"), (20, "0"), (40, "5"), (50, "0"), (51, "90"), (73, "1"), (72, "1"), (10, "5"), (20, "5"), (11, "0"), (21, "0")]
+    short = [(92, "2"), (93, "2"), (10, "0"), (20, "0"), (10, "1"), (20, "1")]
+    first, second = dxf.hatch_loops([(8, "fill"), *square, *edges, *short])
+    assert first[0] == (0.0, 0.0) and first[-1] == (0.0, 4.0) and max(x for x, _ in first) == pytest.approx(6.0, abs=0.1)
+    assert second[:2] == [(0.0, 0.0), (10.0, 0.0)] and second[-1] == pytest.approx((5.0, 5.0)) and len(second) > 5
+    assert all(math.hypot(x - 5, y) == pytest.approx(5.0) for x, y in second[1:])
+    text = "\n".join(["0", "SECTION", "2", "ENTITIES", "0", "HATCH", *(str(v) for g in [(8, "fill"), *square, *edges, *short] for v in g), "0", "LINE", "10", "1", "20", "1", "11", "2", "21", "2", "0", "ENDSEC", "0", "EOF"])
+    entities, _ = dxf.parse("f", text)
+    assert [(e["type"], e["closed"], e["layer"]) for e in entities] == [("HATCH", True, "fill")] * 2 + [("LINE", False, "0")]
+    assert dxf.hatch_loops([]) == dxf.hatch_loops([(91, "x"), (92, "y")]) == []
