@@ -263,6 +263,31 @@ def read_manifest(spark: SparkSession, folder: str) -> dict:
     return json.loads(spark.read.parquet(f"{folder}/manifest").first()[0])
 
 
+def write_surfels(surfels: DataFrame, folder: str, spacing: str | None = None, **told) -> None:
+    """A store of surfels(level, nx, ny, nz, ...): tiles by level, clustered by node; a row a tile; and last the manifest with its marker.
+
+    spacing names a column whose mean over the tiles goes into the manifest."""
+    spark = surfels.sparkSession
+    if _exists(spark, f"{folder}/manifest/_SUCCESS"):
+        raise FileExistsError(f"{folder} holds surfels")
+    kept = materialize(surfels, "surfels")
+    kept.repartitionByRange(*NODE).sortWithinPartitions(*NODE).write.partitionBy("level").parquet(f"{folder}/surfels")
+    mean = F.avg(spacing) if spacing else F.lit(None).cast("double")
+    spark.read.parquet(f"{folder}/surfels").groupBy(*NODE).agg(F.count("*").alias("surfel_count"), mean.alias("spacing")).write.parquet(f"{folder}/nodes")
+    total, tiles, wide = spark.read.parquet(f"{folder}/nodes").agg(F.coalesce(F.sum("surfel_count"), F.lit(0)), F.count("*"), F.avg("spacing")).first()
+    if total != kept.count():
+        raise ValueError(f"{total} surfels stored of {kept.count()}")
+    manifest = json.dumps({"version": 1, "surfel_count": total, "tiles": tiles, "spacing": wide or 0.0, **told})
+    spark.createDataFrame([(manifest,)], "manifest string").coalesce(1).write.parquet(f"{folder}/manifest")
+
+
+def read_surfels(spark: SparkSession, folder: str, tiles: DataFrame | None = None) -> DataFrame:
+    """The stored surfels, or those of tiles(level, nx, ny, nz)."""
+    read_manifest(spark, folder)
+    found = spark.read.parquet(f"{folder}/surfels")
+    return found if tiles is None else found.join(tiles.select(*NODE), list(NODE), "left_semi")
+
+
 def read_nodes(spark: SparkSession, folder: str) -> DataFrame:
     read_manifest(spark, folder)
     return spark.read.parquet(f"{folder}/nodes")

@@ -261,6 +261,21 @@ def octree_store(spark, sf_dir):
     return octree.read_points(spark, folder, *BOX).select("idx").union(missing)
 
 
+@query(f"""{P}, c AS (SELECT CAST(floor(x/250) AS BIGINT) AS nx, CAST(floor(y/250) AS BIGINT) AS ny, CAST(floor(z/250) AS BIGINT) AS nz, count(*) AS n
+FROM v_points GROUP BY floor(x/{CELL}), floor(y/{CELL}), floor(z/{CELL}), 1, 2, 3)
+SELECT 2 AS level, nx, ny, nz, count(*) AS surfels, CAST(sum(n) AS BIGINT) AS points, (SELECT count(*) FROM c) AS total FROM c WHERE nx%2=0 GROUP BY nx, ny, nz""")
+def surfel_store(spark, sf_dir):
+    """Surfels of the tiles of level 2, written and read back by tile; total is what the manifest tells."""
+    cell = [F.floor(F.col(d) / 250).cast("long").alias(f"n{d}") for d in "xyz"]
+    p = views.points(spark, sf_dir).select("*", F.lit(2).alias("level"), *cell)
+    folder = f"{shared_dir(spark)}/plumbline/surfels-{uuid.uuid4().hex}"
+    octree.write_surfels(points.voxel_sums(p, CELL, (0.0, 0.0, 0.0), *octree.NODE), folder)
+    told = octree.read_manifest(spark, folder)["surfel_count"]
+    tiles = spark.read.parquet(f"{folder}/nodes").filter("nx % 2 = 0")
+    back = octree.read_surfels(spark, folder, tiles).groupBy(*octree.NODE).agg(F.count("*").alias("surfels"), F.sum("n").alias("points"))
+    return back.withColumn("total", F.lit(told).cast("long"))
+
+
 @query(f"""{P}, s AS (SELECT *, row_number() OVER (PARTITION BY classification ORDER BY idx) AS k FROM v_points WHERE idx%3=0)
 SELECT classification, idx FROM s WHERE k<=20""")
 def preview_leaf_sample(spark, sf_dir):
