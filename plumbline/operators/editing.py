@@ -151,3 +151,8 @@ def nearest_edges(hits: DataFrame, faces: DataFrame, vertices: DataFrame) -> Dat
 
     best = F.array_min(F.array(edge(0, "a", "b"), edge(1, "b", "c"), edge(2, "c", "a")))
     return f.withColumn("e", best).select("hit_id", "e.from_id", "e.to_id", "e.distance")
+
+
+def hosted_on_live_faces(hosted: DataFrame, faces: DataFrame) -> DataFrame:
+    """hosted(face_id, ...) whose face is still there: deleting a face takes what it hosts."""
+    return hosted.join(faces.select("face_id"), "face_id", "left_semi")

@@ -135,3 +135,10 @@ def boundary_loops(faces: DataFrame, surface: str = "surface_id") -> DataFrame:
         return walk_loops(rows.sort_values(["lo", "hi"])).assign(**{surface: rows[surface].iloc[0]})
 
     return edges.groupBy(surface).applyInPandas(walk, f"loop int, seq int, vertex long, closed boolean, {surface} string")
+
+
+def drape_or_floor(points: DataFrame, faces: DataFrame, vertices: DataFrame, cell: float, offset: float = 0.05) -> DataFrame:
+    """The drape of a raster's or sheet's mesh: off the surface it lies at the surface's least z."""
+    floor = vertices.agg(F.min("z").alias("_floor"))
+    told = drape(points, faces, vertices, cell, offset).crossJoin(F.broadcast(floor))  # one row
+    return told.withColumn("draped", F.coalesce("draped", "_floor")).drop("_floor")

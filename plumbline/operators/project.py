@@ -141,3 +141,35 @@ def surfel_evidence(evidence: DataFrame, assets: DataFrame) -> DataFrame:
     surfels = assets.filter(F.col("kind") == SURFEL_KIND).select(F.col("id").alias("asset_id"))
     bad = evidence.join(surfels, "asset_id", "left_semi").select("feature_id").distinct()
     return bad.select(F.lit("surfel-evidence").alias("rule"), F.col("feature_id").alias("id"))
+
+
+def shape_issues(records: DataFrame, fields: dict[str, tuple[str, bool, tuple[str, ...] | None]]) -> DataFrame:
+    """(id, field, issue) of records(id, record), JSON texts, against fields: name -> (text, number or boolean; required; allowed values).
+
+    Issues are not-json, missing, not-number, not-boolean and not-allowed."""
+    told = records.withColumn("m", F.from_json("record", "map<string,string>"))
+    checks = []
+    for name, (kind, required, allowed) in fields.items():
+        v = F.col("m")[name]
+        found = F.when(v.isNull(), F.lit("missing") if required else F.lit(None))
+        if kind == "number":
+            found = found.when(v.isNotNull() & v.try_cast("double").isNull(), "not-number")
+        if kind == "boolean":
+            found = found.when(v.isNotNull() & ~v.isin("true", "false"), "not-boolean")
+        if allowed:
+            found = found.when(v.isNotNull() & ~v.isin(*allowed), "not-allowed")
+        checks.append(F.struct(F.lit(name).alias("field"), found.alias("issue")))
+    whole = F.when(F.col("m").isNull(), F.array(F.struct(F.lit("").alias("field"), F.lit("not-json").alias("issue")))).otherwise(F.array(*checks))
+    return told.select("id", F.explode(whole).alias("c")).select("id", "c.field", "c.issue").filter("issue is not null")
+
+
+def sanitised_points(points: Column) -> Column:
+    """Of an array of structs id, source, x, y, z those that are surface points: with an id, a known source and finite coordinates."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    good = lambda p: p["id"].isNotNull() & p["source"].isin("manual", "generated-grid") & finite(p["x"]) & finite(p["y"]) & finite(p["z"])
+    return F.filter(F.coalesce(points, F.array().cast("array<struct<id:string,source:string,x:double,y:double,z:double>>")), lambda p: F.coalesce(good(p), F.lit(False)))
+
+
+def surfel_input(index_version: Column, own_index: Column, preview: Column) -> Column:
+    """What surfels are made from: an index of the first version as it is, else a dedicated index, else the preview."""
+    return F.when(index_version == 1, "index").when(own_index, "dedicated-index").when(preview, "preview")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import display
 from plumbline.functions import geometry as geo
-from plumbline.operators import editing, listing, points, project, selection
+from plumbline.operators import editing, listing, mesh, points, project, selection
 from plumbline.plans import views
 from plumbline.plans.catalog import CAMERA, N, P, query, r6
 from plumbline.sources.tables import table
@@ -470,3 +471,67 @@ def edges_within_work_areas(spark, sf_dir):
     e = p.withColumn("e", pairs).select("polygon_id", "ring", "e.*")
     at = lambda k: (F.get("ring", F.col(k))["x"], F.get("ring", F.col(k))["y"])
     return e.select("polygon_id", "i", "j", geo.edge_allowed(F.col("ring"), at("i"), at("j")).alias("allowed"))
+
+
+FIELDS = {
+    "name": ("text", True, None), "size": ("number", True, None), "status": ("text", True, ("active", "hidden", "error")), "visible": ("boolean", False, None), "note": ("text", False, None)
+}
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, p_partkey%11=0 AS broken, p_partkey%3<>0 AS name, CASE WHEN p_partkey%5=0 THEN 'x' WHEN p_partkey%5<>1 THEN CAST(p_size AS VARCHAR) END AS size,
+(['active','hidden','gone','error'])[p_partkey%4+1] AS status, CASE p_partkey%7 WHEN 0 THEN 'true' WHEN 1 THEN 'maybe' END AS visible FROM part)
+SELECT id, '' AS field, 'not-json' AS issue FROM r WHERE broken UNION ALL SELECT id, 'name', 'missing' FROM r WHERE NOT broken AND NOT name
+UNION ALL SELECT id, 'size', CASE WHEN size IS NULL THEN 'missing' ELSE 'not-number' END FROM r WHERE NOT broken AND (size IS NULL OR size='x')
+UNION ALL SELECT id, 'status', 'not-allowed' FROM r WHERE NOT broken AND status='gone' UNION ALL SELECT id, 'visible', 'not-boolean' FROM r WHERE NOT broken AND visible='maybe'""")
+def record_shapes(spark, sf_dir):
+    k = F.col("p_partkey")
+    record = F.to_json(F.struct(
+        F.when(k % 3 != 0, "n").alias("name"), F.when(k % 5 == 0, "x").when(k % 5 != 1, F.col("p_size").cast("string")).alias("size"),
+        pick(("active", "hidden", "gone", "error"), k % 4).alias("status"), F.when(k % 7 == 0, "true").when(k % 7 == 1, "maybe").alias("visible"),
+    ))
+    r = table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 11 == 0, "no record").otherwise(record).alias("record"))
+    return project.shape_issues(r, FIELDS)
+
+
+@query("""WITH p AS (SELECT o_custkey AS k, o_orderkey%5<>0 AS has, (['manual','generated-grid','other'])[o_orderkey%3+1] AS source, o_orderkey%7<>0 AS finite FROM orders)
+SELECT k, count(*) FILTER (has AND source<>'other' AND finite) AS points FROM p GROUP BY k""")
+def sanitised_surface_points(spark, sf_dir):
+    o = F.col("o_orderkey")
+    p = F.struct(
+        F.when(o % 5 != 0, o.cast("string")).alias("id"), pick(("manual", "generated-grid", "other"), o % 3).alias("source"),
+        F.when(o % 7 == 0, F.lit(float("nan"))).otherwise(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"),
+    )
+    lists = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list(p).alias("p"))
+    return lists.select("k", F.size(project.sanitised_points(F.col("p"))).cast("long").alias("points"))
+
+
+@query("""WITH v AS (SELECT p_size AS asset, p_partkey AS view, (['surfel','index','preview'])[p_partkey%3+1] AS kind, p_partkey%4=1 AS face FROM part)
+SELECT asset, view, kind, row_number() OVER (PARTITION BY asset ORDER BY CASE kind WHEN 'preview' THEN 0 WHEN 'index' THEN 1 ELSE 2 END, view) AS place,
+CASE WHEN view%6=1 THEN 'index' WHEN view%4=0 THEN 'dedicated-index' WHEN view%5=0 THEN 'preview' END AS made_from, EXISTS (SELECT 1 FROM v f WHERE f.face AND f.view=v.view-1) AS live FROM v""")
+def asset_views(spark, sf_dir):
+    """Views in their order, what their surfels would be made from, and whether a hosted feature's face is still there."""
+    k = F.col("p_partkey")
+    v = table(spark, sf_dir, "part").select(F.col("p_size").alias("asset"), k.alias("view"), pick(("surfel", "index", "preview"), k % 3).alias("kind"), (k - 1).alias("face_id"))
+    live = editing.hosted_on_live_faces(v, v.filter("view % 4 = 1").select(F.col("view").alias("face_id"))).select("view", F.lit(True).alias("live"))
+    place = F.row_number().over(Window.partitionBy("asset").orderBy(listing.view_rank(F.col("kind")), "view")).cast("long")
+    made = project.surfel_input(F.when(F.col("view") % 6 == 1, 1).otherwise(2), F.col("view") % 4 == 0, F.col("view") % 5 == 0)
+    return v.join(live, "view", "left").select("asset", "view", "kind", place.alias("place"), made.alias("made_from"), F.coalesce("live", F.lit(False)).alias("live"))
+
+
+@query(f"""{T}, p AS (SELECT event_id AS point_id, (event_id*37)%2500 + 0.25::DOUBLE AS x, (event_id*91)%2500 + 0.5::DOUBLE AS y FROM events), e AS (SELECT max(x) AS w FROM v_vertices),
+c AS (SELECT p.*, x<=w AND y<=w AS hit, CAST(floor(x/10) AS BIGINT) AS i, CAST(floor(y/10) AS BIGINT) AS j, x/10-floor(x/10) AS u, y/10-floor(y/10) AS v FROM p, e),
+z AS (SELECT c.*, a.z AS za, b.z AS zb, d.z AS zd, f.z AS zf FROM c, v_side LEFT JOIN v_vertices a ON a.vertex_id=j*s+i LEFT JOIN v_vertices b ON b.vertex_id=j*s+i+1 LEFT JOIN v_vertices d ON d.vertex_id=(j+1)*s+i LEFT JOIN v_vertices f ON f.vertex_id=(j+1)*s+i+1)
+SELECT point_id, round(CASE WHEN NOT hit THEN (SELECT min(z) FROM v_vertices) WHEN u+v<=1 THEN za+u*(zb-za)+v*(zd-za)+0.05::DOUBLE ELSE zf+(1-u)*(zd-zf)+(1-v)*(zb-zf)+0.05::DOUBLE END,6) AS z FROM z""")
+def sheet_drape(spark, sf_dir):
+    """A sheet's mesh points on the surface, and at its floor beyond it."""
+    e = F.col("event_id")
+    p = table(spark, sf_dir, "events").select(e.alias("point_id"), (e * 37 % 2500 + 0.25).alias("x"), (e * 91 % 2500 + 0.5).alias("y"))
+    told = mesh.drape_or_floor(p, views.grid_faces(spark, sf_dir), views.grid_vertices(spark, sf_dir), 20.0)
+    return told.select("point_id", r6(F.col("draped"), "z"))
+
+
+@query("""WITH n AS (SELECT p_size AS cloud, p_partkey AS n, (ARRAY[1,2,4,8])[p_partkey%4+1] AS s FROM part) SELECT cloud, CAST(sum(ceil(n/s)) AS BIGINT) AS drawn FROM n GROUP BY cloud""")
+def drawn_points(spark, sf_dir):
+    k = F.col("p_partkey")
+    n = table(spark, sf_dir, "part").select(F.col("p_size").alias("cloud"), k.alias("n"), F.get(F.array(*[F.lit(s) for s in selection.STRIDES]), (k % 4).cast("int")).alias("stride"))
+    return selection.drawn(n, "cloud")
