@@ -46,14 +46,20 @@ class Counter:
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
         self.library = SentencePieceProcessor(model_file=path)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.splits = not any(a != _SPACE and b == _SPACE for a, b in self.pairs)
-        self.plain = all(
-            self.library.normalize(x) == _SPACE + x.replace(" ", _SPACE) for x in ("a  b ", "ﬁ", "　é", "A\n\tb", "Ａ")
-        )
+        told = ModelProto.FromString(self.library.serialized_model_proto())
+        rule = told.normalizer_spec
+        # Texts are left as they are, but for blanks, which become pieces' first marks; no piece is cut out before the others.
+        self.plain = (
+            not rule.precompiled_charsmap and not rule.normalization_rule_tsv and rule.add_dummy_prefix and not rule.remove_extra_whitespaces
+            and rule.escape_whitespaces and not told.trainer_spec.treat_whitespace_as_suffix
+            and not any(p.type == p.USER_DEFINED for p in told.pieces)
+        )
         size = lambda x: len(self.library.encode(x))
         self.memo, self.last_space = Memo(size), size("a ") - size("a")
 
