@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Words kept that were met again, and words kept that were met once.
-KEPT, YOUNG = 1 << 18, 1 << 17
+KEPT, YOUNG = 1 << 17, 1 << 16
 
 
 class Memo(dict):

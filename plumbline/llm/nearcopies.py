@@ -2,8 +2,8 @@
 
 Candidates come from `simhash`: each text has a 64-bit SimHash of its set of words, and by the
 generalised pigeonhole principle those within TAU bits share a signature. (Of the pairs of
-similarity 0.8 or more in the check tables, 99 % are within eight bits by words; by
-five-word shingles themselves 64 % would be.) Candidates are verified by the exact similarity of their
+similarity 0.8 or more in the check tables, 98 % are within six bits by words; by
+five-word shingles themselves 42 % would be.) Candidates are verified by the exact similarity of their
 sets of five-word shingles, so that no link is false.
 
 Verification goes in two rounds. In the first each text is compared with one candidate: the
@@ -33,7 +33,7 @@ from plumbline.llm.components import components
 from plumbline.llm.simhash import GROUP, keep_first, shared_signatures
 from plumbline.llm.wordhash import Texts, span_hashes, sums, text_blocks
 
-SIZE, TAU = 5, 8
+SIZE, TAU = 5, 6
 #: Distinct words whose bits are added up at once.
 BLOCK = 1 << 14
 

@@ -22,7 +22,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 LONG_WORD = 1 << 12
 
 #: Bytes of text whose words are in a Python worker's memory at once; a longer text is there alone.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True

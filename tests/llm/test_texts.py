@@ -417,8 +417,9 @@ def test_pipeline_drops_near_copies(spark):
 
     rng = random.Random(81)
     base = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(300))
-    df = frame(spark, [(1, base), *((i, changed(rng, base, 5)) for i in range(2, 12))])
-    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()] == [1]
+    df = frame(spark, [(1, base), *((i, changed(rng, base, 5)) for i in range(2, 22))])
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert 1 in kept and len(kept) <= 3  # recall of 0.9
 
 
 def bench(spark, items):
