@@ -169,7 +169,7 @@ def brute_matches(texts):
     return words, out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_line_dedup_against_all_pairs_of_runs(spark, seed):
     """Nothing goes that no earlier place holds; of each run of 50 words all goes, but for less than a window at ends that an earlier fragment shares."""
     rng = random.Random(seed)
