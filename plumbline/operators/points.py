@@ -185,8 +185,19 @@ def count_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> Da
     axis = lambda d: F.transform("ring", lambda p: p[d])
     xs, ys = axis("x"), axis("y")
     span = lambda v: F.sequence(F.floor(F.array_min(v) / cell).cast("long"), F.floor(F.array_max(v) / cell).cast("long"))
-    dealt = polygons.select("polygon_id", "ring", F.explode(span(xs)).alias("gx"), ys.alias("_y")).select("polygon_id", "ring", "gx", F.explode(span(F.col("_y"))).alias("gy"))
+    # Edges that are not level, made once a polygon; the test folds over them and builds no array.
+    steep = F.filter(geo.ring_edges(F.col("ring")), lambda e: e["a"]["y"] != e["b"]["y"])
+    box = [f(v).alias(f"_{n}{d}") for d, v in (("x", xs), ("y", ys)) for n, f in (("lo", F.array_min), ("hi", F.array_max))]
+    dealt = polygons.select("polygon_id", steep.alias("edges"), *box, F.explode(span(xs)).alias("gx"), ys.alias("_y"))
+    dealt = dealt.select("polygon_id", "edges", "_lox", "_hix", "_loy", "_hiy", "gx", F.explode(span(F.col("_y"))).alias("gy"))
     p = points.select("x", "y", "passes", *[F.floor(F.col(d) / cell).cast("long").alias(f"g{d}") for d in "xy"])
-    inside = p.join(dealt, ["gx", "gy"]).filter(geo.ring_holds(F.col("ring"), F.col("x"), F.col("y")))
+    x, y = F.col("x"), F.col("y")
+    near = p.join(dealt, ["gx", "gy"]).filter(x.between(F.col("_lox"), F.col("_hix")) & y.between(F.col("_loy"), F.col("_hiy")))
+
+    def crosses(e: Column) -> Column:
+        u, v = e["a"], e["b"]
+        return ((u["y"] > y) != (v["y"] > y)) & (x < (v["x"] - u["x"]) * (y - u["y"]) / (v["y"] - u["y"]) + u["x"])
+
+    inside = near.filter(F.aggregate("edges", F.lit(False), lambda odd, e: odd != crosses(e)))
     found = inside.groupBy("polygon_id").agg(F.count("*").alias("inside"), F.count_if("passes").alias("inside_filtered"))
     return polygons.select("polygon_id").join(found, "polygon_id", "left").fillna(0, ["inside", "inside_filtered"])

@@ -449,7 +449,7 @@ i AS (SELECT id, count(*) AS n, count(*) FILTER (passes) AS m FROM h WHERE ({_CR
 SELECT c.id AS polygon_id, coalesce(n,0) AS inside, coalesce(m,0) AS inside_filtered FROM c LEFT JOIN i ON i.id=c.id""")
 def points_in_work_areas(spark, sf_dir):
     p = views.points(spark, sf_dir).select("x", "y", (F.col("classification") != 2).alias("passes"))
-    return points.count_in_polygons(p, _polygons(spark, sf_dir), 50.0)
+    return points.count_in_polygons(p, _polygons(spark, sf_dir), 20.0)
 
 
 @query("""WITH s AS (SELECT o_orderkey AS k, (o_orderkey*7)%50 AS ax, (o_orderkey*13)%50 AS ay, (o_orderkey*3)%50 AS bx, (o_orderkey*5)%50 AS by_, (o_orderkey*11)%50 AS cx, (o_orderkey*17)%50 AS cy, (o_orderkey*19)%50 AS dx, (o_orderkey*23)%50 AS dy FROM orders),
