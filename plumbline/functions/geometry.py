@@ -61,22 +61,14 @@ def in_polygon(x: Column, y: Column, ring: Ring) -> Column:
     return x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & (crossings % 2 == 1)
 
 
-def on_segment(x: Column, y: Column, a: tuple[float, float], b: tuple[float, float], eps: float) -> Column:
-    cross = ((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0])) / 2
-    return (
-        (F.abs(cross) <= eps)
-        & x.between(min(a[0], b[0]) - eps, max(a[0], b[0]) + eps)
-        & y.between(min(a[1], b[1]) - eps, max(a[1], b[1]) + eps)
-    )
-
-
 def in_polygon_or_boundary(x: Column, y: Column, ring: Ring, eps: float = 1e-6) -> Column:
     """In the polygon, or within eps of its outline; eps is 1e-6 on the ground and 1e-9 on sheets."""
     if len(ring) < 3:
         return F.lit(False)
     edge: Column = F.lit(False)
+    at = lambda p: (F.lit(p[0]), F.lit(p[1]))
     for a, b in _edges(ring):
-        edge = edge | on_segment(x, y, b, a, eps)
+        edge = edge | on_segment(at(b), at(a), (x, y), eps, 2 * eps)
     return edge | in_polygon(x, y, ring)
 
 
@@ -167,8 +159,9 @@ def turn(a: Pair, b: Pair, c: Pair) -> Column:
     return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
 
 
-def on_segment(a: Pair, b: Pair, p: Pair, epsilon: float = 1e-6) -> Column:
-    out = F.abs(turn(a, b, p)) <= epsilon
+def on_segment(a: Pair, b: Pair, p: Pair, epsilon: float = 1e-6, most_turn: float | None = None) -> Column:
+    """Whether p lies on segment ab: within epsilon of its box, and twice their signed area is most_turn (else epsilon) at most."""
+    out = F.abs(turn(a, b, p)) <= (epsilon if most_turn is None else most_turn)
     for k in (0, 1):
         out = out & (p[k] >= F.least(a[k], b[k]) - epsilon) & (p[k] <= F.greatest(a[k], b[k]) + epsilon)
     return out

@@ -348,3 +348,15 @@ def test_triangles_stay_in_a_concave_region():
             w = sorted((rng.random(), rng.random()))
             w = (w[0], w[1] - w[0], 1 - w[1])
             assert regions.inside(tuple(sum(c[d] * k for c, k in zip(corners, w)) for d in (0, 1)), ring, 1e-6)
+
+
+def test_outline_of_a_polygon(spark):
+    from plumbline.functions import geometry as geo
+
+    rows = [(0.0, 1.0), (2.0, 2.0), (1.0, 1.0), (1.0, -1e-8), (1.0, -1e-5), (2.0 + 1e-8, 1.0), (3.0, 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    told = lambda eps: [r[0] for r in df.select(geo.in_polygon_or_boundary(F.col("x"), F.col("y"), square, eps)).collect()]
+    assert told(1e-6) == [True, True, True, True, False, True, False]
+    assert told(1e-9) == [True, True, True, False, False, False, False]
+    assert told(1e-6)[:1] == [r[0] for r in df.limit(1).select(geo.on_segment((F.lit(0.0), F.lit(0.0)), (F.lit(0.0), F.lit(2.0)), (F.col("x"), F.col("y")))).collect()]
