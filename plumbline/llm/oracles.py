@@ -113,3 +113,38 @@ SELECT page_id, host, path, {case([h + p for _, h, p in longest])} AS rule,
   coalesce({case([v for v, _, _ in longest])}, CASE WHEN blocked.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM p LEFT JOIN blocked ON p.url = blocked.url
 """
+
+FILL_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+k AS (SELECT *, list_transform(range(0, 4), lambda g: list_sum(list_transform(range(1, 9), lambda j: (strpos('0123456789abcdef', substr(h, 8 * g + j, 1)) - 1) * CAST(16 ** (8 - j) AS BIGINT)))::BIGINT) AS g FROM d),
+c AS (
+  SELECT *, least(g[1] % (len(u) + 1), g[2] % (len(u) + 1)) AS i, greatest(g[1] % (len(u) + 1), g[2] % (len(u) + 1)) AS j,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 100 THEN 'plain' WHEN g[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM k),
+p AS (
+  SELECT *, coalesce(array_to_string(list_slice(u, 1, i), ''), '') AS a, coalesce(array_to_string(list_slice(u, i + 1, j), ''), '') AS m,
+    coalesce(array_to_string(list_slice(u, j + 1, len(u)), ''), '') AS s
+  FROM c)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+# An escaped text has one character more for each backslash, each # after another one and each / after <.
+_ESCAPED = "length({0}) + length({0}) - length(replace({0}, '\\', '')) + length({0}) - length(replace({0}, '#', '')) - len(regexp_extract_all({0}, '#+')) + (length({0}) - length(replace({0}, '</', ''))) // 2"
+_ROLE = _ESCAPED + " + (length({0}) - length(replace({0}, ': ', ''))) // 2"
+
+CHAT = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, (['user', 'assistant'])[k + 1], '\\### Assistant: </turn> ok' FROM range(2) r(k))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(6 + {_ROLE.format("role")} + {_ESCAPED.format("text")} + 8) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""

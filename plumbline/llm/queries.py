@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import ctw, decontaminate, idfiles, linededup, oracles, packing, quality, simhash, tokencount, urlfilter, warc
+from plumbline.llm import chat, ctw, decontaminate, fillmiddle, idfiles, linededup, oracles, packing, quality, simhash, tokencount, urlfilter, warc, whitening
 from plumbline.llm.common import table
 
 
@@ -65,6 +65,34 @@ def op9_simhash(spark, sf_dir):
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op11_fill_middle(spark, sf_dir):
+    made = fillmiddle.transform(table(spark, sf_dir, "documents")).select("doc_id", "fim.*")
+    back = made.withColumn("restored", fillmiddle.restore(F.col("output"), F.col("form")))
+    digest = lambda c: F.sha2(F.col(c), 256).alias(f"{c}_sha256")
+    return back.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op12_whitening(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+#: A conversation whose texts look like the template that writes them.
+LOOKALIKE = "\\### Assistant: </turn> ok"
+
+
+def op13_chat(spark, sf_dir):
+    planted = spark.createDataFrame([(-7, 0, "user", LOOKALIKE), (-7, 1, "assistant", LOOKALIKE)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    made = chat.format_log(chat.as_log(rows))
+    read = made.select("conversation", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("mask")).alias("loss"))
+    told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return read.withColumn("loss", F.array_join("loss", "")).select(
+        F.col("conversation").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -76,6 +104,9 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_simhash": op9_simhash,
     "op10_token_ids": op10_token_ids,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_whitening": op12_whitening,
+    "op13_chat": op13_chat,
 }
 
 #: DuckDB forms of those that SQL can express.
@@ -84,4 +115,6 @@ ORACLES: dict[str, str] = {
     "op4_warc": oracles.WARC,
     "op7_quality_rules": oracles.QUALITY,
     "op8_url_filters": oracles.url_filters(URL_RULES),
+    "op11_fill_middle": oracles.FILL_MIDDLE,
+    "op13_chat": oracles.CHAT,
 }
