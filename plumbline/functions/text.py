@@ -113,3 +113,16 @@ def boundary_kind(raw: Column) -> Column:
     return F.when(low.isin("island", "include", "inclusion"), "inclusion").when(
         low.isin("void", "exclude", "exclusion"), "exclusion"
     ).otherwise("outer")
+
+
+def linear_unit(raw: Column) -> Column:
+    """The linear unit of a surface file: feet of two kinds, or metres, also where it is missing or unknown."""
+    r = F.lower(F.coalesce(raw, F.lit("")))
+    return F.when(F.contains(r, F.lit("ussurvey")), "usSurveyFoot").when(F.contains(r, F.lit("foot")) | F.contains(r, F.lit("feet")), "foot").otherwise("meter")
+
+
+def linear_unit_note(raw: Column) -> Column:
+    """Why `linear_unit` had to guess; null where it did not. Fixed values."""
+    known = F.lower(raw).rlike("ussurvey|foot|feet|met")
+    unknown = F.concat(F.lit('unrecognized linearUnit "'), raw, F.lit('" — assuming meter'))
+    return F.when(raw.isNull(), "no <Units> element — assuming meter").when(~known, unknown)

@@ -1,150 +1,121 @@
-"""LandXML surfaces: an event reader that never fails, rows of vertices, faces and lines, and a writer.
+"""LandXML surfaces: rows of vertices, faces and lines from files of any size, and a writer.
 
-Files are read whole, one task a file; what comes out are tables, and ids are resolved by joins.
+Files are read by blocks (see `xmlblocks`), so that one large file is read by many tasks. A block numbers its vertices and lines
+from 0; sums over the blocks before give the file's numbers. What comes out are tables, and ids are resolved by joins.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
-from itertools import islice
 from xml.sax.saxutils import escape
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
+from plumbline.sources import xmlblocks
 from plumbline.sources.tables import materialize
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<\?.*?(?:\?>|$)|<!.*?(?:>|$)|<(/?)([^\s/>]+)([^>]*?)(/?)>|([^<]+)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
-_ENTITY = re.compile(r"&(#x[0-9a-fA-F]+|#[0-9]+|lt|gt|amp|quot|apos);")
-#: Rows of a file that are in memory at once.
-CHUNK = 1 << 16
-_NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
-
 ROWS = (
-    "file string, kind string, surface int, name string, id string, seq int, role string, x double, y double, z double, "
+    "file string, block long, kind string, surface int, name string, id string, k long, seq int, role string, x double, y double, z double, "
     "a string, b string, c string, visible boolean, detail string"
 )
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 # Elements that are read or known to be left aside; all others are reported.
 KNOWN = {
     "LandXML", "Project", "Application", "Author", "Units", "Imperial", "Metric", "CoordinateSystem", "FeatureDictionary", "Feature", "Property",
     "Surfaces", "Surface", "Definition", "Pnts", "P", "Faces", "F", "SourceData", "DataPoints", "Breaklines", "Breakline", "Boundaries", "Boundary",
     "Contours", "Contour", "PntList2D", "PntList3D",
 }
-
-
-def decode_entities(text: str) -> str:
-    """Named and numeric entities; what is no entity stays."""
-
-    def one(m: re.Match) -> str:
-        if (named := _NAMED.get(m[1])) is not None:
-            return named
-        code = int(m[1][2:], 16) if m[1][1] == "x" else int(m[1][1:])
-        return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
-
-    return _ENTITY.sub(one, text)
-
-
-def events(text: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """open, close and text events; name spaces are cut off, an unfinished tag at the end is dropped."""
-    for m in _TAG.finditer(text):
-        cdata, closing, name, attributes, empty, chars = m.groups()
-        if cdata is not None:
-            yield "text", cdata, {}
-        elif name:
-            name = name.rpartition(":")[2]
-            if closing:
-                yield "close", name, {}
-            else:
-                yield "open", name, {k.rpartition(":")[2]: decode_entities(a or b) for k, a, b in _ATTRIBUTE.findall(attributes)}
-                if empty:
-                    yield "close", name, {}
-        elif chars and chars.strip():
-            yield "text", decode_entities(chars), {}
-
-
-def _numbers(text: str) -> list[float]:
-    out = []
-    for t in text.split():
-        try:
-            out.append(float(t))
-        except ValueError:
-            pass
-    return out
-
-
-def parse(file: str, text: str) -> Iterator[dict]:
-    """Rows of kinds surface, vertex, face, line, unit and unknown. Text order is north, east, elevation."""
-    surface, path, chars, attributes, line, seen = -1, [], "", {}, 0, 0
-    role = {"Breaklines": "breakline", "Boundaries": "boundary", "Contours": "contour"}
-    for kind, value, at in events(text):
+#: What the lines within an element are.
+ROLES = {"Breaklines": "breakline", "Boundaries": "boundary", "Contours": "contour"}
+WATCH = xmlblocks.Watch(frozenset({"Surface"}), frozenset({"P", "F", "Breakline", "Boundary", "Contour"}))
+
+
+def _number(token: str) -> float | None:
+    """A finite number; None for other text."""
+    try:
+        value = float(token) if "_" not in token else math.nan
+    except ValueError:
+        return None
+    return value if math.isfinite(value) else None
+
+
+def _rows(file: str, block: int, c: xmlblocks.Context, events: Iterator[xmlblocks.Event]) -> Iterator[dict]:
+    """Rows of kinds surface, vertex, face, line, inventory, unit and unknown. Text order is north, east, elevation."""
+    at = {"file": file, "block": block}
+    vertices = lines = 0
+    for event in events:
+        kind, name, attributes, _ = event
+        text = c.text
+        xmlblocks.follow(c, event, WATCH)
+        surface = c.counts.get("Surface", 0) - 1
         if kind == "open":
-            path.append(value)
-            chars = ""
-            if value == "Surface":
-                surface, line, seen = surface + 1, 0, 0
-                yield {"kind": "surface", "surface": surface, "name": at.get("name", "")}
-            elif value in ("Metric", "Imperial"):
-                yield {"kind": "unit", "detail": at.get("linearUnit", "")}
-            elif value not in KNOWN:
-                yield {"kind": "unknown", "surface": surface if surface >= 0 else None, "name": value}
-            if value in ("P", "F", "Breakline", "Boundary", "Contour"):
-                attributes = at
-        elif kind == "text":
-            chars += value
-        else:
-            if value in path:
-                while path.pop() != value:
-                    pass
-            n = _numbers(chars)
-            if value == "P" and "SourceData" not in path and len(n) >= 3:
-                yield {"kind": "vertex", "surface": surface, "seq": seen, "id": attributes.get("id", str(seen + 1)), "x": n[1], "y": n[0], "z": n[2]}
-                seen += 1
-            elif value == "F" and len(t := chars.split()) >= 3:
-                yield {"kind": "face", "surface": surface, "a": t[0], "b": t[1], "c": t[2], "visible": attributes.get("i") != "1"}
-            elif value in ("PntList3D", "PntList2D"):
-                step = 3 if value[-2] == "3" else 2
-                at_role = next((role[p] for p in reversed(path) if p in role), "line")
-                for k in range(len(n) // step):
-                    p = n[k * step : (k + 1) * step]
-                    detail = attributes.get("bndType" if at_role == "boundary" else "brkType", "")
-                    yield {"kind": "line", "surface": surface, "role": at_role, "id": str(line), "seq": k, "x": p[1], "y": p[0], "z": p[2] if step == 3 else None, "detail": detail}
-                line += 1
-            chars = ""
-
-
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in ROWS.split(", ")]
-    for batch in batches:
-        for file, content in zip(batch["path"], batch["content"]):
-            told = ({"file": file, **r} for r in parse(file, bytes(content).decode("utf-8", "replace")))
-            while rows := list(islice(told, CHUNK)):
-                out = pd.DataFrame(rows, columns=names).astype(object)
-                yield out.where(out.notna(), None)
+            if name == "Surface":
+                vertices = lines = 0
+                yield at | {"kind": "surface", "surface": surface, "name": attributes.get("name", "")}
+            elif name in ("Metric", "Imperial"):
+                yield at | {"kind": "unit", "detail": attributes.get("linearUnit", "")}
+            elif name not in KNOWN:
+                yield at | {"kind": "unknown", "surface": surface if surface >= 0 else None, "name": name}
+        elif kind == "close":
+            if name == "P" and "SourceData" not in c.path and None not in (n := [_number(t) for t in text.split()[:3]]) and len(n) == 3:
+                yield at | {"kind": "vertex", "surface": surface, "k": vertices, "id": c.kept.get("id"), "x": n[1], "y": n[0], "z": n[2]}
+                vertices += 1
+            elif name == "F" and len(t := text.split()) >= 3:
+                yield at | {"kind": "face", "surface": surface, "a": t[0], "b": t[1], "c": t[2], "visible": c.kept.get("i") != "1"}
+            elif name in ("PntList3D", "PntList2D"):
+                n, dims = [v for t in text.split() if (v := _number(t)) is not None], 3 if name == "PntList3D" else 2
+                if "DataPoints" in c.path and "Breakline" not in c.path:  # all points again, in pages
+                    yield at | {"kind": "inventory", "surface": surface, "k": len(n) // dims}
+                    continue
+                role = next((ROLES[p] for p in reversed(c.path) if p in ROLES), "line")
+                detail = c.kept.get("bndType" if role == "boundary" else "brkType", "")
+                for seq in range(len(n) // dims):
+                    p = n[seq * dims : (seq + 1) * dims]
+                    yield at | {"kind": "line", "surface": surface, "role": role, "k": lines, "seq": seq, "x": p[1], "y": p[0], "z": p[2] if dims == 3 else None, "detail": detail}
+                lines += 1
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with k counted along the file and surface, from its count along the block."""
+    own = rows.groupBy("file", "surface", "block").agg((F.max("k") + 1).alias("n"))
+    before = Window.partitionBy("file", "surface").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = own.select("file", "surface", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(first, ["file", "surface", "block"]).withColumn("k", (F.col("before") + F.col("k")).cast("int")).drop("before", "block")
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """surfaces, vertices, faces (vertex numbers a, b, c), rejected faces, lines, units and unknown elements."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = materialize(files.mapInPandas(_rows, ROWS), "landxml")  # each file is parsed once
+    """surfaces, vertices, faces (vertex numbers a, b, c), rejected faces, lines, lists that only repeat the points (inventory), units and unknown elements.
+
+    units has a row for each unit told and one for each file without any, with the unit that is taken and a note where it is a guess."""
+    read = xmlblocks.records(spark, path)
+    found = materialize(xmlblocks.contexts(read, WATCH), "landxml-contexts")
+    schema = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in ROWS.split(", "))])
+    rows = materialize(xmlblocks.scan(read, found, _rows, schema, ROWS), "landxml")
     kind = lambda k: rows.filter(F.col("kind") == k)
-    vertices = kind("vertex").select("file", "surface", F.col("seq").alias("vertex"), "id", "x", "y", "z")
+    vertices = _numbered(kind("vertex").select("file", "surface", "block", "k", "id", "x", "y", "z"))
+    vertices = vertices.select("file", "surface", F.col("k").alias("vertex"), F.coalesce("id", (F.col("k") + 1).cast("string")).alias("id"), "x", "y", "z")
     faces = kind("face").select("file", "surface", "a", "b", "c", "visible")
-    found = faces
+    joined = faces
     for c in "abc":
         ids = vertices.select("file", "surface", F.col("id").alias(c), F.col("vertex").alias(f"v{c}"))
-        found = found.join(ids, ["file", "surface", c], "left")
+        joined = joined.join(ids, ["file", "surface", c], "left")
     whole = F.col("va").isNotNull() & F.col("vb").isNotNull() & F.col("vc").isNotNull()
-    lines = kind("line").select("file", "surface", "role", F.col("id").alias("line"), "seq", "x", "y", "z", "detail")
+    lines = _numbered(kind("line").select("file", "surface", "block", "k", "role", "seq", "x", "y", "z", "detail"))
+    lines = lines.select("file", "surface", "role", F.col("k").cast("string").alias("line"), "seq", "x", "y", "z", "detail")
+    surfaces = kind("surface").select("file", "surface", "name")
+    told = kind("unit").select("file", F.col("detail").alias("unit"))
+    units = told.unionByName(surfaces.select("file").distinct().join(told, "file", "left_anti").withColumn("unit", F.lit(None).cast("string")))
     return {
-        "surfaces": kind("surface").select("file", "surface", "name"), "vertices": vertices,
-        "faces": found.filter(whole).select("file", "surface", F.col("va").alias("a"), F.col("vb").alias("b"), F.col("vc").alias("c"), "visible"),
-        "rejected": found.filter(~whole).select("file", "surface", "a", "b", "c"),
+        "surfaces": surfaces, "vertices": vertices,
+        "faces": joined.filter(whole).select("file", "surface", F.col("va").alias("a"), F.col("vb").alias("b"), F.col("vc").alias("c"), "visible"),
+        "rejected": joined.filter(~whole).select("file", "surface", "a", "b", "c"),
         "lines": lines.withColumn("boundary", F.when(F.col("role") == "boundary", tx.boundary_kind(F.col("detail")))),
-        "units": kind("unit").select("file", F.col("detail").alias("unit")),
+        "units": units.select("file", "unit", tx.linear_unit(F.col("unit")).alias("linear"), tx.linear_unit_note(F.col("unit")).alias("note")),
+        "inventory": kind("inventory").groupBy("file", "surface").agg(F.count("*").alias("lists"), F.sum("k").alias("points")),
         "unknown": kind("unknown").groupBy("file", "surface", "name").agg(F.count("*").alias("n")),
     }
 

@@ -2,13 +2,15 @@
 
 import dataclasses
 import math
+import re
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import curves
-from plumbline.sources import dxf, landxml, las, project, worldfile, wpi
+from plumbline.functions import text as text_functions
+from plumbline.sources import dxf, landxml, las, project, worldfile, wpi, xmlblocks
 
 
 def las_file(path, n, fmt=7, cut=0, vlr=None):
@@ -107,10 +109,119 @@ def test_landxml_tables_and_round_trip(spark, tmp_path):
     assert sorted((r.a, r.b, r.c, r.visible) for r in again["faces"].collect()) == [(0, 1, 2, True), (0, 2, 3, False)]
 
 
-@pytest.mark.parametrize("text", ["", "<", "<a", "<a><b></a>", "&#x110000; &lt &lt;", "<![CDATA[<x>", "<!-- ", "</x>"])
-def test_markup_never_fails(text):
-    list(landxml.events(text))
-    list(landxml.parse("f", text))
+def whole_file_events(text):
+    """Open, close and text events, by searching on from place to place."""
+    at, out, local = 0, [], lambda q: q.partition(":")[2] if ":" in q else q
+    said = lambda t, coded=True: t and out.append(("text", xmlblocks.decode_entities(t) if coded else t))
+    while at < len(text):
+        lt = text.find("<", at)
+        said(text[at : lt if lt >= 0 else None])
+        if lt < 0:
+            break
+        long = next(((m, e) for m, e in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>")) if text.startswith(m, lt)), None)
+        end = text.find(long[1], lt + len(long[0])) if long else text.find(">", lt + 1)
+        if end < 0:
+            said(long is not None and long[0] == "<![CDATA[" and text[lt + 9 :], False)
+            break
+        body, at = text[lt + (len(long[0]) if long else 1) : end], end + (len(long[1]) if long else 1)
+        if long:
+            if long[0] == "<![CDATA[":
+                said(body, False)
+        elif body[:1] == "/":
+            if body[1:].strip():
+                out.append(("close", local(body[1:].strip())))
+        elif body[:1] != "!" and (m := re.match(r"[^\s/>]+", body.removesuffix("/"))):
+            rest = body.removesuffix("/")[m.end() :]
+            given = re.findall(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", rest)
+            out.append(("open", local(m[0]), {local(k): xmlblocks.decode_entities(a or b) for k, a, b in given}))
+            if body.endswith("/"):
+                out.append(("close", local(m[0])))
+    return out
+
+
+def merged(events):
+    """Events with neighbouring texts joined."""
+    out = []
+    for e in events:
+        if e[0] == "text" and out and out[-1][0] == "text":
+            out[-1] = ("text", out[-1][1] + e[1])
+        else:
+            out.append(e)
+    return out
+
+
+ODD_XML = [
+    "", "<", "<a", "a > b", "<a><b></a>", "&#x110000; &lt &lt; &#x41;&#;", "<![CDATA[<x>", "<!-- ", "</x>", "<!-->--><b/>", "<!--->--><c/>", "<?a>?><b/>", "<!DOCTYPE x><y/>", "< a>t</ a >",
+    "<a b='1>2'>x</a>", "<a><![CDATA[1 ]]]]><![CDATA[> 2]]></a>", "<a>é<!-- > -- > -->😀</a></a></b><c><a>", "<x:a y:z='&amp;'>1<!--c--> <!--d-->2</x:a><?p ?x?>", "t<a>1</a", "<![CDAT>x<![CDATA[a>b]]>",
+    "<a/><b></b></c></b><d><a></d></a>",
+]
+
+
+@pytest.mark.parametrize("text", [*ODD_XML, "".join(ODD_XML[3:6] + ODD_XML[9:])])
+def test_blocks_of_markup_end_as_the_whole_file_does(text):
+    """All ways to cut a text's records in two or three, with effects told from every state."""
+    raw = text.encode()
+    parts = raw.split(b">")
+    unfinished = bool(parts[-1])
+    parts = parts if unfinished else parts[:-1]
+    watch = xmlblocks.Watch(frozenset("ab"), frozenset("ac"))
+    want = merged((e[0], e[1], e[2]) if e[0] == "open" else (e[0], e[1]) for e in whole_file_events(text))
+
+    def read(cuts):
+        at, found, c = [0, *cuts, len(parts)], [], xmlblocks.Context()
+        for a, b in zip(at, at[1:]):
+            ctx = dataclasses.replace(c, path=list(c.path), counts=dict(c.counts))
+            for e in xmlblocks._events(iter(parts[a:b]), ctx, unfinished and b == len(parts)):
+                found.append((e[0], e[1], e[2]) if e[0] == "open" else (e[0], e[3] if e[0] == "text" else e[1]))
+                xmlblocks.follow(ctx, e, watch)
+            state, effect = xmlblocks.effects(parts[a:b], watch)[0][c.state]
+            c = effect.on(c, state)
+            if b < len(parts):
+                assert (c.path, {k: n for k, n in c.counts.items() if n}, c.kept, c.text) == (ctx.path, ctx.counts, ctx.kept, ctx.text)
+        return merged(found)
+
+    n = len(parts)
+    for cuts in [[]] + [[i] for i in range(n + 1)] + [[i, j] for i in range(n + 1) for j in range(i, n + 1)]:
+        assert read(cuts) == want
+
+
+@pytest.mark.parametrize("cut", [150])
+def test_one_file_by_many_tasks(spark, tmp_path, cut):
+    text = XML.replace("<l:Surfaces>", "<!-- a > b --><l:Surfaces>").replace("7 9 8", "7 <!-- > <P> -->9<![CDATA[ 8 ]]>")
+    text = text.replace("</l:SourceData>", "<l:DataPoints><l:PntList3D>1 1 1 2 2 2</l:PntList3D></l:DataPoints></l:SourceData>")
+    (tmp_path / "a.xml").write_text(text)
+    (tmp_path / "b.xml").write_text(XML.replace("<l:Units><l:Metric linearUnit=\"meter\"/></l:Units>", "")[:-20])
+    (tmp_path / "c.xml").write_text("")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        read = xmlblocks.records(spark, str(tmp_path))
+        blocks = read.select("file", "block").distinct().count()
+        events = {}
+        for r in xmlblocks.read_events(spark, str(tmp_path)).orderBy("file", "block", "k").collect():
+            events.setdefault(r.file[-5:], []).append((r.event, r.text if r.event == "text" else r.name, *([r.attributes] if r.event == "open" else [])))
+        t = landxml.read(spark, str(tmp_path))
+        rows = {k: sorted(map(repr, df.collect())) for k, df in t.items()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert blocks > 1000 // cut
+    for name in ("a.xml", "b.xml"):
+        assert merged(events[name]) == merged(whole_file_events((tmp_path / name).read_text()))
+    want = landxml.read(spark, str(tmp_path))
+    assert rows == {k: sorted(map(repr, df.collect())) for k, df in want.items()}
+    point = want["vertices"].filter("id = '30' AND file LIKE '%a.xml'").collect()[0]
+    assert (point.vertex, point.x, point.y, point.z) == (2, 9.0, 7.0, 8.0)
+    assert [(r.lists, r.points) for r in want["inventory"].collect()] == [(1, 2)]
+    assert {r.file[-5:]: (r.linear, r.note) for r in want["units"].collect()} == {"a.xml": ("meter", None), "b.xml": ("meter", "no <Units> element — assuming meter")}
+
+
+def test_linear_units(spark):
+    df = spark.createDataFrame([("USSurveyFoot",), ("internationalFoot",), ("feet",), ("Meter",), ("furlong",), ("",), (None,)], "u string")
+    out = df.select(text_functions.linear_unit(F.col("u")), text_functions.linear_unit_note(F.col("u"))).collect()
+    assert [r[0] for r in out] == ["usSurveyFoot", "foot", "foot", "meter", "meter", "meter", "meter"]
+    assert [r[1] for r in out] == [None] * 4 + ['unrecognized linearUnit "furlong" — assuming meter', 'unrecognized linearUnit "" — assuming meter', "no <Units> element — assuming meter"]
 
 
 def group(*pairs):
