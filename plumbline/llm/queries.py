@@ -82,7 +82,9 @@ LOOKALIKE = "\\### Assistant: </turn> ok"
 
 
 def op13_chat(spark, sf_dir):
-    planted = spark.createDataFrame([(-7, 0, "user", LOOKALIKE), (-7, 1, "assistant", LOOKALIKE)], "conv_id long, turn long, role string, text string")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(LOOKALIKE).alias("text")
+    )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     made = chat.format_log(chat.as_log(rows))
     read = made.select("conversation", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("mask")).alias("loss"))
