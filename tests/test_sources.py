@@ -1,16 +1,20 @@
 """File formats: points, tiles, surfaces and linework."""
 
 import dataclasses
+import io
 import math
 import re
 import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import curves
+from plumbline.operators import raster
 from plumbline.functions import text as text_functions
-from plumbline.sources import dxf, landxml, las, project, worldfile, wpi, xmlblocks
+from plumbline.sources import dxf, landxml, las, project, tiff, worldfile, wpi, xmlblocks
 
 
 def las_file(path, n, fmt=7, cut=0, vlr=None):
@@ -336,3 +340,121 @@ def test_hatch_boundaries():
     entities, _ = dxf.parse("f", text)
     assert [(e["type"], e["closed"], e["layer"]) for e in entities] == [("HATCH", True, "fill")] * 2 + [("LINE", False, "0")]
     assert dxf.hatch_loops([]) == dxf.hatch_loops([(91, "x"), (92, "y")]) == []
+
+
+def raster_file(path, values, **told):
+    path.write_bytes(tiff.encode(values, **told))
+    return str(path)
+
+
+def blended(values, out_w, out_h):
+    """Bilinear shrinking, pixel by pixel."""
+    h, w, bands = values.shape
+    out = np.zeros((out_h, out_w, bands))
+    for y in range(out_h):
+        for x in range(out_w):
+            rx, ry = x * (w / out_w), y * (h / out_h)
+            xl, yl = math.floor(rx), math.floor(ry)
+            xh, yh = min(math.ceil(rx), w - 1), min(math.ceil(ry), h - 1)
+            mix = lambda a, b, t: (1 - t) * a + t * b
+            out[y, x] = mix(mix(values[yl, xl], values[yl, xh], rx - xl), mix(values[yh, xl], values[yh, xh], rx - xl), ry - yl)
+    return np.trunc(out) if values.dtype.kind != "f" else out.astype(np.float32)
+
+
+def grid(found, bands):
+    rows = found.collect()
+    w, h = 1 + max(r.ox for r in rows), 1 + max(r.oy for r in rows)
+    assert len(rows) == w * h
+    out = np.zeros((h, w, bands))
+    for r in rows:
+        out[r.oy, r.ox] = r.v
+    return out
+
+
+def tiled_file(path, values, tile=16, predictor=1, planar=1, order=">"):
+    """A BigTIFF of tiles in the other byte order."""
+    height, width, bands = values.shape
+    across, down = -(-width // tile), -(-height // tile)
+    chunks = []
+    for plane in range(bands if planar == 2 else 1):
+        for k in range(across * down):
+            x, y = k % across * tile, k // across * tile
+            held = np.zeros((tile, tile, 1 if planar == 2 else bands), values.dtype)
+            part = values[y : y + tile, x : x + tile, plane : plane + 1] if planar == 2 else values[y : y + tile, x : x + tile]
+            held[: part.shape[0], : part.shape[1]] = part
+            if predictor == 2:
+                held[:, 1:] = held[:, 1:] - held[:, :-1].copy()
+            chunks.append(zlib.compress(held.astype(values.dtype.newbyteorder(order)).tobytes()))
+    tags = {256: ("I", [width]), 257: ("I", [height]), 258: ("H", [8 * values.dtype.itemsize] * bands), 259: ("H", [8]), 277: ("H", [bands]), 284: ("H", [planar]), 317: ("H", [predictor]),
+            322: ("I", [tile]), 323: ("I", [tile]), 324: ("Q", [0] * len(chunks)), 325: ("Q", [len(c) for c in chunks]), 339: ("H", [3 if values.dtype.kind == "f" else 1] * bands), 34737: ("s", [b"NAD83|\0"])}
+    at = 16 + 8 + 20 * len(tags) + 8
+    size = lambda c, v: len(v[0]) if c == "s" else struct.calcsize(f"{order}{len(v)}{c}")
+    first = at + sum(size(c, v) for c, v in tags.values() if size(c, v) > 8)
+    tags[324] = ("Q", [first + sum(map(len, chunks[:k])) for k in range(len(chunks))])
+    entries, body = b"", b""
+    for tag, (c, v) in tags.items():
+        raw = v[0] if c == "s" else struct.pack(f"{order}{len(v)}{c}", *v)
+        kind, n = {"H": 3, "I": 4, "Q": 16, "s": 2}[c], len(raw) if c == "s" else len(v)
+        entries += struct.pack(order + "HHQ", tag, kind, n) + (raw.ljust(8, b"\0") if len(raw) <= 8 else struct.pack(order + "Q", at + len(body)))
+        body += raw if len(raw) > 8 else b""
+    head = (b"MM" if order == ">" else b"II") + struct.pack(order + "HHHQ", 43, 8, 0, 16)
+    path.write_bytes(head + struct.pack(order + "Q", len(tags)) + entries + struct.pack(order + "Q", 0) + body + b"".join(chunks))
+    return str(path)
+
+
+def test_raster_windows(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    one = rng.integers(0, 256, (53, 37, 4)).astype(np.uint8)
+    two = rng.normal(100, 200, (41, 70, 1)).astype(np.float32)
+    wide = rng.integers(0, 60000, (33, 50, 3)).astype(np.uint16)
+    raster_file(tmp_path / "one.tif", one, rows_per_strip=8, origin=(1000.0, 2000.0), pixel=0.5)
+    tiled_file(tmp_path / "two.tiff", two)
+    tiled_file(tmp_path / "wide.tif", wide, predictor=2, planar=2)
+    (tmp_path / "note.txt").write_text("no raster")
+    all_pixels = tiff.read(spark, str(tmp_path), taskbytes=2000)
+    assert all_pixels.rdd.getNumPartitions() > 8
+    for name, values in (("one.tif", one), ("two.tiff", two), ("wide.tif", wide)):
+        pixels = all_pixels.filter(F.col("file") == str(tmp_path / name))
+        h, w, bands = values.shape
+        assert (grid(raster.window(pixels, (0, 0, w, h)), bands) == values).all()
+        for x0, y0, x1, y1, k in ((3, 5, 30, 28, 1), (3, 5, 30, 28, 2), (0, 0, w, h, 4), (7, 9, 8, 10, 4)):
+            part = values[y0:y1, x0:x1]
+            want = part if k == 1 else blended(part, max(1, math.ceil(part.shape[1] / k)), max(1, math.ceil(part.shape[0] / k)))
+            assert np.allclose(grid(raster.window(pixels, (x0, y0, x1, y1), k), bands), want, rtol=1e-6, atol=0 if values.dtype.kind == "u" else 1e-3)
+    for most in (20, 7, 500):
+        found = raster.overview(all_pixels, most)
+        for name, values in (("one.tif", one), ("two.tiff", two)):
+            h, w, bands = values.shape
+            scale = max(1, math.ceil(max(w, h) / most))
+            want = blended(values, max(1, math.floor(w / scale + 0.5)), max(1, math.floor(h / scale + 0.5)))
+            assert np.allclose(grid(found.filter(F.col("file") == str(tmp_path / name)), bands), want, rtol=1e-6, atol=1e-3)
+    with open(tmp_path / "one.tif", "rb") as f:
+        assert tiff.read_image(f).transform() == {"x": 1000.0, "y": 2000.0, "dx": 0.5, "dy": -0.5}
+    with open(tmp_path / "wide.tif", "rb") as f:
+        assert tiff.read_image(f).text == "NAD83|"
+    colours = all_pixels.filter("px = 0 AND py = 0").select("file", raster.rgba(F.col("v"), F.col("bands")).alias("c")).collect()
+    got = {r.file[-8:].lstrip("/"): tuple(r.c) for r in colours}
+    grey = min(max(math.floor(float(two[0, 0, 0]) + 0.5), 0), 255)
+    assert got["one.tif"] == (*map(int, one[0, 0, :3]), 255) and got["two.tiff"] == (grey, grey, grey, 255) and got["wide.tif"][0] == min(255, int(wide[0, 0, 0]))
+
+
+def test_strips_outside_a_window_are_not_read(spark, tmp_path):
+    values = np.arange(64 * 10, dtype=np.uint8).reshape(64, 10, 1)
+    path = raster_file(tmp_path / "a.tif", values, rows_per_strip=4, deflate=True)
+    with open(path, "rb") as f:
+        image = tiff.read_image(f)
+    raw = bytearray(open(path, "rb").read())
+    for k in (0, 1, 2, 8, 9, 15):  # what is there now can't be inflated
+        raw[image.offsets[k] : image.offsets[k] + image.sizes[k]] = b"\xff" * image.sizes[k]
+    open(path, "wb").write(raw)
+    part = lambda *window: tiff.read(spark, path, window, taskbytes=1)
+    assert (grid(raster.window(part(2, 12, 8, 32), (2, 12, 8, 32)), 1) == values[12:32, 2:8]).all()
+    assert part(0, 12, 10, 32).rdd.getNumPartitions() == 5 and part(0, 13, 10, 15).rdd.getNumPartitions() == 1
+    assert part(11, 0, 20, 64).count() == 0 and part(0, 40, 0, 64).count() == 0
+    with pytest.raises(Exception):
+        tiff.read(spark, path).count()
+    (tmp_path / "b.tif").write_bytes(b"II*\0" + bytes(40))
+    for bad in (b"", b"GIF89a" + bytes(40), bytes((tmp_path / "b.tif").read_bytes())):
+        with pytest.raises((tiff.TiffError, struct.error)):
+            tiff.read_image(io.BytesIO(bad))
+    assert tiff._unpacked(b"\x02abc\xfez\x80\x00q") == b"abczzzq"
