@@ -45,8 +45,9 @@ def cube(low: tuple[float, float, float], high: tuple[float, float, float]) -> t
 
 
 def path_of(x: np.ndarray, y: np.ndarray, z: np.ndarray, low: tuple, high: tuple) -> np.ndarray:
-    """The child of each level that holds a point, three bits each, the root's first; a point on the middle belongs to the upper half."""
-    ends = [(v, np.full(len(v), float(a)), np.full(len(v), float(b))) for v, a, b in zip((x, y, z), low, high)]
+    """The child of each level that holds a point, three bits each, the root's first; a point on the middle belongs to the upper half. Bounds are numbers or arrays."""
+    whole = lambda a, v: np.array(np.broadcast_to(np.asarray(a, np.float64), len(v)))
+    ends = [(v, whole(a, v), whole(b, v)) for v, a, b in zip((x, y, z), low, high)]
     path = np.zeros(len(x), np.int64)
     for _ in range(DEPTH):
         child = np.zeros(len(x), np.int64)

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import raster
+from plumbline.operators import preview, raster
 from plumbline.plans import views
 from plumbline.plans.catalog import P, query
 from plumbline.sources import landxml, tiff
+from plumbline.sources import preview as cache
 from plumbline.sources.tables import shared_dir, table
 
 #: Orders in one surface file; two surfaces a file.
@@ -100,3 +101,56 @@ def raster_window_halved(spark, sf_dir):
 def raster_overview(spark, sf_dir):
     """Overviews of at most 50 pixels a side: a third, rounded."""
     return _colours(raster.overview(_sheets(spark, sf_dir), 50))
+
+
+#: Points over which a preview node is split here, and the levels below the root.
+PREVIEW_CAPACITY, PREVIEW_DEPTH = 40, 4
+
+
+def _clouds(spark, sf_dir):
+    """The points as clouds, one for each 20 000 orders and parity; all in the cube of 1000 units, cut off at z = 200."""
+    p = views.points(spark, sf_dir)
+    return p.withColumn("cloud", F.floor(F.col("idx") / FILE_ORDERS) * 2 + F.col("idx") % 2)
+
+
+def _cube(clouds):
+    side = [F.lit(v).alias(f"{m}_{d}") for m, corner in (("min", (0.0, 0.0, 0.0)), ("max", (1000.0, 1000.0, 200.0))) for d, v in zip("xyz", corner)]
+    return clouds.select("cloud").distinct().select("cloud", *side)
+
+
+_D = PREVIEW_DEPTH
+_CELL = " + ".join(
+    f"((CAST(floor(x / {1000 / 2**k}) AS BIGINT) & 1) + 2 * (CAST(floor(y / {1000 / 2**k}) AS BIGINT) & 1) + 4 * (CAST(floor(z / {200 / 2**k}) AS BIGINT) & 1)) * {8 ** (_D - k)}" for k in range(1, _D + 1)
+)
+_PREVIEW = f"""{P.replace("WITH", "WITH RECURSIVE", 1)}, c AS MATERIALIZED (SELECT *, idx // {FILE_ORDERS} * 2 + idx % 2 AS cloud, {_CELL} AS cell FROM v_points),
+counted AS MATERIALIZED (SELECT cloud, level, cell >> (3 * ({_D} - level)) AS node, count(*) AS n FROM c CROSS JOIN range({_D + 1}) r(level) GROUP BY ALL),
+tree AS (
+  SELECT cloud, level, node, n, '9' AS place FROM counted WHERE level = 0
+  UNION ALL
+  SELECT k.cloud, k.level, k.node, k.n, left(t.place, -1) || (k.node & 7) || '9' FROM tree t JOIN counted k ON k.cloud = t.cloud AND k.level = t.level + 1 AND k.node >> 3 = t.node WHERE t.n > {PREVIEW_CAPACITY}),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY place) AS id, n <= {PREVIEW_CAPACITY} OR level = {_D} AS leaf FROM tree)"""
+
+
+@query(f"""{_PREVIEW} SELECT t.cloud, t.id, CAST(t.level AS BIGINT) AS level, t.node, p.id AS parent_id, t.n AS point_count, t.leaf,
+(SELECT count(*) FROM numbered u WHERE u.cloud = t.cloud AND u.level >= t.level AND u.node >> (3 * (u.level - t.level)) = t.node) AS subtree
+FROM numbered t LEFT JOIN numbered p ON p.cloud = t.cloud AND p.level = t.level - 1 AND p.node = t.node >> 3""")
+def preview_octree(spark, sf_dir):
+    """Nodes of the preview octrees, numbered in post-order."""
+    clouds = _clouds(spark, sf_dir)
+    nodes, _ = preview.build(clouds, "all-detail", PREVIEW_CAPACITY, _cube(clouds), PREVIEW_DEPTH)
+    return nodes.withColumn("level", F.col("level").cast("long"))
+
+
+@query(f"""{_PREVIEW}, kept AS (SELECT c.idx, n.id, row_number() OVER (PARTITION BY n.id ORDER BY idx) AS k, x, y, z, c.r & 255 AS r, intensity, classification FROM c JOIN numbered n
+ON n.cloud = c.cloud AND n.leaf AND n.node = c.cell >> (3 * ({_D} - n.level)) WHERE c.cloud = 0 AND c.idx % greatest(1, 64 >> n.level) = 0)
+SELECT id, count(*) AS points, round(sum(CAST(x - 500 AS FLOAT)::DOUBLE), 3) AS lx, round(sum(CAST(z - 100 AS FLOAT)::DOUBLE), 3) AS lz, CAST(sum(r) AS BIGINT) AS r,
+CAST(sum(intensity) AS BIGINT) AS intensity, CAST(sum(classification) AS BIGINT) AS classification FROM kept GROUP BY id""")
+def preview_cache(spark, sf_dir):
+    """The sample of the first cloud, written to a cache and read back by node."""
+    clouds = _clouds(spark, sf_dir).withColumns({c: F.col(c) % 256 for c in "rgb"})
+    nodes, sample = preview.build(clouds, "all-detail", PREVIEW_CAPACITY, _cube(clouds), PREVIEW_DEPTH)
+    folder = _new(spark, "preview")
+    cache.write(sample.filter("cloud = 0"), folder, {"quality": "all-detail"})
+    whole = lambda c: F.sum(c).cast("long").alias(c)
+    length = lambda c: F.round(F.sum(F.col(c).cast("double")), 3).alias(c)
+    return cache.read(spark, folder).groupBy("id").agg(F.count("*").alias("points"), length("lx"), length("lz"), whole("r"), whole("intensity"), whole("classification"))

@@ -360,3 +360,52 @@ def test_outline_of_a_polygon(spark):
     assert told(1e-6) == [True, True, True, True, False, True, False]
     assert told(1e-9) == [True, True, True, False, False, False, False]
     assert told(1e-6)[:1] == [r[0] for r in df.limit(1).select(geo.on_segment((F.lit(0.0), F.lit(0.0)), (F.lit(0.0), F.lit(2.0)), (F.col("x"), F.col("y")))).collect()]
+
+
+def test_preview_octrees_against_a_walk(spark):
+    from plumbline.operators import preview
+
+    rng = random.Random(3)
+    rows = []
+    for cloud, (wide, high, n) in enumerate([(100.0, 7.0, 900), (0.003, 0.001, 400), (50.0, 0.0, 1), (10.0, 10.0, 300)]):
+        for k in range(n):
+            same = cloud == 3 and k % 2
+            rows.append((cloud, k, 3.0 if same else rng.random() * wide, 3.0 if same else rng.random() * wide, rng.choice([0.0, rng.random()]) * high, k % 5, k % 3, 2 + k % 2))
+    df = spark.createDataFrame(rows, "cloud long, idx long, x double, y double, z double, classification int, return_number int, number_of_returns int").repartition(5)
+    nodes, sample = preview.build(df, "all-detail", 20)
+    want_nodes, want_sample, depths = set(), set(), {}
+    for cloud in range(4):
+        own = [r for r in rows if r[0] == cloud]
+        low = [min(r[2 + d] for r in own) for d in range(3)]
+        high = [max(r[2 + d] for r in own) for d in range(3)]
+        count = 0
+
+        def walk(points, lo, hi, level, path):
+            nonlocal count
+            children = []
+            if len(points) > 20 and level < 7 and max(b - a for a, b in zip(lo, hi)) > 0.001:
+                mid = [(a + b) / 2 for a, b in zip(lo, hi)]
+                for octant in range(8):
+                    up = [octant >> d & 1 for d in range(3)]
+                    inside = [r for r in points if all((r[2 + d] >= mid[d]) == bool(up[d]) for d in range(3))]
+                    if inside:
+                        children.append(walk(inside, [m if u else a for m, u, a in zip(mid, up, lo)], [b if u else m for m, u, b in zip(mid, up, hi)], level + 1, path * 8 + octant))
+            count += 1
+            mine = count
+            found = [(mine, level, path, len(points), not children)]
+            for c in children:
+                found += [(*c[0], mine)] + c[1:]
+            if not children:
+                stride = max(1, 64 >> level)
+                want_sample.update((cloud, mine, r[1]) for r in [r for r in points if r[1] % stride == 0][:200_000])
+            return found
+
+        tree = walk(own, low, high, 0, 0)
+        want_nodes.update((cloud, *(t if len(t) == 6 else (*t, None))) for t in tree)
+        depths[cloud] = max(t[1] for t in tree)
+    got = {(r.cloud, r.id, r.level, r.node, r.point_count, r.leaf, r.parent_id) for r in nodes.collect()}
+    assert got == want_nodes and max(depths.values()) == 7
+    assert {(r.cloud, r.id, r.idx) for r in sample.collect()} == want_sample
+    told = {r.cloud: r for r in preview.summary(nodes, sample).collect()}
+    assert {c: r.max_depth for c, r in told.items()} == depths and told[0].returns == [1, 2] and told[2].sampled == 1 and told[2].classes == [0]
+    assert preview.build(df.limit(0))[0].count() == 0

@@ -2,6 +2,7 @@
 
 import dataclasses
 import io
+import json
 import math
 import re
 import struct
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import curves
 from plumbline.operators import raster
 from plumbline.functions import text as text_functions
+from plumbline.sources import preview as preview_cache
 from plumbline.sources import dxf, landxml, las, project, tiff, worldfile, wpi, xmlblocks
 
 
@@ -458,3 +460,43 @@ def test_strips_outside_a_window_are_not_read(spark, tmp_path):
         with pytest.raises((tiff.TiffError, struct.error)):
             tiff.read_image(io.BytesIO(bad))
     assert tiff._unpacked(b"\x02abc\xfez\x80\x00q") == b"abczzzq"
+
+
+def test_preview_cache(spark, tmp_path):
+    rows = [(k % 7, k, float(k), k * 0.5, -float(k), k % 256, 2, 3, k * 3.0, k % 32, k % 5, 5) for k in range(1000)]
+    names = "id long, idx long, lx double, ly double, lz double, r int, g int, b int, intensity double, classification int, return_number int, number_of_returns int"
+    sample = spark.createDataFrame(rows, names).repartition(5)
+    folder = str(tmp_path / "cache")
+    preview_cache.write(sample, folder, {"quality": "fast"})
+    told = preview_cache.read_descriptor(folder)
+    assert told["points"] == 1000 and told["told"] == {"quality": "fast"} and sum(p["nodes"] for p in told["parts"]) >= 7
+    back = preview_cache.read(spark, folder)
+    assert sorted(map(tuple, back.collect())) == sorted((r[0], *r[2:]) for r in rows)
+    assert [(r.id, r.lx) for r in preview_cache.read(spark, folder, [3]).collect()] == [(3, float(k)) for k in range(1000) if k % 7 == 3]
+    with pytest.raises(Exception, match="holds a cache"):
+        preview_cache.write(sample, folder)
+    preview_cache.write(sample.filter("id < 2"), folder, overwrite=True)
+    assert preview_cache.read(spark, folder).count() == sum(1 for r in rows if r[0] < 2)
+    # one task of the job fails: others have written, and nothing can be read
+    broken = sample.withColumn("lx", F.when(F.col("idx") < 999, F.col("lx")).otherwise(F.raise_error(F.lit("gone")).cast("double")))
+    with pytest.raises(Exception, match="gone"):
+        preview_cache.write(broken, str(tmp_path / "half"))
+    with pytest.raises(Exception, match="no finished cache"):
+        preview_cache.read(spark, str(tmp_path / "half")).count()
+    preview_cache.write(sample.limit(0), str(tmp_path / "empty"))
+    assert preview_cache.read(spark, str(tmp_path / "empty")).count() == 0
+    # files and slices that don't fit each other
+    part = told = preview_cache.read_descriptor(folder)["parts"][0]["part"]
+    slices = tmp_path / "cache" / f"{part}.slices"
+    good = slices.read_text()
+    slices.write_text(json.dumps([[0, 0, 10**6]]))
+    with pytest.raises(Exception, match="lies outside"):
+        preview_cache.read(spark, folder).count()
+    slices.write_text(good)
+    colours = tmp_path / "cache" / f"{part}.colors"
+    colours.write_bytes(colours.read_bytes()[:-1])
+    with pytest.raises(Exception, match="bytes of"):
+        preview_cache.read(spark, folder).count()
+    (tmp_path / "cache" / "descriptor.json").write_text('{"version": 0, "parts": []}')
+    with pytest.raises(Exception, match="has version 0"):
+        preview_cache.read(spark, folder).count()
