@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from plumbline.functions import las, text
 from plumbline.operators import editing, listing, mesh, octree, points, project, regions, selection
-from plumbline.plans import catalog, details, formats, more  # noqa: F401
+from plumbline.plans import catalog, details, formats, more, picks  # noqa: F401
 from plumbline.streaming import state
 
 SF = "/root/testdata/sf0.001"
@@ -409,3 +409,55 @@ def test_preview_octrees_against_a_walk(spark):
     told = {r.cloud: r for r in preview.summary(nodes, sample).collect()}
     assert {c: r.max_depth for c, r in told.items()} == depths and told[0].returns == [1, 2] and told[2].sampled == 1 and told[2].classes == [0]
     assert preview.build(df.limit(0))[0].count() == 0
+
+
+def test_rays_that_graze_their_boxes(spark):
+    from plumbline.operators import extents, rays
+
+    names = "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double, reach double"
+    asked = spark.createDataFrame([
+        (1, -5.0, 0.5, 0.5, 1.0, 0.0, 0.0, 100.0), (2, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 9.0), (3, None, 0.0, 0.0, 1.0, 0.0, 0.0, 9.0), (4, 2.0, 2.0, 9.0, 0.0, 0.0, -1.0, 20.0),
+        (5, 2.0, 2.0, 9.0, 0.0, 0.0, -1.0, 3.0), (6, 0.0, 11.0, 0.0, 1.0, 0.0, 0.0, 50.0), (7, -1.0, -1.0, -1.0, 1.0, 1.0, 1.0, 50.0),
+    ], names)
+    cloud = [(k, float(k % 11), float(k // 11 % 11), float(k // 121), k % 3) for k in range(1331)]
+    points = spark.createDataFrame(cloud, "idx long, x double, y double, z double, source long")
+    for radius, cell in ((0.75, 1.0), (1.2, 0.7), (0.3, 4.0)):
+        got = {(r.ray_id, r.source, r["rank"]): r.idx for r in rays.cloud_hits(asked, points, cell, radius, most=5).collect()}
+        want = {}
+        for ray in asked.collect():
+            o, d = (ray.ox, ray.oy, ray.oz), (ray.dx, ray.dy, ray.dz)
+            size = sum(v * v for v in d)
+            if None in o or not size:
+                continue
+            for source in range(3):
+                met = []
+                for idx, x, y, z, s in cloud:
+                    p = (x - o[0], y - o[1], z - o[2])
+                    t = sum(a * b for a, b in zip(p, d)) / size
+                    away = math.sqrt(sum((a - t * b) ** 2 for a, b in zip(p, d)))
+                    if s == source and 0 <= t <= ray.reach and away <= radius:
+                        met.append((t, away, idx))
+                want |= {(ray.ray_id, source, k): m[2] for k, m in enumerate(sorted(met)[:5], 1)}
+        assert got == want
+    flat = spark.createDataFrame([(0, 7, 0.0, 0.0, 2.0, 4.0, 0.0, 2.0, 0.0, 4.0, 2.0), (1, 8, 0.0, 0.0, 5.0, 4.0, 0.0, 5.0, 0.0, 4.0, 5.0)], "surface long, face_id long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
+    hits = {r.ray_id: (r.surface, r.z) for r in rays.surface_hits(asked, flat, 2.5).collect()}
+    assert hits == {4: (1, 5.0), 7: (0, 2.0)}
+    assert rays.surface_hits(asked, flat.limit(0), 1.0).count() == 0 and rays.cloud_hits(asked, points.limit(0), 1.0, 1.0).count() == 0
+    # pointers on a screen
+    vertices = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 10.0, 10.0), (2, 0.0, 0.0, 0.0, 21.0, 10.0), (3, 0.0, 0.0, 0.0, None, None)], "feature_id long, x double, y double, z double, sx double, sy double")
+    edges = spark.createDataFrame([(9, 0.0, 0.0, 0.0, 10.0, 0.0, 5.0, -100.0, 12.0, 100.0, 12.0)], "feature_id long, ax double, ay double, az double, bx double, by double, bz double, asx double, asy double, bsx double, bsy double")
+    pointers = spark.createDataFrame([(0, 11.0, 11.0), (1, 150.0, 12.0), (2, 20.0, 30.0)], "pointer_id long, px double, py double")
+    found = {(r.pointer_id, r.kind, r.feature_id): (r.x, r.z, r.sx) for r in rays.feature_candidates(pointers, vertices, edges, 5.0).collect()}
+    assert set(found) == {(0, "authored-vertex", 1), (0, "authored-vertex", 2), (0, "authored-edge", 9)}
+    x, z, sx = found[0, "authored-edge", 9]
+    assert abs(x - 5.55) < 1e-9 and abs(z - 2.775) < 1e-9 and abs(sx - 11) < 1e-9
+    rng = random.Random(8)
+    box = lambda k: (k, (x := rng.randint(-40, 40) / 2), (y := rng.randint(-40, 40) / 2), x + rng.choice([0, 0.5, 3, 50, 1000]), y + rng.choice([0, 1, 7, 300]))
+    a, b = [box(k) for k in range(80)], [box(k) for k in range(60)]
+    odd = [(900, None, 0.0, 1.0, 1.0), (901, 5.0, 5.0, 4.0, 9.0)]
+    schema = "k long, min_x double, min_y double, max_x double, max_y double"
+    left, right = spark.createDataFrame(a + odd, schema), spark.createDataFrame(b + odd, schema).withColumn("_l", F.lit(1))
+    pairs = [(r[0], r[1]) for r in extents.meeting(left, right, 1.5).select("l.k", F.col("r.k").alias("j")).collect()]
+    want = {(p[0], q[0]) for p in a for q in b if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2]}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    assert extents.meeting(left.limit(0), right, 1.0).count() == 0
