@@ -80,16 +80,16 @@ def meeting_extents(spark, sf_dir):
 
 
 #: Rings of customers: six points, of which some coincide or lie on rows and columns of pixels; concave and crossing ones, too.
-_CORNERS = ((0, 3, 7), (1, 40, 11), (0, 55, 13), (1, 50, 17), (0, 30, 19), (1, 5, 23))
+_CORNERS = ((0, 3, 2, 7), (1, 40, 0, 11), (0, 55, 10, 13), (1, 50, 28, 17), (0, 30, 33, 19), (1, 5, 25, 23))
 
 
 def _rings(spark, sf_dir):
     k = F.col("c_custkey")
-    at = [F.struct(((k * m % 9) * (1.0 if even else 0.5) + a).alias("x"), ((k * (m + 2) % 12) * 1.5 + a / 2).alias("y")) for even, a, m in _CORNERS]
+    at = [F.struct(((k * m % 9) * (1.0 if even else 0.5) + a).alias("x"), ((k * (m + 2) % 12) * 0.5 + b).alias("y")) for even, a, b, m in _CORNERS]
     return table(spark, sf_dir, "customer").select(k.alias("polygon_id"), F.array(*at).alias("ring"))
 
 
-_POINTS = ", ".join(f"[((k * {m}) % 9) * {1.0 if even else 0.5} + {a}, ((k * {m + 2}) % 12) * 1.5 + {a / 2}]" for even, a, m in _CORNERS)
+_POINTS = ", ".join(f"[((k * {m}) % 9) * {1.0 if even else 0.5} + {a}, ((k * {m + 2}) % 12) * 0.5 + {b}]" for even, a, b, m in _CORNERS)
 
 
 def _holds(x: str, y: str) -> str:
