@@ -403,14 +403,6 @@ def region_budget_selection(spark, sf_dir):
     return selection.region_within_budget(n, (100.0, 100.0), (700.0, 600.0), total // 4).drop("cloud")
 
 
-@query(None)
-def region_sectors(spark, sf_dir):
-    n = views.nodes(spark, sf_dir)
-    total = n.agg(F.sum("point_count")).first()[0]
-    found = selection.sectors(n, (100.0, 100.0), (900.0, 700.0), total // 6, 8)
-    return spark.createDataFrame([(*low, *high) for low, high in found], "min_x double, min_y double, max_x double, max_y double")
-
-
 @query("""WITH a AS (SELECT p_partkey AS id, p_partkey%3 AS k, p_partkey%4<>0 AS truly, CASE WHEN p_partkey%5<>0 THEN p_partkey*2%2500 END AS link FROM part),
 b AS (SELECT id, k=1 AND truly AS is_index, k=2 AND truly AS is_surfel, CASE WHEN k=1 THEN link END AS i, CASE WHEN k=2 THEN link END AS s, CASE WHEN k=2 AND id%7=0 THEN id+1 END AS x FROM a)
 SELECT 'index-payload' AS rule, id FROM b WHERE (i IS NOT NULL)<>is_index UNION ALL SELECT 'surfel-payload', id FROM b WHERE (s IS NOT NULL)<>is_surfel

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
-from plumbline.operators import crops, extents, rays
+from plumbline.operators import crops, extents, rays, selection, triangulation
 from plumbline.plans import views
 from plumbline.plans.catalog import P, RING, crossings, query, r6
 from plumbline.sources.tables import table
@@ -138,3 +138,52 @@ def crop_tile_masks(spark, sf_dir):
     tiles = rings.select("polygon_id", F.explode(side(16, 48)).alias("x0")).withColumn("y0", F.explode(side(0, 32))).withColumns({"x1": F.col("x0") + 8, "y1": F.col("y0") + 8})
     kept = crops.tile_masks(tiles, rings, 8).groupBy("polygon_id", "x0", "y0").agg(F.sum(F.col("last") - F.col("first") + 1).alias("kept"))
     return crops.masked_tiles(tiles, rings).filter("masked").join(kept, ["polygon_id", "x0", "y0"], "left").select("polygon_id", "x0", "y0", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
+_AREA = "abs(" + " + ".join(f"(p[{i + 1}][1] * p[{(i + 1) % 6 + 1}][2] - p[{(i + 1) % 6 + 1}][1] * p[{i + 1}][2])" for i in range(6)) + ") / 2"
+
+
+@query(f"""WITH {_RINGS}, n AS (SELECT count(*) AS n FROM customer), q AS (SELECT DISTINCT 1 + o_orderkey % n AS k, ((o_orderkey * 7919) % 601) / 10 + 0.03::DOUBLE AS x, ((o_orderkey * 104729) % 401) / 10 + 0.07::DOUBLE AS y FROM orders, n),
+i AS (SELECT k, count(*) AS inner_points FROM v_rings JOIN q USING (k) WHERE {_holds("x", "y")} GROUP BY k)
+SELECT k AS region, 4 + 2 * coalesce(inner_points, 0) AS triangles, round({_AREA}, 6) AS area FROM v_rings LEFT JOIN i USING (k)""")
+def covered_regions(spark, sf_dir):
+    """Each customer's ring triangulated with the orders that lie in it: a triangle for each corner but two, and two for each point; areas add up to the ring's."""
+    rings = _rings(spark, sf_dir).select(F.col("polygon_id").alias("region"), F.posexplode("ring").alias("seq", "c")).select("region", "seq", "c.x", "c.y")
+    n, o = table(spark, sf_dir, "customer").count(), F.col("o_orderkey")
+    at = [((o * m) % side / 10 + F.lit(off)).alias(d) for d, m, side, off in (("x", 7919, 601, 0.03), ("y", 104729, 401, 0.07))]
+    found = triangulation.region_triangles(rings, table(spark, sf_dir, "orders").select((1 + o % n).alias("region"), *at))
+    twice = (F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y1")) - (F.col("x3") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return found.groupBy("region").agg(F.count("*").alias("triangles"), F.round(F.sum(twice) / 2, 6).alias("area"))
+
+
+_SECTORS = f"""{P}, cells AS (SELECT idx % 7 AS cloud, floor(x / 50) * 50 AS min_x, floor(y / 50) * 50 AS min_y, floor(x / 50) * 50 + 50 AS max_x, floor(y / 50) * 50 + 50 AS max_y, count(*) AS pc FROM v_points GROUP BY ALL),
+asked AS (SELECT c_custkey % 7 AS cloud, c_custkey AS region, ((c_custkey*37)%500)::DOUBLE AS lx, ((c_custkey*53)%500)::DOUBLE AS ly, 100 + (c_custkey*37)%500 + ((c_custkey*11)%400)::DOUBLE AS hx,
+80 + (c_custkey*53)%500 + ((c_custkey*13)%300)::DOUBLE AS hy, 2 + c_custkey % 40 AS budget FROM customer),
+h0 AS MATERIALIZED (SELECT region, region || ':' AS sector, lx, ly, hx, hy, budget, min_x, min_y, max_x, max_y, pc FROM asked JOIN cells USING (cloud) WHERE max_x >= lx AND min_x <= hx AND max_y >= ly AND min_y <= hy
+UNION ALL SELECT region, region || ':', lx, ly, hx, hy, budget, NULL, NULL, NULL, NULL, 0 FROM asked)"""
+_ROUND = """, t{k} AS (SELECT *, sum(pc) OVER (PARTITION BY sector) AS pts, hx - lx >= hy - ly AS wide FROM h{k}),
+m{k} AS (SELECT sector, CASE WHEN wide THEN lx ELSE ly END AS low, CASE WHEN wide THEN hx ELSE hy END AS high, CASE WHEN wide THEN (min_x + max_x) / 2 ELSE (min_y + max_y) / 2 END AS centre, sum(pc) AS w
+FROM t{k} WHERE pts > budget AND min_x IS NOT NULL GROUP BY ALL),
+u{k} AS (SELECT *, sum(w) OVER (PARTITION BY sector ORDER BY centre) AS upto, sum(w) OVER (PARTITION BY sector) AS total FROM m{k}),
+c{k} AS (SELECT sector, least(greatest(min(centre) FILTER (upto >= total / 2), low + (high - low) * 0.05::DOUBLE), high - (high - low) * 0.05::DOUBLE) AS cut FROM u{k} GROUP BY sector, low, high),
+h{n} AS MATERIALIZED (SELECT region, t.sector, lx, ly, hx, hy, budget, min_x, min_y, max_x, max_y, pc FROM t{k} t WHERE sector NOT IN (SELECT sector FROM c{k})
+UNION ALL SELECT region, t.sector || '0', lx, ly, CASE WHEN wide THEN cut ELSE hx END, CASE WHEN wide THEN hy ELSE cut END, budget, min_x, min_y, max_x, max_y, pc
+FROM t{k} t JOIN c{k} c ON c.sector = t.sector WHERE min_x IS NULL OR CASE WHEN wide THEN min_x ELSE min_y END <= cut
+UNION ALL SELECT region, t.sector || '1', CASE WHEN wide THEN cut ELSE lx END, CASE WHEN wide THEN ly ELSE cut END, hx, hy, budget, min_x, min_y, max_x, max_y, pc
+FROM t{k} t JOIN c{k} c ON c.sector = t.sector WHERE min_x IS NULL OR CASE WHEN wide THEN max_x ELSE max_y END >= cut)"""
+
+
+@query(_SECTORS + "".join(_ROUND.format(k=k, n=k + 1) for k in range(3)) + """ SELECT region, sector, round(any_value(lx), 6) AS min_x, round(any_value(ly), 6) AS min_y, round(any_value(hx), 6) AS max_x, round(any_value(hy), 6) AS max_y,
+CAST(sum(pc) AS BIGINT) AS points FROM h3 GROUP BY region, sector""")
+def region_sectors(spark, sf_dir):
+    """Customers' regions of seven clouds, halved until their parts hold few points, eight parts at most."""
+    cell = lambda d: F.floor(F.col(d) / 50) * 50.0
+    p = views.points(spark, sf_dir).select((F.col("idx") % 7).alias("cloud"), cell("x").alias("min_x"), cell("y").alias("min_y"))
+    nodes = p.groupBy("cloud", "min_x", "min_y").agg(F.count("*").alias("point_count")).withColumns({"max_x": F.col("min_x") + 50, "max_y": F.col("min_y") + 50})
+    k = F.col("c_custkey")
+    lx, ly = ((k * 37) % 500).cast("double"), ((k * 53) % 500).cast("double")
+    regions = table(spark, sf_dir, "customer").select(
+        (k % 7).alias("cloud"), k.alias("region"), lx.alias("lx"), ly.alias("ly"), (lx + 100 + (k * 11) % 400).alias("hx"), (ly + 80 + (k * 13) % 300).alias("hy"), (2 + k % 40).alias("budget")
+    )
+    found = selection.sectors(nodes, regions, 8)
+    return found.select("region", "sector", *[r6(F.col(c), c) for c in ("min_x", "min_y", "max_x", "max_y")], "points")

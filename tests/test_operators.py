@@ -171,12 +171,6 @@ def test_regions(spark):
     ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 3.0), (0.0, 10.0)]
     area = lambda t, p: abs(regions.signed_area([p[k] for k in t]))
     assert math.isclose(sum(area(t, ring) for t in regions.ear_clip(ring)), abs(regions.signed_area(ring)))
-    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
-    kept, triangles = regions.patch(square, [(3.0, 4.0), (7.0, 6.0), (20.0, 1.0), (3.0, 4.0)])
-    assert len(kept) == 6 and math.isclose(sum(area(t, kept) for t in triangles), 100.0)
-    rings = spark.createDataFrame([(1, k, *p) for k, p in enumerate(square)], "region long, seq int, x double, y double")
-    inner = spark.createDataFrame([(1, 3.0, 4.0)], "region long, x double, y double")
-    assert regions.region_triangles(rings, inner).count() == 4
     assert len(spark.range(1).select(regions.grid_points((0, 0), (10, 10), 5.0).alias("g")).collect()[0].g) == 4
     corners, faces = regions.box(2, 3, 4)
     volume = sum(np.linalg.det(corners[f]) for f in faces) / 6
@@ -310,9 +304,11 @@ def test_regions_within_budgets(spark):
         queue += [(level + 1, *(2 * v + (k >> i & 1) for i, v in enumerate(n))) for k in range(8)]
     out = selection.region_within_budget(nodes, low, high, budget).orderBy("seq").collect()
     assert [r.key for r in out] == told and out[0].limited == limited
-    parts = selection.sectors(nodes, low, high, budget, 8)
+    asked = spark.createDataFrame([("c", 1, *low, *high, budget), ("c", 2, 2000.0, 2000.0, 2100.0, 2100.0, 1)], "cloud string, region long, lx double, ly double, hx double, hy double, budget long")
+    parts = [r for r in selection.sectors(nodes, asked, 8).collect() if r.region == 1]
     assert 1 < len(parts) <= 8
-    assert sum((b[0] - a[0]) * (b[1] - a[1]) for a, b in parts) == pytest.approx(600 * 500)
+    assert sum((r.max_x - r.min_x) * (r.max_y - r.min_y) for r in parts) == pytest.approx(600 * 500)
+    assert [(r.sector, r.points) for r in selection.sectors(nodes, asked.filter("region = 2"), 8).collect()] == [("2:", 0)]
 
 
 def test_edges_of_a_concave_ring(spark):
@@ -336,18 +332,67 @@ def test_edges_of_a_concave_ring(spark):
     assert rows and all(r.allowed == want[r.i, r.j] for r in rows)
 
 
-def test_triangles_stay_in_a_concave_region():
-    ring = [(0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (3.5, 5.0), (3.5, 1.5), (1.5, 1.5), (1.5, 5.0), (0.0, 5.0)]
-    rng = random.Random(8)
-    extra = [(rng.uniform(0, 5), rng.uniform(0, 5)) for _ in range(40)]
-    kept, triangles = regions.patch(ring, extra)
-    assert all(regions.inside(p, ring) for p in kept) and len(kept) > 20
-    for t in triangles:
-        corners = [kept[v] for v in t]
-        for _ in range(40):  # any point of a triangle lies in the region
-            w = sorted((rng.random(), rng.random()))
-            w = (w[0], w[1] - w[0], 1 - w[1])
-            assert regions.inside(tuple(sum(c[d] * k for c, k in zip(corners, w)) for d in (0, 1)), ring, 1e-6)
+def star(rng, n, wide):
+    """A concave ring around the origin."""
+    return [(wide * (r := rng.uniform(0.3, 1)) * math.cos(a), wide * r * math.sin(a)) for a in sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))]
+
+
+def test_regions_are_covered(spark):
+    from plumbline.operators import triangulation
+
+    rng = random.Random(11)
+    rings = {k: star(rng, 5 + 6 * k, 10.0 * (k + 1)) for k in range(6)}
+    rings[6] = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    rings[7] = [(0.0, 0.0), (30.0, 0.0), (30.0, 9.0), (20.0, 9.0), (20.0, 3.0), (18.0, 3.0), (18.0, 9.0), (10.0, 9.0), (10.0, 2.0), (9.0, 2.0), (9.0, 9.0), (0.0, 9.0)][::-1]
+    rings[8] = [(0.0, 0.0), (1.0, 1.0)]
+    inner = {}
+    for k, ring in rings.items():
+        wide = max(abs(v) for p in ring for v in p)
+        inner[k] = [(rng.uniform(-wide, wide), rng.uniform(-wide, wide)) for _ in range(400)] + [(float(i), float(j)) for i in range(10) for j in range(10)] + [(3.0, 4.0)] * 5 + [ring[0]]
+    r = spark.createDataFrame([(k, i, *p) for k, ring in rings.items() for i, p in enumerate(ring)], "region long, seq int, x double, y double").repartition(3)
+    p = spark.createDataFrame([(k, *q) for k, qs in inner.items() for q in qs if k != 5], "region long, x double, y double").repartition(3)
+    for strip_points in (10_000, 120):
+        out = triangulation.region_triangles(r, p, strip_points).collect()
+        for k, ring in rings.items():
+            mine = [((t.x1, t.y1), (t.x2, t.y2), (t.x3, t.y3), t.strip) for t in out if t.region == k]
+            if k == 8:
+                assert not mine
+                continue
+            assert (len({t[3] for t in mine}) > 2) == (strip_points < 1000 and k != 5)
+            areas = [regions.signed_area(list(t[:3])) for t in mine]
+            assert min(areas) > -1e-9 and math.isclose(sum(areas), abs(regions.signed_area(ring)), rel_tol=1e-9)
+            edges = {}
+            for t in mine:  # triangles meet edge to edge
+                for a, b in zip(t[:3], t[1:3] + t[:1]):
+                    edges[a, b] = edges.get((a, b), 0) + 1
+            assert set(edges.values()) == {1}
+            want = {q for q in inner[k] if regions.inside(q, ring, 0.0)} if k != 5 else set()
+            corners = {c for t in mine for c in t[:3]}
+            away = lambda q: min(math.dist(q, c) for c in corners)
+            assert all(q in corners or away(q) <= 2e-6 for q in want | set(ring))
+            if strip_points == 10_000:  # no point in the circle of a triangle, unless the ring lies between
+                border = {frozenset((tuple(a), tuple(b))) for a, b in zip(ring, ring[1:] + ring[:1])}
+                apex = {(a, b): c for t in mine for a, b, c in (t[:3], (t[1], t[2], t[0]), (t[2], t[0], t[1]))}
+                for (a, b), c in apex.items():
+                    d = apex.get((b, a))
+                    if d and frozenset((a, b)) not in border and triangulation._cross(a, d, c) > 1e-9 and triangulation._cross(d, b, c) > 1e-9:
+                        assert not triangulation._in_circle(a, b, c, d) or len(ring) > 4
+
+
+def test_strips_meet_at_their_seams():
+    from plumbline.operators import triangulation
+
+    rng = random.Random(12)
+    for n in (3, 4, 9, 40):
+        ring = star(rng, n, 50.0)
+        seams = sorted(rng.uniform(-45, 45) for _ in range(5)) + [ring[0][0]]
+        seams.sort()
+        found = [list(triangulation.cover(ring, [(rng.uniform(-50, 50), rng.uniform(-50, 50)) for _ in range(50)], seams, k)) for k in range(len(seams) + 1)]
+        assert math.isclose(sum(regions.signed_area(list(t)) for f in found for t in f), abs(regions.signed_area(ring)), rel_tol=1e-9)
+        for s in seams[:5]:  # one side's edges on a seam are the other's
+            on = [{frozenset((a, b)) for t in f for a, b in zip(t, t[1:] + t[:1]) if a[0] == s and b[0] == s} for f in found]
+            met = [e for e in on if e]
+            assert not met or (len(met) == 2 and met[0] == met[1])
 
 
 def test_outline_of_a_polygon(spark):
