@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
 from plumbline.functions import las
+from plumbline.sources.tables import materialize
 
 #: Surfel cells: factors of the point spacing, least points, and limits of radius and confidence.
 CELL, LEAST_CELL, TINY = 1.5, 0.75, 1e-4
@@ -201,3 +202,49 @@ def count_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> Da
     inside = near.filter(F.aggregate("edges", F.lit(False), lambda odd, e: odd != crosses(e)))
     found = inside.groupBy("polygon_id").agg(F.count("*").alias("inside"), F.count_if("passes").alias("inside_filtered"))
     return polygons.select("polygon_id").join(found, "polygon_id", "left").fillna(0, ["inside", "inside_filtered"])
+
+
+# Multiples of the first disc's radius, and the points that a disc needs.
+LADDER = ((1, 12), (2, 12), (4, 8), (8, 6))
+
+
+def ground_ladder(queries: DataFrame, points: DataFrame, radius: float, share: float = 0.1, ladder: tuple[tuple[int, int], ...] = LADDER) -> DataFrame:
+    """(query_id, rung, n, ground): a low percentile of the heights in the first of several widening discs that holds enough points; queries(query_id, qx, qy).
+
+    Queries whose widest disc holds too few have no row. Both sides are dealt to cells as wide as the widest disc."""
+    cell = radius * max(m for m, _ in ladder)
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    near = F.explode(F.array(*[F.struct((at("qx") + i).alias("gx"), (at("qy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    asked = queries.withColumn("_g", near).select("query_id", "qx", "qy", "_g.gx", "_g.gy")
+    d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
+    met = asked.join(points.select("x", "y", "z", at("x").alias("gx"), at("y").alias("gy")), ["gx", "gy"]).select("query_id", "z", d2.alias("d2"))
+    rungs = F.filter(F.array(*[F.struct(F.lit(k).alias("rung"), F.lit((radius * m) ** 2).alias("most"), F.lit(least).alias("least")) for k, (m, least) in enumerate(ladder)]), lambda r: r["most"] >= F.col("d2"))
+    each = met.select("query_id", "z", F.explode(rungs).alias("r")).select("query_id", "z", "r.rung", "r.least")
+    told = floor_percentile(each, "z", share, "query_id", "rung", "least").filter("n >= least")
+    return told.groupBy("query_id").agg(F.min("rung").alias("rung"), F.min_by("n", "rung").alias("n"), F.min_by("value", "rung").alias("ground"))
+
+
+def centroids(points: DataFrame, *by: str) -> DataFrame:
+    """Mean x and y of each group."""
+    return points.groupBy(*by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+
+
+def fit_faces(points: DataFrame, *by: str) -> DataFrame:
+    """The frame and extents of a flat face through each group: the plane of `fit_planes`, x along its level line, y up its slope.
+
+    Groups without a plane have no row. kind: wall for a normal nearer to level than to upright by half, else roof."""
+    plane = materialize(fit_planes(points, *by), "planes").filter("nx IS NOT NULL")  # else each use of a normal would compute it again
+    flat = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny"))
+    level = flat > 1e-6
+    frame = plane.withColumns({"xx": F.when(level, -F.col("ny") / flat).otherwise(1.0), "xy": F.when(level, F.col("nx") / flat).otherwise(0.0)})
+    frame = frame.withColumns({"yx": -F.col("nz") * F.col("xy"), "yy": F.col("nz") * F.col("xx"), "yz": F.col("nx") * F.col("xy") - F.col("ny") * F.col("xx")})
+    size = F.sqrt(F.col("yx") * F.col("yx") + F.col("yy") * F.col("yy") + F.col("yz") * F.col("yz"))
+    frame = frame.withColumns({c: F.col(c) / size for c in ("yx", "yy", "yz")})
+    off = {d: F.col(d) - F.col(f"o{d}") for d in "xyz"}
+    placed = points.select(*by, "x", "y", "z").join(frame.select(*by, "ox", "oy", "oz", "xx", "xy", "yx", "yy", "yz"), list(by))
+    u, v = off["x"] * F.col("xx") + off["y"] * F.col("xy"), off["x"] * F.col("yx") + off["y"] * F.col("yy") + off["z"] * F.col("yz")
+    extents = placed.groupBy(*by).agg(*[f(c).alias(f"{m}_{n}") for n, c in (("u", u), ("v", v)) for m, f in (("min", F.min), ("max", F.max))])
+    length, height = F.col("max_u") - F.col("min_u"), F.col("max_v") - F.col("min_v")
+    return frame.join(extents, list(by)).withColumns({
+        "length": length, "height": height, "area": length * height, "kind": F.when(F.abs(F.col("nz")) < 0.5, "wall").otherwise("roof"),
+    })

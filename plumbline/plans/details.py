@@ -116,21 +116,15 @@ def closest_on_segment(spark, sf_dir):
     return d.withColumn("c", c).select("k", r6(F.col("c.t"), "t"), r6(F.col("c.x"), "x"), r6(F.col("c.y"), "y"))
 
 
-@query(f"""{P}, q AS (SELECT i AS qid, (i*613)%1000 AS qx, (i*457)%1000 AS qy FROM range(40) t(i)), r AS (SELECT k, CAST(unnest AS BIGINT) AS reach FROM (SELECT unnest([5,20,60,200]) AS unnest, unnest([0,1,2,3]) AS k)),
-d AS (SELECT qid, k, zi, row_number() OVER (PARTITION BY qid, k ORDER BY zi) AS p, count(*) OVER (PARTITION BY qid, k) AS n FROM q CROSS JOIN r JOIN v_points ON (x-qx)*(x-qx)+(y-qy)*(y-qy)<=reach*reach),
-g AS (SELECT qid, k, max(CASE WHEN p-1=floor((n-1)*0.1) THEN zi END) AS z FROM d WHERE n>=3 GROUP BY qid, k) SELECT qid, arg_min(z, k) AS ground, CAST(min(k) AS INT) AS rung FROM g GROUP BY qid""")
+@query(f"""{P}, q AS (SELECT c_custkey AS qid, (c_custkey*613)%1000 + 0.5::DOUBLE AS qx, (c_custkey*457)%1000 + 0.25::DOUBLE AS qy FROM customer), r AS (SELECT unnest([0,1,2,3]) AS rung, unnest([1,2,4,8]) AS m, unnest([12,12,8,6]) AS least),
+d AS (SELECT qid, rung, least, zi, row_number() OVER (PARTITION BY qid, rung ORDER BY zi) AS p, count(*) OVER (PARTITION BY qid, rung) AS n FROM q CROSS JOIN r JOIN v_points ON (x-qx)*(x-qx)+(y-qy)*(y-qy)<=10*m*10*m AND classification<>7),
+g AS (SELECT qid, rung, n, max(CASE WHEN p-1=floor((n-1)*0.1) THEN zi END) AS z FROM d WHERE n>=least GROUP BY qid, rung, n) SELECT qid, arg_min(z, rung) AS ground, CAST(min(rung) AS BIGINT) AS rung, arg_min(n, rung) AS n FROM g GROUP BY qid""")
 def ground_ladder(spark, sf_dir):
-    """Low percentile of heights in the first of four widening discs that holds enough points."""
-    q = spark.range(40).select(F.col("id").alias("qid"), ((F.col("id") * 613) % 1000).alias("qx"), ((F.col("id") * 457) % 1000).alias("qy"))
-    cell = lambda c: F.floor(c / 200).cast("long")
-    near = F.explode(F.array(*[F.struct((cell(F.col("qx")) + i).alias("gx"), (cell(F.col("qy")) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    p = views.points(spark, sf_dir).select("x", "y", "zi", cell(F.col("x")).alias("gx"), cell(F.col("y")).alias("gy"))
-    d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-    met = q.withColumn("g", near).select("qid", "qx", "qy", "g.*").join(p, ["gx", "gy"]).withColumn("d2", d2)
-    rungs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("reach")) for k, r in enumerate((5, 20, 60, 200))]))
-    each = met.withColumn("r", rungs).select("qid", "r.k", "zi", "d2", "r.reach").filter(F.col("d2") <= F.col("reach") * F.col("reach"))
-    told = points.floor_percentile(each, "zi", 0.1, "qid", "k").filter("n >= 3")
-    return told.groupBy("qid").agg(F.min_by("value", "k").alias("ground"), F.min("k").alias("rung"))
+    """The low ground around each customer's place, in the first of four discs with enough points that are not noise."""
+    k = F.col("c_custkey")
+    q = table(spark, sf_dir, "customer").select(k.alias("query_id"), ((k * 613) % 1000 + 0.5).alias("qx"), ((k * 457) % 1000 + 0.25).alias("qy"))
+    p = views.points(spark, sf_dir).filter("classification <> 7").select("x", "y", F.col("zi").alias("z"))
+    return points.ground_ladder(q, p, 10.0).select(F.col("query_id").alias("qid"), "ground", F.col("rung").cast("long").alias("rung"), "n")
 
 
 @query(f"{N}, {SSE_SQL} SELECT key, row_number() OVER (ORDER BY CASE WHEN level=0 THEN 0 ELSE 1 END, sse DESC, key) AS k FROM sse WHERE level<=2 ORDER BY k LIMIT 6")

@@ -154,3 +154,16 @@ def preview_cache(spark, sf_dir):
     whole = lambda c: F.sum(c).cast("long").alias(c)
     length = lambda c: F.round(F.sum(F.col(c).cast("double")), 3).alias(c)
     return cache.read(spark, folder).groupBy("id").agg(F.count("*").alias("points"), length("lx"), length("lz"), whole("r"), whole("intensity"), whole("classification"))
+
+
+@query(f"""{_PREVIEW}, kept AS (SELECT c.cloud, classification, return_number, number_of_returns FROM c JOIN numbered n ON n.cloud = c.cloud AND n.leaf AND n.node = c.cell >> (3 * ({_D} - n.level)) WHERE c.idx % greatest(1, 64 >> n.level) = 0),
+k AS (SELECT cloud, count(*) AS sampled, count(DISTINCT classification) AS classes, sum(DISTINCT return_number) AS returns, greatest(max(number_of_returns), 1) AS most_returns FROM kept GROUP BY cloud)
+SELECT n.cloud, max(level) AS max_depth, count(*) AS nodes, any_value(coalesce(sampled, 0)) AS sampled, any_value(coalesce(classes, 0)) AS classes, CAST(any_value(coalesce(returns, 0)) AS BIGINT) AS returns, CAST(any_value(coalesce(most_returns, 1)) AS BIGINT) AS most_returns
+FROM numbered n LEFT JOIN k USING (cloud) GROUP BY n.cloud""")
+def preview_summaries(spark, sf_dir):
+    """Depth and number of nodes of each preview octree, and what its samples hold."""
+    clouds = _clouds(spark, sf_dir)
+    told = preview.summary(*preview.build(clouds, "all-detail", PREVIEW_CAPACITY, _cube(clouds), PREVIEW_DEPTH))
+    classes, returns = F.coalesce(F.size("classes"), F.lit(0)), F.aggregate(F.coalesce("returns", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, v: a + v)
+    long = lambda c, name: c.cast("long").alias(name)
+    return told.select("cloud", long(F.col("max_depth"), "max_depth"), "nodes", "sampled", long(F.greatest(classes, F.lit(0)), "classes"), long(returns, "returns"), long(F.col("most_returns"), "most_returns"))

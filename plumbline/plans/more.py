@@ -127,17 +127,23 @@ def index_warnings(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("k"), display.stale_warning(k % 5 == 0, reasons).alias("stale"), display.outdated_warning(k % 4).alias("outdated"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, o_orderkey%900 AS e, (o_orderkey*7)%1000 AS d, (o_orderkey*7)%1000+o_orderkey%3*5%10 AS l, o_orderkey%2=0 AS act, o_orderkey%700 AS rl, o_orderkey%500 AS rs, o_orderkey%4 AS s FROM orders)
-SELECT k, CASE WHEN e=0 THEN 'Isolate: no indexed points found in area'||part WHEN NOT act THEN 'Isolate: '||area||' · view-density streaming only — Load All for full data (~'||e||' indexed near area)'
-ELSE 'Isolate: '||area||' · Load All '||(CASE WHEN rl>=rs THEN 'full data loaded ('||rs||' tile pts)' ELSE 'loading '||rl||' of '||rs||' tile pts' END)||part||(CASE WHEN k%5=0 THEN ' · budget-limited: sector exceeds display budget' ELSE '' END) END AS line
-FROM (SELECT *, CASE WHEN s>1 THEN ' · sector '||(k%s+1)||' of '||s ELSE '' END AS part, CASE WHEN d=l THEN d||' pts in area' ELSE d||' drawn / '||(CASE WHEN l>=1000 THEN (CASE WHEN l%1000=0 THEN '1K' ELSE '1K' END) ELSE CAST(l AS VARCHAR) END)||' loaded in area' END AS area FROM a) WHERE l<1000""")
+def _compact(n: str) -> str:
+    """SQL for the compact label of a whole number."""
+    tenths, whole = (lambda s: f"(({n}) * 20 + {s}) // {2 * s}"), (lambda s: f"(({n}) * 2 + {s}) // {2 * s}")
+    label = lambda s, u: f"CASE WHEN {tenths(s)} < 1000 THEN ({tenths(s)} // 10) || CASE WHEN {tenths(s)} % 10 <> 0 THEN '.' || ({tenths(s)} % 10) ELSE '' END ELSE CAST({whole(s)} AS VARCHAR) END || '{u}'"
+    return f"(CASE WHEN {n} >= 999500 THEN {label(10**6, 'M')} WHEN {n} >= 1000 THEN {label(10**3, 'K')} ELSE CAST({n} AS VARCHAR) END)"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey AS k, (o_orderkey%900)*o_orderkey AS e, (o_orderkey*7919)%1300000 AS d, (o_orderkey*7919)%1300000+o_orderkey%3*5%10*o_orderkey AS l, o_orderkey%2=0 AS act, (o_orderkey*13)%70000 AS rl, (o_orderkey*17)%50000 AS rs, o_orderkey%4 AS s FROM orders)
+SELECT k, CASE WHEN e=0 THEN 'Isolate: no indexed points found in area'||part WHEN NOT act THEN 'Isolate: '||area||' · view-density streaming only — Load All for full data (~'||{_compact("e")}||' indexed near area)'
+ELSE 'Isolate: '||area||' · Load All '||(CASE WHEN rl>=rs THEN 'full data loaded ('||{_compact("rs")}||' tile pts)' ELSE 'loading '||{_compact("rl")}||' of '||{_compact("rs")}||' tile pts' END)||part||(CASE WHEN k%5=0 THEN ' · budget-limited: sector exceeds display budget' ELSE '' END) END AS line
+FROM (SELECT *, CASE WHEN s>1 THEN ' · sector '||(k%s+1)||' of '||s ELSE '' END AS part, CASE WHEN d=l THEN {_compact("d")}||' pts in area' ELSE {_compact("d")}||' drawn / '||{_compact("l")}||' loaded in area' END AS area FROM a)""")
 def area_disclosures(spark, sf_dir):
-    """Counts that the label writes in full; `compact_number_label` holds the label itself against SQL."""
     k = F.col("o_orderkey")
-    d, sectors = (k * 7) % 1000, k % 4
-    loaded = d + (k % 3) * 5 % 10
-    line = display.disclosure(d, loaded, k % 900, k % 2 == 0, k % 700, k % 500, k % 5 == 0, F.when(sectors > 0, k % sectors), sectors)
-    return table(spark, sf_dir, "orders").filter(loaded < 1000).select(k.alias("k"), line.alias("line"))
+    d, sectors = (k * 7919) % 1_300_000, k % 4
+    loaded = d + (k % 3) * 5 % 10 * k
+    line = display.disclosure(d, loaded, (k % 900) * k, k % 2 == 0, (k * 13) % 70_000, (k * 17) % 50_000, k % 5 == 0, F.when(sectors > 0, k % sectors), sectors)
+    return table(spark, sf_dir, "orders").select(k.alias("k"), line.alias("line"))
 
 
 T = f"WITH {views.TIN}"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
-from plumbline.operators import crops, extents, rays, selection, triangulation
+from plumbline.functions import noise
+from plumbline.operators import crops, extents, points, rays, selection, triangulation
 from plumbline.plans import views
 from plumbline.plans.catalog import P, RING, crossings, query, r6
 from plumbline.sources.tables import table
@@ -187,3 +188,51 @@ def region_sectors(spark, sf_dir):
     )
     found = selection.sectors(nodes, regions, 8)
     return found.select("region", "sector", *[r6(F.col(c), c) for c in ("min_x", "min_y", "max_x", "max_y")], "points")
+
+
+@query(f"{P} SELECT classification, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM v_points GROUP BY classification")
+def point_centroids(spark, sf_dir):
+    return points.centroids(views.points(spark, sf_dir), "classification").select("classification", r6(F.col("cx"), "cx"), r6(F.col("cy"), "cy"))
+
+
+@query(f"""{P}, k AS (SELECT CAST(floor(x / 400) AS BIGINT) AS cx, idx, idx - row_number() OVER (PARTITION BY floor(x / 400) ORDER BY idx) AS g FROM v_points)
+SELECT cx, min(idx) AS start, count(*) AS points FROM k GROUP BY cx, g""")
+def point_runs(spark, sf_dir):
+    """Runs of neighbouring records of each strip, to the single point."""
+    p = views.points(spark, sf_dir).withColumn("cx", F.floor(F.col("x") / 400).cast("long"))
+    return points.ranges(p, 1, "cx").select("cx", "start", F.col("blocks").alias("points"))
+
+
+_FACE = "(o_orderkey * 7) % 50 + o_custkey % 13", "(o_orderkey * 11) % 30 + 0.5"
+
+
+@query(f"""WITH p AS (SELECT o_custkey AS k, ({_FACE[0]})::DOUBLE AS a, ({_FACE[1]})::DOUBLE AS b FROM orders), g AS (SELECT k, count(*) AS n, max(a) - min(a) AS length, (max(b) - min(b)) * CASE WHEN k % 2 = 0 THEN 1 ELSE sqrt(2) END AS height,
+var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c FROM p GROUP BY k)
+SELECT k, n, round(length, 4) AS length, round(height, 4) AS height, round(length * height, 4) AS area, CASE WHEN k % 2 = 0 THEN 'wall' ELSE 'roof' END AS kind FROM g WHERE n >= 3 AND va * vb - c * c > 0.01""")
+def face_fits(spark, sf_dir):
+    """Orders of a customer as points of a wall (y = 5) or of a roof (z = y); customers whose points lie on a line have no face."""
+    k, a, b = F.col("o_custkey"), F.expr(_FACE[0]).cast("double"), F.expr(_FACE[1]).cast("double")
+    p = table(spark, sf_dir, "orders").select(k.alias("k"), a.alias("x"), F.when(k % 2 == 0, 5.0).otherwise(b).alias("y"), b.alias("z"))
+    r4 = lambda c: F.round(c, 4).alias(c)
+    return points.fit_faces(p, "k").select("k", "n", r4("length"), r4("height"), r4("area"), "kind")
+
+
+def _noise_sql(x: str, y: str) -> str:
+    corners = ("0", "0", "0"), ("r", "1 - r", repr(noise.UNSKEW)), ("1", "1", repr(2 * noise.UNSKEW))
+    each = []
+    for di, dj, u in corners:
+        cx, cy = f"(x0 - ({di}) + {u}::DOUBLE)", f"(y0 - ({dj}) + {u}::DOUBLE)"
+        g = f"(p[(i & 255) % 256 + ({di}) + p[((j & 255) + ({dj})) % 256 + 1] + 1 - CASE WHEN (i & 255) + ({di}) + p[((j & 255) + ({dj})) % 256 + 1] >= 256 THEN 256 ELSE 0 END] % 8 + 1)"
+        near = f"(0.5::DOUBLE - {cx} * {cx} - {cy} * {cy})"
+        each.append(f"CASE WHEN {near} > 0 THEN {near} * {near} * ({near} * {near}) * (gx[{g}] * {cx} + gy[{g}] * {cy}) ELSE 0 END")
+    return f"""(SELECT 70 * ({' + '.join(each)}) FROM (SELECT i, j, x - (i - b) AS x0, y - (j - b) AS y0, CASE WHEN x - (i - b) > y - (j - b) THEN 1 ELSE 0 END AS r FROM (SELECT x, y, i, j, (i + j) * {noise.UNSKEW!r}::DOUBLE AS b
+FROM (SELECT x, y, CAST(floor(x + (x + y) * {noise.SKEW!r}::DOUBLE) AS BIGINT) AS i, CAST(floor(y + (x + y) * {noise.SKEW!r}::DOUBLE) AS BIGINT) AS j FROM (SELECT {x} AS x, {y} AS y)))))"""
+
+
+@query(f"""WITH q AS (SELECT o_orderkey AS k, (o_orderkey % 997) * 0.37::DOUBLE - 150 AS ux, (o_orderkey % 613) * 0.11::DOUBLE - 30 AS uy, {noise.permutation(42)} AS p,
+{[float(d[0]) for d in noise.DIRECTIONS]}::DOUBLE[] AS gx, {[float(d[1]) for d in noise.DIRECTIONS]}::DOUBLE[] AS gy FROM orders)
+SELECT k, round({_noise_sql("ux", "uy")}, 9) AS noise, round((1.0::DOUBLE * {_noise_sql("ux", "uy")} + 0.5::DOUBLE * {_noise_sql("ux * 2", "uy * 2")}) / 1.5::DOUBLE, 9) AS fractal FROM q""")
+def noise_fields(spark, sf_dir):
+    k = F.col("o_orderkey")
+    x, y = (k % 997) * F.lit(0.37) - 150, (k % 613) * F.lit(0.11) - 30
+    return table(spark, sf_dir, "orders").select(k.alias("k"), F.round(noise.fractal(x, y, 42), 9).alias("noise"), F.round(noise.fractal(x, y, 42, 2), 9).alias("fractal"))

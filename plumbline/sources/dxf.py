@@ -18,7 +18,6 @@ from plumbline.functions import curves
 from plumbline.sources.tables import materialize
 
 TOLERANCE = 0.1
-MAX_NESTING = 16
 
 ENTITY = (
     "file string, block string, entity long, type string, layer string, color int, paper boolean, closed boolean, xs array<double>, ys array<double>, zs array<double>, "
@@ -226,7 +225,7 @@ def expand(entities: DataFrame) -> DataFrame:
     top = top.withColumns({"inherited": F.lit(None).cast("int"), "stack": F.array().cast("array<string>")})
     inside = entities.filter("block IS NOT NULL AND NOT paper")
     found, opened = [], top
-    for _ in range(MAX_NESTING):
+    while True:  # a reference within itself is not followed, so that no branch is longer than there are blocks
         opened = materialize(opened, "blocks")
         found.append(opened.filter("type <> 'INSERT'"))
         refs = opened.filter("type = 'INSERT' AND NOT array_contains(stack, target)")
@@ -261,13 +260,13 @@ def expand(entities: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """layers (those used, too), entities with points, and the census of types."""
+    """layers (those of the table and those only used), entities with points, and the census of types."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     raw = materialize(files.mapInPandas(_rows(0, ENTITY), ENTITY), "entities")
     table = files.mapInPandas(_rows(1, LAYER), LAYER)
     drawn = expand(raw)
     used = drawn.select("file", F.col("layer").alias("name")).distinct()
-    layers = used.join(table, ["file", "name"], "left").select("file", "name", F.coalesce("color", F.lit(7)).alias("color"), "linetype", "lineweight", F.coalesce("hidden", F.lit(False)).alias("hidden"))
+    layers = used.join(table, ["file", "name"], "full").select("file", "name", F.coalesce("color", F.lit(7)).alias("color"), "linetype", "lineweight", F.coalesce("hidden", F.lit(False)).alias("hidden"))
     colours = layers.select("file", F.col("name").alias("layer"), F.col("color").alias("by_layer"))
     entities = drawn.filter("size(pts) > 0").join(colours, ["file", "layer"], "left").withColumn("color", F.when(F.col("color") == 256, F.col("by_layer")).otherwise(F.col("color"))).drop("by_layer")
     census = raw.groupBy("file", "type", "paper").agg(F.count("*").alias("n"))
