@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from plumbline.functions import las, text
 from plumbline.operators import editing, listing, mesh, octree, points, project, regions, selection
-from plumbline.plans import catalog, details, formats, more, picks  # noqa: F401
+from plumbline.plans import catalog, details, formats, more, picks, projects  # noqa: F401
+from plumbline.sources import project as project_source
 from plumbline.streaming import state
 
 SF = "/root/testdata/sf0.001"
@@ -506,3 +507,87 @@ def test_rays_that_graze_their_boxes(spark):
     want = {(p[0], q[0]) for p in a for q in b if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2]}
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
     assert extents.meeting(left.limit(0), right, 1.0).count() == 0
+
+
+def test_shapes_of_all_records(spark):
+    import json
+
+    from plumbline.operators import opening
+
+    dated, owned = {"createdAt": "t", "modifiedAt": "t"}, {"id": "a", "simulationId": "s"}
+    box = {f"{m}{d}": 1.5 for m in ("min", "max") for d in "XYZ"}
+    surfel = {"sourceAssetId": "c", "indexAssetId": None, "surfelType": "analytic-surfel-octree", "surfelVersion": 2, "surfelCellScale": 0.5, "source": {"headerSha256": "h", "fileSize": 0, "mtimeMs": 7.5},
+              "surfelCount": 3, "bounds": box, "generatedAt": "t", "generator": {"name": "workbench", "version": "1"}}
+    cloud = {"format": "las", "extension": ".las", "fileSize": 1, "pointCount": 2, "lasVersion": "1.4", "pointFormat": 7, "pointRecordLength": 36, "bounds": box, "scale": [0.1, 0.1, 1], "offset": [0, 0, 0], "crsText": None,
+             "unitsLinear": "foot", "unitsRaw": "ft", "headerSha256": "h"}
+    evidence = {"kind": "asset-point", "coordinate": [1, 2.5, 3], "sourceRGB": [1, 2, 3], "sourceClass": 2}
+    good = {
+        "assets": {"id": "a", "name": "n", "kind": "point-cloud", "truthStatus": "x", "importPolicy": "copy", "sourcePath": None, "managedPath": "", "units": "ft", "warnings": ["", "w"], "hashes": {}, "pointCloud": cloud, "analyticSurfel": surfel},
+        "simulationLayers": owned | {"name": "n", "status": "active", "assetId": None} | dated,
+        "features": owned | {"type": "marker", "name": "n", "geometry": {"x": 1}, "evidenceRefs": [evidence, evidence], "parentFeatureId": None} | dated,
+        "exclusionZones": owned | {"featureId": "f", "polygon": [[0, 0, 0], [1, 0, 0], [0, 1.5, 0]]} | dated,
+        "reviewFlags": owned | {"severity": "low", "message": "m", "status": "open"} | dated,
+        "comparisonRefs": owned | {"name": "n", "target": "t"} | dated, "analysisResults": owned | {"name": "n", "summary": "t"} | dated,
+    }
+    assert set(good) == set(project_source.LISTS) == set(opening.SHAPES)
+    bad = {
+        "assets": [("importPolicy", "move", "not-allowed"), ("warnings", ["ok", 5], "wrong-type"), ("hashes", None, "wrong-type"), ("sourcePath", 5, "wrong-type"), ("name", "", "empty"), ("units", ..., "missing")],
+        "features": [("type", "blob", "not-allowed"), ("evidenceRefs", [evidence | {"coordinate": [1, 2]}], "wrong-length"), ("evidenceRefs", [5], "wrong-type"), ("parentFeatureId", 5, "wrong-type")],
+        "exclusionZones": [("polygon", [[0, 0, 0], [1, 1, 1]], "wrong-length"), ("polygon", [[0, 0, 0], [1, 1, "x"], [1, 1, 1]], "wrong-type")],
+        "simulationLayers": [("assetId", ..., "missing")],
+    }
+    for name, record in good.items():
+        rows, want = [("good", json.dumps(record)), ("extra", json.dumps(record | {"unknown": [1]})), ("null", "null"), ("list", "[1]"), ("torn", "{")], {("null", "not-object"), ("list", "not-object"), ("torn", "not-json")}
+        for k, (field, value, issue) in enumerate(bad.get(name, [])):
+            rows.append((f"b{k}", json.dumps({f: v for f, v in (record | {field: value}).items() if v is not ...})))
+            want.add((f"b{k}", issue))
+        found = opening.shape_issues(spark.createDataFrame(rows, "id string, record string"), opening.SHAPES[name]).collect()
+        assert {(r.id, r.issue) for r in found} == want
+        assert all(r.path.startswith(bad[name][int(r.id[1:])][0]) for r in found if r.id[0] == "b")
+    deep = [("v3", surfel | {"surfelVersion": 3}, "surfelVersion"), ("scale", surfel | {"surfelCellScale": 0}, "surfelCellScale"), ("print", surfel | {"source": {"headerSha256": "", "fileSize": 0, "mtimeMs": None}}, "source.headerSha256")]
+    found = opening.shape_issues(spark.createDataFrame([(k, json.dumps(v)) for k, v, _ in deep], "id string, record string"), opening.SURFEL).collect()
+    assert {(r.id, r.path) for r in found} == {(k, p) for k, _, p in deep}
+    plane = {k: [0, 0, 1] for k in ("origin", "normal", "xAxis", "yAxis")}
+    face = {"id": "f", "name": "", "kind": "wall", "plane": plane, "extents": {"minU": 0, "maxU": 1, "minV": 0, "maxV": 2.5}}
+    door = {"id": "d", "faceId": "f", "type": "door", "offsetU": 0, "offsetV": 0, "width": 1, "height": 2, "depth": 0.1}
+    rows = [("face", json.dumps(face)), ("flat", json.dumps(face | {"plane": plane | {"normal": [0, 0]}})), ("floor", json.dumps(face | {"kind": "floor"}))]
+    assert {(r.id, r.path) for r in opening.shape_issues(spark.createDataFrame(rows, "id string, record string"), opening.COMPONENTS["face"]).collect()} == {("flat", "plane.normal"), ("floor", "kind")}
+    rows = [("door", json.dumps(door)), ("wide", json.dumps(door | {"width": "1"}))]
+    assert {(r.id, r.path, r.issue) for r in opening.shape_issues(spark.createDataFrame(rows, "id string, record string"), opening.COMPONENTS["feature"]).collect()} == {("wide", "width", "wrong-type")}
+
+
+def test_edits_of_buildings(spark):
+    from plumbline.operators import components
+
+    rng = random.Random(21)
+    buildings, edits = [], []
+    for b in range(12):
+        faces = [(f"f{k}", f"n{k}", "wall") for k in range(rng.randint(0, 3))]
+        buildings.append((b, faces, [(f"h{k}", f"f{k % 3}", "door", 1.0) for k in range(2) if k < len(faces)]))
+        for seq in range(rng.randint(0, 30)):
+            part, op = rng.choice(["face", "hosted"]), rng.choice(["add", "update", "update", "delete"])
+            one = f"{part[0]}{rng.randint(0, 3)}"
+            some = lambda v: v if op == "add" or rng.random() < 0.5 else None  # noqa: E731, B023
+            face = part == "face"
+            edits.append((b, seq, op, part, one, f"f{rng.randint(0, 3)}" if op == "add" and not face else None, some(f"n{seq}") if face else None, some(rng.choice(["wall", "roof"])) if face else None, some("vent") if not face else None, some(float(seq)) if not face else None))
+    edits.append((99, 0, "add", "face", "f0", None, "n", "wall", None, None))
+    df = spark.createDataFrame(buildings, f"building_id long, faces array<struct<id:string,name:string,kind:string>>, hosted array<struct<id:string,face_id:string,type:string,width:double>>")
+    log = spark.createDataFrame(edits, "building_id long, seq long, op string, part string, id string, face_id string, name string, kind string, type string, width double").repartition(4)
+    want = {}
+    for b, faces, hosted in buildings:
+        held = {"face": {f[0]: [None, f[1], f[2], None, None] for f in faces}, "hosted": {h[0]: [h[1], None, None, h[2], h[3]] for h in hosted}}
+        for _, _, op, part, one, *values in sorted((e for e in edits if e[0] == b), key=lambda e: e[1]):
+            mine = held[part]
+            if op == "add":
+                mine.pop(one, None)
+                mine[one] = list(values)
+            elif op == "update" and one in mine:
+                mine[one] = [v if v is not None else w for v, w in zip(values, mine[one])]
+            elif op == "delete":
+                mine.pop(one, None)
+                if part == "face":
+                    held["hosted"] = {k: v for k, v in held["hosted"].items() if v[0] != one}
+        there = held["face"]
+        want[b] = ([(k, v[1], v[2]) for k, v in there.items()], [(k, v[0], v[3], v[4]) for k, v in held["hosted"].items() if v[0] in there])
+    got = {r.building_id: ([tuple(f) for f in r.faces], [tuple(h) for h in r.hosted]) for r in components.edited(df, log).collect()}
+    assert got == want and any(h for _, h in want.values())
