@@ -248,3 +248,15 @@ def fit_faces(points: DataFrame, *by: str) -> DataFrame:
     return frame.join(extents, list(by)).withColumns({
         "length": length, "height": height, "area": length * height, "kind": F.when(F.abs(F.col("nz")) < 0.5, "wall").otherwise("roof"),
     })
+
+
+def face_corners() -> Column:
+    """array<struct<x, y, z>>: the four corners of a fitted face, for rows of `fit_faces`; around it from its least u and v."""
+
+    def corner(u: str, v: str) -> Column:
+        u, v = F.col(u), F.col(v)
+        return F.struct(
+            (F.col("ox") + u * F.col("xx") + v * F.col("yx")).alias("x"), (F.col("oy") + u * F.col("xy") + v * F.col("yy")).alias("y"), (F.col("oz") + v * F.col("yz")).alias("z")
+        )
+
+    return F.array(corner("min_u", "min_v"), corner("max_u", "min_v"), corner("max_u", "max_v"), corner("min_u", "max_v"))

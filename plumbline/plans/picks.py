@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
 from plumbline.functions import noise
-from plumbline.operators import crops, extents, points, rays, selection, triangulation
+from plumbline.operators import crops, extents, mesh, points, rays, selection, triangulation
 from plumbline.plans import views
 from plumbline.plans.catalog import P, RING, crossings, query, r6
 from plumbline.sources.tables import table
@@ -236,3 +236,32 @@ def noise_fields(spark, sf_dir):
     k = F.col("o_orderkey")
     x, y = (k % 997) * F.lit(0.37) - 150, (k % 613) * F.lit(0.11) - 30
     return table(spark, sf_dir, "orders").select(k.alias("k"), F.round(noise.fractal(x, y, 42), 9).alias("noise"), F.round(noise.fractal(x, y, 42, 2), 9).alias("fractal"))
+
+
+@query(f"""WITH p AS (SELECT o_custkey AS k, ({_FACE[0]})::DOUBLE AS a, ({_FACE[1]})::DOUBLE AS b FROM orders),
+g AS (SELECT k, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, count(*) AS n, var_pop(a) * var_pop(b) - covar_pop(a, b) * covar_pop(a, b) AS wide FROM p GROUP BY k)
+SELECT k, c AS corner, round(CASE WHEN (k % 2 = 0) = (c IN (0, 3)) THEN a1 ELSE a0 END, 3) AS x, round(CASE WHEN k % 2 = 0 THEN 5 WHEN c < 2 THEN b0 ELSE b1 END, 3) AS y, round(CASE WHEN c < 2 THEN b0 ELSE b1 END, 3) AS z
+FROM g CROSS JOIN range(4) r(c) WHERE n >= 3 AND wide > 0.01""")
+def face_quads(spark, sf_dir):
+    """The corners of the faces of `face_fits`; a wall's level line runs toward lower x, a roof's toward higher."""
+    k, a, b = F.col("o_custkey"), F.expr(_FACE[0]).cast("double"), F.expr(_FACE[1]).cast("double")
+    p = table(spark, sf_dir, "orders").select(k.alias("k"), a.alias("x"), F.when(k % 2 == 0, 5.0).otherwise(b).alias("y"), b.alias("z"))
+    each = points.fit_faces(p, "k").select("k", F.posexplode(points.face_corners()).alias("corner", "c"))
+    return each.select("k", F.col("corner").cast("long").alias("corner"), *[F.round(F.col(f"c.{d}"), 3).alias(d) for d in "xyz"])
+
+
+_HOLED = f"""{views.TIN}, cut AS (SELECT (face_id // 2) // (s - 1) // 17 * 1000 + (face_id // 2) % (s - 1) // 23 AS surface, a, b, c FROM v_faces, v_side WHERE NOT ((face_id // 2) // (s - 1) % 5 = 2 AND (face_id // 2) % (s - 1) % 7 = 3)),
+d AS (SELECT surface, a AS u, b AS v FROM cut UNION ALL SELECT surface, b, c FROM cut UNION ALL SELECT surface, c, a FROM cut),
+e AS MATERIALIZED (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM d r WHERE r.surface = d.surface AND r.u = d.v AND r.v = d.u)),
+w AS (SELECT surface, u AS start, u AS vertex, v, 0 AS seq, u AS least FROM e UNION ALL SELECT w.surface, start, e.u, e.v, seq + 1, least(least, e.u) FROM w JOIN e ON e.surface = w.surface AND e.u = w.v WHERE e.u > start)"""
+
+
+@query(f"WITH RECURSIVE {_HOLED} SELECT w.surface, start AS ring, vertex, CAST(seq AS BIGINT) AS seq FROM w JOIN (SELECT surface, start FROM w WHERE v = start) USING (surface, start)")
+def tin_boundary_rings(spark, sf_dir):
+    """Outlines and holes of surfaces cut out of the grid in blocks of 17 by 23 squares, every some of which is missing."""
+    q = views.grid_side(spark, sf_dir) - 1
+    square = F.floor(F.col("face_id") / 2).cast("long")
+    row, col = F.floor(square / q).cast("long"), square % q
+    faces = views.grid_faces(spark, sf_dir).filter(~((row % 5 == 2) & (col % 7 == 3)))
+    cut = faces.select((F.floor(row / 17) * 1000 + F.floor(col / 23)).cast("long").alias("surface"), "a", "b", "c")
+    return mesh.boundary_rings(cut, "surface").select("surface", "ring", "vertex", "seq")
