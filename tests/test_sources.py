@@ -16,7 +16,7 @@ from plumbline.functions import curves
 from plumbline.operators import raster
 from plumbline.functions import text as text_functions
 from plumbline.sources import preview as preview_cache
-from plumbline.sources import dxf, landxml, las, project, tiff, worldfile, wpi, xmlblocks
+from plumbline.sources import artifacts, dxf, landxml, las, project, tiff, worldfile, wpi, xmlblocks
 
 
 def las_file(path, n, fmt=7, cut=0, vlr=None):
@@ -500,3 +500,28 @@ def test_preview_cache(spark, tmp_path):
     (tmp_path / "cache" / "descriptor.json").write_text('{"version": 0, "parts": []}')
     with pytest.raises(Exception, match="has version 0"):
         preview_cache.read(spark, folder).count()
+
+
+def test_stored_surfaces(spark, tmp_path):
+    (tmp_path / "derived").mkdir()
+    good = {"id": "s", "name": "n", "positions": [0, 0, 1.5, 1, 0, 2, 0, 1, 3], "sourcePointIds": [7, 8, 9], "indices": [0, 1, 2], "more": {}}
+    for name, text in (("good", json.dumps(good)), ("empty", json.dumps(good | {"positions": [], "sourcePointIds": [], "indices": []})), ("torn", "{"), ("list", "[]"), ("short", json.dumps({k: v for k, v in good.items() if k != "indices"})), ("odd", json.dumps(good | {"name": 5}))):
+        (tmp_path / f"derived/{name}.json").write_text(text)
+    t = artifacts.read_surfaces(spark, str(tmp_path), [f"derived/{n}.json" for n in ("good", "empty", "torn", "list", "short", "odd")])
+    assert sorted((r.path, r.id, r.name) for r in t["surfaces"].collect()) == [("derived/empty.json", "s", "n"), ("derived/good.json", "s", "n")]
+    assert sorted(tuple(r) for r in t["vertices"].collect()) == [("derived/good.json", 0, 7, 0.0, 0.0, 1.5), ("derived/good.json", 1, 8, 1.0, 0.0, 2.0), ("derived/good.json", 2, 9, 0.0, 1.0, 3.0)]
+    assert [tuple(r) for r in t["faces"].collect()] == [("derived/good.json", 0, 0, 1, 2)]
+    assert sorted((r.path[8:-5], r.field, r.issue) for r in t["faults"].collect()) == [("list", "", "not-object"), ("odd", "name", "wrong-type"), ("short", "indices", "missing"), ("torn", "", "not-json")]
+    with pytest.raises(ValueError, match="outside"):
+        artifacts.read_surfaces(spark, str(tmp_path), ["../x.json"])
+    assert artifacts.read_surfaces(spark, str(tmp_path), [])["vertices"].count() == 0
+
+
+def test_checked_save(spark, tmp_path):
+    dated = {"createdAt": "t", "modifiedAt": "t"}
+    manifest = {"realitySimulation": {"id": "s"}, "features": [{"id": "f", "simulationId": "s", "type": "marker", "name": "n", "geometry": {}} | dated]}
+    artifacts.save_checked(spark, str(tmp_path), manifest)
+    for bad, why in (({"realitySimulation": {"id": "t"}}, "the simulation was s"), ({"features": [manifest["features"][0] | {"name": ""}]}, "name empty"), ({"features": [manifest["features"][0] | {"simulationId": "t"}]}, "other-simulation")):
+        with pytest.raises(ValueError, match=why):
+            artifacts.save_checked(spark, str(tmp_path), manifest | bad)
+    assert json.loads((tmp_path / project.MANIFEST).read_text())["features"][0]["name"] == "n" and project.clean(str(tmp_path))
