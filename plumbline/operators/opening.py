@@ -58,7 +58,7 @@ _OPEN = Field("object")
 SURFEL = {
     "sourceAssetId": _text(), "indexAssetId": _text(nullable=True, blank=True), "surfelType": _text("analytic-surfel-octree"), "surfelVersion": Field("number", allowed=SURFEL_VERSIONS),
     "surfelCellScale": Field("number", required=False, above=0), "source": _FINGERPRINT, "surfelCount": Field("number", least=0), "bounds": _BOX, "generatedAt": _text(),
-    "generator": Field("object", fields={"name": _text("workbench"), "version": _text()}),
+    "generator": Field("object", fields={"name": _text(), "version": _text()}),
 }
 CLOUD = {
     "format": _text("las", "laz"), "extension": _text(), "fileSize": Field("number", least=0), "pointCount": Field("number", least=0), "lasVersion": _text(), "pointFormat": Field("int", least=0),

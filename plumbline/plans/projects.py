@@ -36,7 +36,7 @@ def _surfel(version, source):
     """A surfel record of a version, JSON text."""
     return F.concat(
         F.lit('{"sourceAssetId":"'), source.cast("string"), F.lit('","indexAssetId":null,"surfelType":"analytic-surfel-octree","surfelVersion":'), version.cast("string"),
-        F.lit(f',"source":{{"headerSha256":"h","fileSize":1,"mtimeMs":null}},"surfelCount":5,"bounds":{{{_BOX}}},"generatedAt":"t","generator":{{"name":"workbench","version":"1"}}}}'),
+        F.lit(f',"source":{{"headerSha256":"h","fileSize":1,"mtimeMs":null}},"surfelCount":5,"bounds":{{{_BOX}}},"generatedAt":"t","generator":{{"name":"plumbline","version":"1"}}}}'),
     )
 
 

@@ -517,7 +517,7 @@ def test_shapes_of_all_records(spark):
     dated, owned = {"createdAt": "t", "modifiedAt": "t"}, {"id": "a", "simulationId": "s"}
     box = {f"{m}{d}": 1.5 for m in ("min", "max") for d in "XYZ"}
     surfel = {"sourceAssetId": "c", "indexAssetId": None, "surfelType": "analytic-surfel-octree", "surfelVersion": 2, "surfelCellScale": 0.5, "source": {"headerSha256": "h", "fileSize": 0, "mtimeMs": 7.5},
-              "surfelCount": 3, "bounds": box, "generatedAt": "t", "generator": {"name": "workbench", "version": "1"}}
+              "surfelCount": 3, "bounds": box, "generatedAt": "t", "generator": {"name": "plumbline", "version": "1"}}
     cloud = {"format": "las", "extension": ".las", "fileSize": 1, "pointCount": 2, "lasVersion": "1.4", "pointFormat": 7, "pointRecordLength": 36, "bounds": box, "scale": [0.1, 0.1, 1], "offset": [0, 0, 0], "crsText": None,
              "unitsLinear": "foot", "unitsRaw": "ft", "headerSha256": "h"}
     evidence = {"kind": "asset-point", "coordinate": [1, 2.5, 3], "sourceRGB": [1, 2, 3], "sourceClass": 2}
