@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from plumbline.functions import las, text
 from plumbline.operators import editing, listing, mesh, octree, points, project, regions, selection
-from plumbline.plans import catalog, details, formats, more, picks, projects  # noqa: F401
+from plumbline.plans import catalog, details, formats, more, picks, projects, solids  # noqa: F401
 from plumbline.sources import project as project_source
 from plumbline.streaming import state
 
