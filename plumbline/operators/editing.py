@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import mesh
+from plumbline.operators.numbering import numbered
 
 #: Least doubled area of a triangle, and vertices that a draft needs.
 FLAT = 1e-9
@@ -132,8 +133,8 @@ def default_placements(features: DataFrame) -> DataFrame:
 
 def numbered_names(rows: DataFrame, label: Column, *by: str) -> DataFrame:
     """rows(seq, kind) with the name each got when it was added: its kind's label and how many of that kind stood before, plus one."""
-    before = Window.partitionBy(*by, "kind").orderBy("seq")
-    return rows.withColumn("name", F.concat_ws(" ", label, F.row_number().over(before).cast("string")))
+    told = numbered(rows, ["seq"], *by, "kind", name="_n")
+    return told.withColumn("name", F.concat_ws(" ", label, F.col("_n").cast("string"))).drop("_n")
 
 
 def nearest_edges(hits: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:

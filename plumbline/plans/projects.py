@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import display
-from plumbline.operators import components, opening
+from plumbline.operators import components, creation, opening
 from plumbline.plans.catalog import query
 from plumbline.sources.tables import table
 
@@ -128,3 +128,53 @@ def building_edits(spark, sf_dir):
     )
     joined = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[F.coalesce(x[n].cast("string"), F.lit("-")) for n in names])), ",").alias(c)
     return components.edited(buildings, edits).select("building_id", joined("faces", "id", "name", "kind"), joined("hosted", "id", "face_id", "width"))
+
+
+_DRAFTS = """e AS (SELECT 's' || c_custkey % 3 AS s, (['region','object','building','utility','line','marker'])[c_custkey % 6 + 1] AS f, count(*) AS n FROM customer GROUP BY ALL),
+d AS (SELECT o_orderkey AS id, 's' || CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 3 END AS s, (['region','object','building','utility','line','marker'])[o_orderkey % 6 + 1] AS f, o_orderkey % 6 AS k, o_orderkey % 5 AS v, o_orderdate AS seq,
+  CASE WHEN o_orderkey % 12 < 6 THEN 'envelope' ELSE 'flat' END AS sub, o_orderpriority AS t, o_orderstatus AS clerk FROM orders),
+q AS (SELECT *, row_number() OVER (PARTITION BY s, f ORDER BY seq, id) AS i FROM d WHERE v >= CASE WHEN k IN (0, 2) THEN 3 WHEN k = 4 THEN 2 ELSE 1 END),
+m AS (SELECT q.*, i + coalesce(e.n, 0) AS n, left(t, 1) IN ('1', '2', '3') AS known FROM q LEFT JOIN e USING (s, f)),
+w AS (SELECT *, CASE k WHEN 1 THEN CASE WHEN known THEN substr(t, 3) ELSE 'Object' END || ' ' || n WHEN 3 THEN CASE WHEN known THEN 'Storm ' || substr(t, 3) ELSE 'Utility Utility' END || ' ' || n
+  ELSE upper(left(f, 1)) || substr(f, 2) || ' ' || n || ' (' || sub || ')' END AS name FROM m)"""
+
+
+def _created(spark, sf_dir):
+    """Orders as drafts of features, a third of them of one simulation, beside customers as features that stand."""
+    families = F.array(*[F.lit(x) for x in ("region", "object", "building", "utility", "line", "marker")])
+    k, c, zero = F.col("o_orderkey"), F.col("c_custkey"), F.lit(0.0)
+    spot = lambda i: F.struct(i.cast("double").alias("x"), zero.alias("y"), zero.alias("z"))
+    vertices = F.when(k % 5 > 0, F.transform(F.sequence(F.lit(1), (k % 5).cast("int")), spot)).otherwise(F.array().cast("array<struct<x: double, y: double, z: double>>"))
+    drafts = table(spark, sf_dir, "orders").select(
+        k.alias("draft_id"), F.concat(F.lit("s"), F.when(k % 3 == 0, 0).otherwise(F.col("o_custkey") % 3)).alias("simulation_id"), F.get(families, (k % 6).cast("int")).alias("family"),
+        F.when(k % 12 < 6, "envelope").otherwise("flat").alias("subtype"), F.col("o_orderpriority").alias("template_id"), F.when(k % 6 == 4, "polyline").otherwise("point").alias("geometry"), F.col("o_orderdate").alias("seq"),
+        vertices.alias("vertices"), F.array("o_orderstatus").alias("evidence"), F.col("o_orderdate").alias("at"),
+    )
+    features = table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), c % 3).alias("simulation_id"), F.get(families, (c % 6).cast("int")).alias("family"))
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("template_id")).distinct().filter(F.substring("template_id", 1, 1).isin("1", "2", "3"))
+    templates = names.select("template_id", F.substring("template_id", 3, 99).alias("display_name"), F.lit("Storm").alias("system"), F.create_map(F.lit("width"), F.lit("6")).alias("params"))
+    return creation.create(drafts, features, templates)
+
+
+@query(f"""WITH {_DRAFTS} SELECT 'feat-' || id AS feature_id, s AS simulation_id, name, CASE WHEN k IN (1, 3, 5) THEN 'marker' ELSE 'polyline' END AS type,
+CASE WHEN k = 0 OR (k = 2 AND sub = 'envelope') THEN '' ELSE clerk END AS evidence, CASE WHEN k = 0 THEN clerk END AS edge_evidence, CASE WHEN known THEN '6' END AS width, CASE WHEN k = 4 THEN sub END AS breakline FROM w""")
+def created_features(spark, sf_dir):
+    """Features made from drafts, with names that count on from what stands."""
+    p = lambda key, name: F.try_element_at("parameters", F.lit(key)).alias(name)
+    made = _created(spark, sf_dir)[0]
+    return made.select("feature_id", "simulation_id", "name", "type", F.array_join("evidence_refs", ",").alias("evidence"), F.array_join("edge_evidence", ",").alias("edge_evidence"), p("width", "width"), p("breaklineType", "breakline"))
+
+
+@query(f"WITH {_DRAFTS} SELECT 'zone-' || id AS zone_id, 'feat-' || id AS feature_id, name || ' footprint' AS name, CAST(v AS INT) AS corners FROM w WHERE k = 2")
+def created_zones(spark, sf_dir):
+    """The exclusion zones that come with new buildings."""
+    return _created(spark, sf_dir)[1].select("zone_id", "feature_id", "name", F.size("polygon").alias("corners"))
+
+
+@query("""SELECT p_partkey || '-index' AS asset_id, CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN p_partkey % 4 = 0 THEN p_size * 2 ELSE p_size END::BIGINT AS points FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 4 = 0""")
+def regenerated_indexes(spark, sf_dir):
+    """Index records of every third part, after those of every fourth were built anew."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    record = lambda version, points: [F.concat(k, F.lit("-index")).alias("asset_id"), F.lit(version).alias("version"), points.cast("long").alias("points")]
+    parts = table(spark, sf_dir, "part")
+    return creation.replaced(parts.filter(k % 3 == 0).select(*record(1, size)), parts.filter(k % 4 == 0).select(*record(2, size * 2)), "asset_id")
