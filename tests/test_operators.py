@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plumbline.functions import las, text
-from plumbline.operators import editing, listing, mesh, octree, points, project, regions, selection
+from plumbline.operators import editing, listing, mesh, octree, points, project, regions, selection, terrain
 from plumbline.plans import catalog, details, formats, more, picks, projects, solids  # noqa: F401
 from plumbline.sources import project as project_source
 from plumbline.streaming import state
@@ -173,11 +173,20 @@ def test_regions(spark):
     area = lambda t, p: abs(regions.signed_area([p[k] for k in t]))
     assert math.isclose(sum(area(t, ring) for t in regions.ear_clip(ring)), abs(regions.signed_area(ring)))
     assert len(spark.range(1).select(regions.grid_points((0, 0), (10, 10), 5.0).alias("g")).collect()[0].g) == 4
-    corners, faces = regions.box(2, 3, 4)
-    volume = sum(np.linalg.det(corners[f]) for f in faces) / 6
-    assert math.isclose(volume, 24.0)
-    t = regions.terrain(spark, 8, 70.0, 5.0, 3).collect()
-    assert len(t) == 64 and max(abs(r.z) for r in t) <= 5 and len({r.z for r in t}) > 30
+
+
+def test_terrain(spark):
+    v, f = terrain.vertices(spark, 65, 7), terrain.faces(spark, 65)
+    rows, told = {r.vertex_id: r for r in v.collect()}, sorted(f.collect(), key=lambda r: r.face_id)
+    assert len(rows) == 64 and len(told) == 98 and [r.face_id for r in told] == list(range(98)) and {r.source_id - k for k, r in rows.items()} == {1}
+    assert (rows[0].x, rows[0].y) == (3_507_500.0, 1_508_500.0) and (rows[63].x, rows[63].y) == pytest.approx((3_512_500.0, 1_513_500.0)) and rows[8].x == rows[0].x
+    at = lambda k: (rows[k].x, rows[k].y)
+    areas = [regions.signed_area([at(r.a), at(r.b), at(r.c)]) for r in told]
+    assert min(areas) > 0 and math.isclose(sum(areas), 5000.0**2)
+    assert len({r.z for r in rows.values()}) > 60 and max(abs(r.z - 4190) for r in rows.values()) <= 120
+    assert {r.vertex_id: r.z for r in v.repartition(5).collect()} == {k: r.z for k, r in rows.items()}
+    assert {r.z for r in terrain.vertices(spark, 65, 8).collect()} != {r.z for r in rows.values()}
+    assert terrain.vertices(spark, 0).count() == 4 and terrain.faces(spark, 0).count() == 2
 
 
 def test_smoothing_stream(spark, tmp_path):
