@@ -12,10 +12,14 @@ and as kt_d where no deeper node was seen. The product over a text's bytes and a
 its probability, minus its log2 the code length, of which bits_per_byte is the share of a byte.
 
 Training: one pass counts (DEPTH+1)-grams and words within partitions, and Spark adds them
-up. Subtrees below each pair of last bytes are weighted by a task each, then the levels above.
-At full depth the tree keeps the grams seen most, at most MAX_GRAMS; the counts of all
-shallower nodes take in every gram, and the others enter their parent's mixture as one
-remainder. The tree is a table in the shared folder that each Python worker reads once.
+up. Every gram stays in the tree, a table in the shared folder with a part for each depth.
+Depth d is weighted from depth d + 1 in tasks that hold whole contexts of d bytes, and grams are
+predicted downwards, depth d with what depth d - 1 left, in tasks that hold whole contexts
+of d - 1 bytes: below one context lie at most 65 536 grams of the next depth, whatever the input.
+
+Scoring: the MAX_GRAMS most frequent grams' predictions are a table in each worker, whose size
+alone that bounds. All others, those that training never saw among them, are predicted from the
+tree as above and joined to the texts that hold them. The bound changes no score.
 
 The base needs the count of every word. The TOP_WORDS most frequent ones are a table of
 bounded size in each worker; all others are looked up by a join.
@@ -36,7 +40,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as pads
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize, new_folder
@@ -47,10 +51,13 @@ MAX_GRAMS = 1 << 22
 TOP_WORDS = 1 << 20
 #: Bytes whose grams are made at once.
 BLOCK = 1 << 20
+#: Rows of the tree that a task takes at once, besides whole contexts.
+ROWS = 1 << 15
 
 PARTIAL = "gram long, word binary, n long"
-ENTRY = "d int, key long, n long, w binary, level int, lpw double"
-SCORED = "block long, i int, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, top_score double, score double, rest array<binary>"
+ENTRY = "key long, n long, w binary, lpw binary"
+STATE = "key long, x binary"
+SCORED = "block long, i int, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, top_score double, score double, rest array<binary>, gram long, k long"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -147,136 +154,131 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def _level(keys: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The nodes with k bits known: ids, n0, n1, and the node of each key. keys are sorted."""
+    """The nodes with k bits known: the first key of each, n0, n1, and the node of each key. keys are sorted."""
     ids = keys >> (8 - k)
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    one = (keys >> (7 - k)) & 1
-    both, ones = np.add.reduceat(n, first), np.add.reduceat(n * one, first)
-    return ids[first], both - ones, ones, np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]])).astype(np.int64)
-
-
-Nodes = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    new = np.concatenate([[True], ids[1:] != ids[:-1]])
+    first = np.flatnonzero(new)
+    both, ones = np.add.reduceat(n, first), np.add.reduceat(n * ((keys >> (7 - k)) & 1), first)
+    return first, both - ones, ones, np.cumsum(new) - 1
 
 
-def _weigh(d: int, keys: np.ndarray, n: np.ndarray, deeper: Nodes | None) -> tuple[np.ndarray, Nodes]:
-    """Weights w (one a key and level, in 255ths) and the nodes (ids, n0, n1, log P_w) of depth d."""
-    w, nodes = np.zeros((len(keys), 8), np.uint8), {}
-    for k in range(8):
-        ids, n0, n1, of = _level(keys, n, k)
-        kt = _log_kt(n0, n1)
-        if deeper is None:
-            weight, lpw = np.ones(len(ids)), kt
-        else:
-            under, u0, u1, ulpw = deeper[k]
-            parent = np.searchsorted(ids, under & ((1 << (8 * d + k)) - 1))
-            add = lambda x: np.bincount(parent, weights=x, minlength=len(ids))
-            split = add(ulpw) + _log_kt(np.maximum(n0 - add(u0), 0), np.maximum(n1 - add(u1), 0))
-            lpw = np.log(0.5) + np.logaddexp(kt, split)
-            weight = np.exp(kt + np.log(0.5) - lpw)
-        w[:, k] = np.round(255 * weight)[of]
-        nodes[k] = (ids, n0, n1, lpw)
-    return w, nodes
+def _mask(d: int) -> int:
+    """The bits of a gram at depth d: d bytes of context and the symbol."""
+    return (1 << (8 * d + 8)) - 1
 
 
-def _entries(d: int, keys: np.ndarray, n: np.ndarray, w: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"d": d, "key": keys, "n": n, "w": [bytes(x) for x in w], "level": -1, "lpw": 0.0})
+def _packed(rows: np.ndarray) -> list[bytes]:
+    """Each row as bytes."""
+    rows = np.ascontiguousarray(rows)
+    return rows.view(f"V{rows.dtype.itemsize * rows.shape[1]}").ravel().tolist()
 
 
-def _node_rows(d: int, nodes: Nodes) -> pd.DataFrame:
-    """Nodes as rows: n is n0, and w holds n1."""
-    return pd.concat(
-        [
-            pd.DataFrame({"d": d, "key": ids, "n": n0, "w": [int(x).to_bytes(8, "little") for x in n1], "level": k, "lpw": lpw})
-            for k, (ids, n0, n1, lpw) in nodes.items()
-        ]
-    )
+def _unpacked(column: pd.Series, dtype: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype).reshape(-1, width)
 
 
-def _shorter(d: int, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, where = np.unique(keys & ((1 << (8 * d + 8)) - 1), return_inverse=True)
-    return u, np.bincount(where, weights=n).astype(np.int64)
-
-
-def _subtree(depth: int, top: int, least: int):
-    """Weighs depths depth..top of the grams below one pair of last bytes."""
+def _weigh(d: int, leaves: bool):
+    """Entries of depth d from those of depth d + 1: weights w (in 255ths) and log P_w of the nodes on a gram's way."""
 
     def weigh(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("gram")
-        all_keys, all_n = batch["gram"].to_numpy(np.int64), batch["n"].to_numpy(np.int64)
-        keep = all_n >= (least if depth > top else 0)
-        out, deeper = [], None
-        for d in range(depth, top - 1, -1):
-            keys, n = (all_keys[keep], all_n[keep]) if d == depth else _shorter(d, all_keys, all_n)
-            if not len(keys):
-                continue
-            w, deeper = _weigh(d, keys, n, deeper)
-            out.append(_entries(d, keys, n, w))
-        out.append(_node_rows(top, deeper))
-        return pd.concat(out)
+        batch = batch.sort_values("key")
+        under, m = batch["key"].to_numpy(np.int64), batch["n"].to_numpy(np.int64)
+        below = None if leaves else _unpacked(batch["lpw"], np.float64, 8)
+        keys, where = np.unique(under & _mask(d), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, where, m)
+        w, lpw = np.zeros((len(keys), 8), np.uint8), np.zeros((len(keys), 8))
+        for k in range(8):
+            deep, u0, u1, _ = _level(under, m, k)
+            first, n0, n1, of = _level(keys, n, k)
+            parent = np.searchsorted(keys[first] >> (8 - k), (under[deep] & _mask(d)) >> (8 - k))
+            split = np.bincount(parent, weights=_log_kt(u0, u1) if leaves else below[deep, k], minlength=len(first))
+            kt = _log_kt(n0, n1)
+            both = np.log(0.5) + np.logaddexp(kt, split)
+            w[:, k], lpw[:, k] = np.round(255 * np.exp(kt + np.log(0.5) - both))[of], both[of]
+        return pd.DataFrame({"key": keys, "n": n, "w": _packed(w), "lpw": _packed(lpw)})
 
     return weigh
 
 
-def _above(d: int):
-    """Weighs depth d from the entries and nodes of depth d + 1."""
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    def weigh(batch: pd.DataFrame) -> pd.DataFrame:
-        entries, rows = batch[batch["level"] < 0], batch[batch["level"] >= 0]
-        deeper = {}
-        for k, r in rows.sort_values("key").groupby("level"):
-            ones = np.array([int.from_bytes(x, "little") for x in r["w"]], np.int64)
-            deeper[k] = (r["key"].to_numpy(np.int64), r["n"].to_numpy(np.int64), ones, r["lpw"].to_numpy(np.float64))
-        keys, n = _shorter(d, entries["key"].to_numpy(np.int64), entries["n"].to_numpy(np.int64))
-        w, nodes = _weigh(d, keys, n, deeper)
-        return pd.concat([_entries(d, keys, n, w), _node_rows(d, nodes)])
 
-    return weigh
+def _indexed(keys: np.ndarray, n: np.ndarray, w: np.ndarray) -> Level:
+    """Entries of a depth sorted by gram, with running counts."""
+    order = np.argsort(keys)
+    return keys[order], np.concatenate([[0], np.cumsum(n[order])]), w[order]
+
+
+def _deeper(state: np.ndarray | None, level: Level, keys: np.ndarray) -> np.ndarray:
+    """The state of grams after one more depth: for each bit its probability if no deeper node was seen, the
+    part of it that is settled otherwise, and the share that deeper nodes then have."""
+    entries, total, w = level
+    low = keys & ~0xFF
+    a, b = np.searchsorted(entries, low), np.searchsorted(entries, low + 256)
+    out = np.zeros((len(keys), 3, 8))
+    for k in range(8):
+        one = (keys >> (7 - k)) & 1 == 1
+        middle = np.clip(np.searchsorted(entries, (((keys >> (8 - k)) << 1) | 1) << (7 - k)), a, b)
+        n, n1 = total[b] - total[a], total[b] - total[middle]
+        kt = (np.where(one, n1, n - n1) + 0.5) / (n + 1)
+        share = w[np.minimum(a, len(w) - 1), k] / 255 if len(w) else 1.0
+        stop, go, rest = (kt, 0.0, 1.0) if state is None else state[:, :, k].T
+        seen = (a < b) | (state is None)
+        out[:, 0, k] = np.where(seen, go + rest * kt, stop)
+        out[:, 1, k] = np.where(seen, go + rest * share * kt, stop)
+        out[:, 2, k] = np.where(seen, rest * (1 - share), 0.0)
+        a, b = np.where(one, middle, a), np.where(one, b, middle)
+    return out
+
+
+def _log10(state: np.ndarray) -> np.ndarray:
+    return np.log10(state[:, 0]).sum(axis=1)
+
+
+def _descend(d: int, depth: int):
+    """One depth of predict() for the contexts of a bucket: kind is 0 for entries, 1 for the state a depth above, 2 for grams to predict."""
+
+    def step(batch: pd.DataFrame) -> pd.DataFrame:
+        entries, above, wanted = (batch[batch["kind"] == kind] for kind in range(3))
+        level = _indexed(entries["key"].to_numpy(np.int64), entries["n"].to_numpy(np.int64), _unpacked(entries["x"], np.uint8, 8))
+        keys, state = np.sort(wanted["key"].to_numpy(np.int64)), None
+        if d:
+            above = above.sort_values("key")
+            at = np.searchsorted(above["key"].to_numpy(np.int64), keys & _mask(d - 1))
+            state = _unpacked(above["x"], np.float64, 24).reshape(-1, 3, 8)[at]
+        state = _deeper(state, level, keys)
+        if d == depth:
+            return pd.DataFrame({"gram": keys, "lp": _log10(state)})
+        return pd.DataFrame({"key": keys, "x": _packed(state.reshape(-1, 24))})
+
+    return step
 
 
 class Tree:
-    """The weighted tree: of each depth the sorted grams, their running counts, and their nodes' weights."""
+    """A tree in memory, for looking into small ones; score() works on the table."""
 
     def __init__(self, folder: str, depth: int):
-        self.depth, self.levels = depth, []
+        self.levels = []
         for d in range(depth + 1):
-            found = _read(folder, ["key", "n", "w"], pads.field("d") == d)
-            keys = found["key"].to_numpy()
-            order = np.argsort(keys)
-            w = found["w"].combine_chunks()
-            w = w.chunk(0) if isinstance(w, pa.ChunkedArray) and w.num_chunks else w
-            w = np.frombuffer(w.buffers()[2], np.uint8, 8 * len(keys)).reshape(-1, 8) if len(keys) else np.zeros((0, 8), np.uint8)
-            self.levels.append((keys[order], np.concatenate([[0], np.cumsum(found["n"].to_numpy()[order])]), w[order]))
+            found = _read(_part(folder, d), ["key", "n", "w"]).to_pandas()
+            self.levels.append(_indexed(found["key"].to_numpy(), found["n"].to_numpy(), _unpacked(found["w"], np.uint8, 8)))
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after its other bytes."""
-        grams, out = grams.astype(np.int64), np.zeros(len(grams))
-        spans = []
-        for d, (keys, _, _) in enumerate(self.levels):
-            low = (grams & ((1 << (8 * d + 8)) - 1)) & ~0xFF
-            spans.append([np.searchsorted(keys, low), np.searchsorted(keys, low + 256)])
-        for k in range(8):
-            one = (grams >> (7 - k)) & 1 == 1
-            p, rest = np.zeros(len(grams)), np.ones(len(grams))
-            seen = [a < b for a, b in spans]
-            for d, (keys, total, w) in enumerate(self.levels):
-                a, b = spans[d]
-                prefix = (grams & ((1 << (8 * d + 8)) - 1)) >> (8 - k)
-                middle = np.clip(np.searchsorted(keys, ((prefix << 1) | 1) << (7 - k)), a, b)
-                n, n1 = total[b] - total[a], total[b] - total[middle]
-                kt = (np.where(one, n1, n - n1) + 0.5) / (n + 1)
-                deeper = seen[d + 1] if d < self.depth else np.zeros(len(grams), bool)
-                here = w[np.minimum(a, len(w) - 1), k] / 255 if len(w) else 0.0
-                share = np.where(seen[d], np.where(deeper, here, 1.0), 1.0 if d == 0 else 0.0)
-                p += rest * share * kt
-                rest = rest * (1 - share)
-                spans[d] = [np.where(one, middle, a), np.where(one, b, middle)]
-            out += np.log10(p)
-        return out
-
-
-def _read(folder: str, columns: list[str], rows=None) -> pa.Table:
+        state = None
+        for d, level in enumerate(self.levels):
+            state = _deeper(state, level, grams.astype(np.int64) & _mask(d))
+        return _log10(state)
+
+
+def _part(folder: str, d: int) -> str:
+    return f"{folder}/depth-{d}"
+
+
+def _read(folder: str, columns: list[str]) -> pa.Table:
     fs, path = open_fs(folder)
-    return pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=columns, filter=rows, use_threads=False)
+    return pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=columns, use_threads=False)
 
 
 _models: dict[tuple, object] = {}
@@ -300,17 +302,6 @@ def _held(*key):
     return _models[key]
 
 
-def _known(tree: str, depth: int):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = batch["key"].to_numpy(np.int64)
-            for at in range(0, len(keys), 1 << 16):
-                part = np.sort(keys[at : at + (1 << 16)])
-                yield pd.DataFrame({"gram": part, "lp": _held("tree", tree, depth).log10(part)})
-
-    return score
-
-
 def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of wanted in sorted keys, and whether they are there."""
     if not len(keys):
@@ -320,49 +311,61 @@ def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _score(folders: dict[str, str], depth: int):
+    #: A sorted word is a gram above the place of its text among those that wait.
+    shift = np.uint64(64 - 8 * (depth + 1))
+    places = (1 << int(shift)) - 1
+    columns = [field.split()[0] for field in SCORED.split(", ")]
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng, of = np.random.default_rng(), xxhash.xxh64_intdigest
         for batch in batches:
-            tree = _held("tree", folders["tree"], depth)
             grams, lps = _held("known", folders["known"], depth)
             hashes, logs = _held("words", folders["words"], depth)
-
-            def look(g: np.ndarray) -> np.ndarray:
-                at, there = _look(grams, g)
-                lp = lps[at] if len(lps) else np.zeros(len(g))
-                if not there.all():
-                    new, where = np.unique(g[~there], return_inverse=True)
-                    lp[~there] = tree.log10(new)[where]
-                return lp
-
-            texts, scores, waiting, size = [_lowered(t) for t in batch["text"]], np.zeros(len(batch)), [], 0
-
-            def flush():
-                lp, at = look(np.concatenate([g for _, g in waiting])), 0
-                for i, g in waiting:
-                    scores[i] += lp[at : at + len(g)].sum()
-                    at += len(g)
+            block, scores, waiting, size = rng.integers(1 << 62), np.zeros(len(batch)), [], 0
+
+            def flush() -> Iterator[pd.DataFrame]:
+                """Adds up what is held, and gives the rest as rows of text, gram and times."""
+                if not waiting:
+                    return
+                sorts = np.sort(np.concatenate([(g << shift) | np.uint64(j) for j, (_, g) in enumerate(waiting)]))
+                g, text = sorts >> shift, np.array([i for i, _ in waiting])[(sorts & np.uint64(places)).astype(np.int64)]
+                first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                at, there = _look(grams, g[first])
+                lp, times = np.where(there, lps[at] if len(lps) else 0.0, 0.0), np.diff(np.append(first, len(g)))
+                scores[:] += np.bincount(text, weights=np.repeat(lp, times), minlength=len(scores))
                 waiting.clear()
+                if there.all():
+                    return
+                new = np.repeat(~there, times)
+                g, text = g[new], text[new]
+                first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (text[1:] != text[:-1])]))
+                out = pd.DataFrame({"i": text[first], "gram": g[first].astype(np.int64), "k": np.diff(np.append(first, len(g)))})
+                for name in ("doc_id", "n_bytes", "n_tokens", "n_known"):
+                    out[name] = pd.array([pd.NA] * len(out), dtype="Int64")
+                for name in ("held_out", "top_score", "score", "rest"):
+                    out[name] = None
+                out["block"] = block
+                yield out[columns]
 
             rows = []
-            for i, text in enumerate(texts):
+            for i, text in enumerate(map(_lowered, batch["text"])):
                 for g in _grams(text, depth):
                     waiting.append((i, g))
                     size += len(g)
-                    if size >= BLOCK:
-                        flush()
+                    if size >= BLOCK or len(waiting) > places:
+                        yield from flush()
                         size = 0
                 words = [*text.split(), b""]
                 h = np.array([of(w, 42) for w in words], np.uint64).view(np.int64)
                 at, there = _look(hashes, h)
                 top = float(logs[at[there]].sum()) if len(logs) else 0.0
                 rows.append((len(text) + 1, len(words), int(there.sum()), top, [words[j] for j in np.flatnonzero(~there)]))
-            if waiting:
-                flush()
+            yield from flush()
             out = pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "n_known", "top_score", "rest"])
-            out["score"], out["i"], out["block"] = scores, np.arange(len(out)), rng.integers(1 << 62)
+            out["score"], out["i"], out["block"] = scores, np.arange(len(out)), block
             out["doc_id"], out["held_out"] = batch["doc_id"].astype("Int64").array, batch["held_out"].array
-            yield out[["block", "i", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "top_score", "score", "rest"]]
+            out["gram"] = out["k"] = pd.array([pd.NA] * len(out), dtype="Int64")
+            yield out[columns]
 
     return score
 
@@ -379,24 +382,45 @@ def _threshold(counted: DataFrame, most: int) -> int:
     return least
 
 
+def _dealt(rows: DataFrame, context: int, size: int) -> GroupedData:
+    """Rows of about `size` dealt to groups that hold whole contexts of so many last bytes."""
+    last = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(_mask(context - 1)))
+    return rows.groupBy(F.pmod(F.xxhash64(last), F.lit(size // ROWS + 1)).alias("bucket"))
+
+
+def predict(tree: str, depth: int, wanted: DataFrame) -> DataFrame:
+    """wanted(key): different grams. Each with log10 of the probability of its last byte after the others (gram, lp)."""
+    spark, size, state = wanted.sparkSession, wanted.count(), None
+    for d in range(depth + 1):
+        level = spark.read.schema(ENTRY).parquet(_part(tree, d))
+        keys = wanted if d == depth else wanted.select(F.col("key").bitwiseAND(F.lit(_mask(d))).alias("key")).distinct()
+        rows = level.select(F.lit(0).alias("kind"), "key", "n", F.col("w").alias("x"))
+        rows = rows.union(keys.select(F.lit(2), "key", F.lit(0), F.lit(None).cast("binary")))
+        if state is not None:
+            rows = rows.union(state.select(F.lit(1), "key", F.lit(0), "x"))
+        dealt = _dealt(rows, max(d - 1, 0), size + level.count())
+        state = dealt.applyInPandas(_descend(d, depth), "gram long, lp double" if d == depth else STATE)
+    return state
+
+
 def train(docs: DataFrame, depth: int = DEPTH, max_grams: int = MAX_GRAMS, top_words: int = TOP_WORDS) -> dict:
-    """docs(text): every row is trained on. Folders of the tree and word tables, and N and V."""
+    """docs(text): every row is trained on. Folders of the tree and of the tables that workers hold, and N and V."""
     if not 2 <= depth <= 6:
         raise ValueError("depth must be 2 to 6")
     spark = docs.sparkSession
+    folders = {k: new_folder(spark, f"model-{k}") for k in ("tree", "known", "words")}
     partial = materialize(docs.select("text").mapInPandas(_count(depth), PARTIAL), "partial-counts")
-    grams = materialize(partial.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    grams = partial.filter("gram IS NOT NULL").groupBy(F.col("gram").alias("key")).agg(F.sum("n").alias("n"))
+    # At full depth nothing is weighted: no node lies below.
+    grams.withColumns({"w": F.lit(b"\xff" * 8), "lpw": F.lit(None).cast("binary")}).write.parquet(_part(folders["tree"], depth))
+    level = grams = spark.read.schema(ENTRY).parquet(_part(folders["tree"], depth))
     words = materialize(partial.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    pair = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    low = materialize(grams.groupBy(pair.alias("pair")).applyInPandas(_subtree(depth, 2, _threshold(grams, max_grams)), ENTRY), "tree-low")
-    last = F.expr("shiftright(key, if(level < 0, 8, level)) & 255")
-    one = materialize(low.filter("d = 2").withColumn("c", last).groupBy("c").applyInPandas(_above(1), ENTRY), "tree-one")
-    # Depth 0 has one context; what it is made from are the nodes of at most 256 last bytes.
-    zero = one.withColumn("c", F.lit(0)).groupBy("c").applyInPandas(_above(0), ENTRY)
-    folders = {k: new_folder(spark, f"model-{k}") for k in ("tree", "known", "words")}
-    low.union(one).union(zero).filter("level < 0").write.parquet(folders["tree"])
-    leaves = low.filter(F.col("d") == depth).filter("level < 0").select("key")
-    leaves.mapInPandas(_known(folders["tree"], depth), "gram long, lp double").write.parquet(folders["known"])
+    for d in range(depth - 1, -1, -1):
+        dealt = _dealt(level, d, level.count())
+        dealt.applyInPandas(_weigh(d, d == depth - 1), ENTRY).write.parquet(_part(folders["tree"], d))
+        level = spark.read.schema(ENTRY).parquet(_part(folders["tree"], d))
+    held = grams.filter(F.col("n") >= _threshold(grams, max_grams)).select("key")
+    predict(folders["tree"], depth, held).write.parquet(folders["known"])
     least = _threshold(words, top_words)
     words.filter(F.col("n") >= least).select(F.xxhash64("word").alias("h"), "n").write.parquet(folders["words"])
     n, v = words.agg(F.sum("n"), F.count("*")).first()
@@ -405,19 +429,24 @@ def train(docs: DataFrame, depth: int = DEPTH, max_grams: int = MAX_GRAMS, top_w
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs(doc_id, text, held_out) scored by a model of train()."""
-    first = materialize(docs.select("doc_id", "text", "held_out").mapInPandas(_score(model["folders"], model["depth"]), SCORED), "scored")
+    found = materialize(docs.select("doc_id", "text", "held_out").mapInPandas(_score(model["folders"], model["depth"]), SCORED), "scored")
+    first, grams = found.filter("gram IS NULL"), found.filter("gram IS NOT NULL").select("block", "i", "gram", "k")
+    wanted = materialize(grams.select(F.col("gram").alias("key")).distinct(), "wanted")
+    lps = predict(model["folders"]["tree"], model["depth"], wanted)
+    deep = grams.join(lps, "gram").groupBy("block", "i").agg(F.sum(F.col("k") * F.col("lp")).alias("gram_score"))
     rest = first.select("block", "i", F.explode("rest").alias("word")).groupBy("block", "i", "word").agg(F.count("*").alias("k"))
-    found = rest.join(model["words"], "word", "left").groupBy("block", "i").agg(
+    more = rest.join(model["words"], "word", "left").groupBy("block", "i").agg(
         F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more"),
         F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest_score"),
     )
     n, v = model["n"], model["v"]
     norm = F.log10(F.lit(float(n)) + 0.5 * (v + 1))
-    return first.join(found, ["block", "i"], "left").select(
+    total = F.col("score") + F.coalesce("gram_score", F.lit(0.0))
+    return first.join(more, ["block", "i"], "left").join(deep, ["block", "i"], "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("top_score") + F.coalesce("rest_score", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), "score",
-        (-F.col("score") / (F.log10(F.lit(2.0)) * F.col("n_bytes"))).alias("bits_per_byte"),
+        (F.col("top_score") + F.coalesce("rest_score", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), total.alias("score"),
+        (-total / (F.log10(F.lit(2.0)) * F.col("n_bytes"))).alias("bits_per_byte"),
     )
 
 

@@ -533,6 +533,29 @@ def test_context_tree_scores(spark):
     assert ctw.train_and_score(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_context_tree_scores_do_not_depend_on_what_workers_hold(spark, monkeypatch):
+    depth = 4
+    rows = [(i, ["abra cadabra", "the cat the hat", "aé zz\tq", "cat hat abra banana"][i % 4] + "xyz" * (i % 3)) for i in range(40)]
+    rows += [(41, None), (42, "never seen before"), (42, "never seen before"), (43, "the hat " * 50)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    lp = brute_tree([(t or "").encode() for i, t in rows if not held(i)], depth)
+    monkeypatch.setattr(ctw, "ROWS", 16)  # many groups of contexts
+    for max_grams in (0, 20, 1 << 22):
+        out = ctw.train_and_score(frame(spark, rows), depth=depth, max_grams=max_grams).collect()
+        assert sorted(r.doc_id for r in out) == sorted(i for i, _ in rows)
+        for r in out:
+            b = b"\0" * depth + (dict(rows)[r.doc_id] or "").encode() + b"\0"
+            assert math.isclose(r.score, sum(lp(b[i - depth : i], b[i]) for i in range(depth, len(b))), rel_tol=1e-9)
+            assert math.isclose(r.bits_per_byte, -r.score / math.log10(2) / (len(b) - depth), rel_tol=1e-9)
+
+
+def test_context_tree_without_training(spark):
+    rows = [(i, "zz") for i in range(20) if zlib.crc32(str(i).encode()) % 5 == 1]
+    for r in ctw.train_and_score(frame(spark, rows), depth=2).collect():
+        assert r.held_out and r.n_known == r.train_tokens == 0
+        assert math.isclose(r.score, 3 * 8 * math.log10(0.5), rel_tol=1e-12)
+
+
 def test_tree_predictions_add_up(spark):
     rows = [(i, f"banana bandana {i % 7}") for i in range(30)]
     model = ctw.train(spark.createDataFrame(rows, "doc_id long, text string"), depth=2, max_grams=20)
