@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -549,6 +550,25 @@ def test_context_tree_scores_do_not_depend_on_what_workers_hold(spark, monkeypat
             assert math.isclose(r.bits_per_byte, -r.score / math.log10(2) / (len(b) - depth), rel_tol=1e-9)
 
 
+def test_grams_are_looked_up_once_a_block(spark, monkeypatch):
+    depth, rows = 6, [(i, "the cat sat on the mat " * (i % 5 + 1)) for i in range(700)]
+    model = ctw.train(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth, max_grams=10)
+    looked, look = [], ctw._look
+    monkeypatch.setattr(ctw, "_look", lambda keys, wanted: looked.append(len(wanted)) or look(keys, wanted))
+    monkeypatch.setattr(ctw, "BLOCK", 30000)
+    batch = pd.DataFrame({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "held_out": False})
+    found = pd.concat(ctw._score(model["folders"], depth)(iter([batch])))
+    grams = [np.concatenate(list(ctw._grams(t.encode(), depth))) for _, t in rows]
+    words, blocks = sum(len(t.split()) + 1 for _, t in rows), len(looked) - len(rows)
+    assert blocks > 1 and sum(looked) - words <= blocks * len(np.unique(np.concatenate(grams)))
+    tree = ctw._held("tree", model["folders"]["tree"], depth)
+    rest, scores = found[found["gram"].notna()], found[found["gram"].isna()].set_index("i")["score"].astype(float)
+    assert len(rest)
+    more = (rest["k"].astype(float) * tree.log10(rest["gram"].to_numpy(np.uint64))).groupby(rest["i"]).sum()
+    for i, g in enumerate(grams):
+        assert math.isclose(scores[i] + more.get(i, 0.0), tree.log10(g).sum(), rel_tol=1e-9)
+
+
 def test_context_tree_without_training(spark):
     rows = [(i, "zz") for i in range(20) if zlib.crc32(str(i).encode()) % 5 == 1]
     for r in ctw.train_and_score(frame(spark, rows), depth=2).collect():
