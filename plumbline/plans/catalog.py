@@ -548,9 +548,9 @@ def compact_number_label(spark, sf_dir):
 e AS (SELECT user_id, event_id, k, ms, value AS ema FROM o WHERE k=1 UNION ALL SELECT o.user_id, o.event_id, o.k, o.ms, e.ema+(1-exp(-(o.ms-e.ms)/180.0::DOUBLE))*(o.value-e.ema) FROM e JOIN o ON o.user_id=e.user_id AND o.k=e.k+1)
 SELECT user_id, event_id, round(ema,6) AS ema FROM e""")
 def ema_ground_follow(spark, sf_dir):
-    """Exponential smoothing along each track, by the step that the stream takes."""
+    """Exponential smoothing along each track, by the step that the stream takes; times are rounded to milliseconds, not cut off."""
     e = table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("long").alias("track"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").cast("long").alias("seq"), F.col("value").cast("double").alias("z")
+        F.col("user_id").cast("long").alias("track"), F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts_ms"), F.col("event_id").cast("long").alias("seq"), F.col("value").cast("double").alias("z")
     )
     return state.follow_table(e).select(F.col("track").alias("user_id"), F.col("seq").alias("event_id"), r6(F.col("level"), "ema"))
 
