@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions import las
-from plumbline.functions.text import compact
+from plumbline.functions import las, text
 
 # Fixed values.
 FOOT_IN_METRES, INCH_IN_METRES = 0.3048, 0.0254
@@ -154,8 +155,9 @@ def outdated_warning(version: Column) -> Column:
     return F.when(version < INDEX_VERSION, told)
 
 
-def disclosure(drawn: Column, loaded: Column, estimated: Column, region: Column, region_loaded: Column, region_selected: Column, limited: Column, sector: Column, sectors: Column) -> Column:
-    """One line about the points of a work area: how many are drawn and loaded, and what keeps it from being full."""
+def disclosure(drawn: Column, loaded: Column, estimated: Column, region: Column, region_loaded: Column, region_selected: Column, limited: Column, sector: Column, sectors: Column, largest: str = "B") -> Column:
+    """One line about the points of a work area: how many are drawn and loaded, and what keeps it from being full; numbers have letters up to `largest`."""
+    compact = partial(text.compact, largest=largest)
     part = F.when(sectors > 1, F.concat(F.lit(" · sector "), (sector + 1).cast("string"), F.lit(" of "), sectors.cast("string"))).otherwise("")
     area = F.when(drawn == loaded, F.concat(compact(drawn), F.lit(" pts in area"))).otherwise(F.concat(compact(drawn), F.lit(" drawn / "), compact(loaded), F.lit(" loaded in area")))
     view = F.concat(F.lit("Isolate: "), area, F.lit(" · view-density streaming only — Load All for full data (~"), compact(estimated), F.lit(" indexed near area)"))

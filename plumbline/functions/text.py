@@ -33,10 +33,11 @@ def sniff(name: Column, head: Column) -> Column:
     return out.otherwise("unknown")
 
 
-def compact(n: Column) -> Column:
-    """1.2M and the like: three digits at most before the letter, one decimal below 100 of it."""
+def compact(n: Column, largest: str = "B") -> Column:
+    """1.2M and the like: three digits at most before the letter, but for the `largest` one, and one decimal below 100 of it."""
     out = None
     steps = ((1_000_000_000, "B"), (1_000_000, "M"), (1_000, "K"), (1, ""))
+    steps = steps[[letter for _, letter in steps].index(largest) :]
     for k, (size, letter) in enumerate(steps):
         tenths = F.floor(n * 10 / size + 0.5)
         whole = F.floor(n / size + 0.5)
