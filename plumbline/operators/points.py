@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
 from plumbline.functions import las
+from plumbline.operators import copies
 from plumbline.sources.tables import materialize
 
 #: Surfel cells: factors of the point spacing, least points, and limits of radius and confidence.
@@ -182,26 +183,29 @@ def count_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> Da
     """(polygon_id, inside, inside_filtered): points(x, y, passes) of each of polygons(polygon_id, ring), all of them and those that pass.
 
     Polygons are dealt to the cells of a grid that their bounds meet, points to their cell: an equi-join. A point is in one
-    cell, so that it meets a polygon once."""
+    cell, so that it meets a polygon once. Points at one place are counted before, and polygons with one ring are tested once."""
+    firsts, members = copies.once(polygons.select("polygon_id", "ring"), "polygon_id", "ring")
     axis = lambda d: F.transform("ring", lambda p: p[d])
     xs, ys = axis("x"), axis("y")
     span = lambda v: F.sequence(F.floor(F.array_min(v) / cell).cast("long"), F.floor(F.array_max(v) / cell).cast("long"))
     # Edges that are not level, made once a polygon; the test folds over them and builds no array.
     steep = F.filter(geo.ring_edges(F.col("ring")), lambda e: e["a"]["y"] != e["b"]["y"])
     box = [f(v).alias(f"_{n}{d}") for d, v in (("x", xs), ("y", ys)) for n, f in (("lo", F.array_min), ("hi", F.array_max))]
-    dealt = polygons.select("polygon_id", steep.alias("edges"), *box, F.explode(span(xs)).alias("gx"), ys.alias("_y"))
+    dealt = firsts.select("polygon_id", steep.alias("edges"), *box, F.explode(span(xs)).alias("gx"), ys.alias("_y"))
     dealt = dealt.select("polygon_id", "edges", "_lox", "_hix", "_loy", "_hiy", "gx", F.explode(span(F.col("_y"))).alias("gy"))
-    p = points.select("x", "y", "passes", *[F.floor(F.col(d) / cell).cast("long").alias(f"g{d}") for d in "xy"])
+    p = points.groupBy("x", "y").agg(F.count("*").alias("n"), F.count_if("passes").alias("m"))
+    p = p.select("*", *[F.floor(F.col(d) / cell).cast("long").alias(f"g{d}") for d in "xy"])
     x, y = F.col("x"), F.col("y")
-    near = p.join(dealt, ["gx", "gy"]).filter(x.between(F.col("_lox"), F.col("_hix")) & y.between(F.col("_loy"), F.col("_hiy")))
+    near = p.join(copies.spread(dealt), ["gx", "gy"]).filter(x.between(F.col("_lox"), F.col("_hix")) & y.between(F.col("_loy"), F.col("_hiy")))
 
     def crosses(e: Column) -> Column:
         u, v = e["a"], e["b"]
         return ((u["y"] > y) != (v["y"] > y)) & (x < (v["x"] - u["x"]) * (y - u["y"]) / (v["y"] - u["y"]) + u["x"])
 
     inside = near.filter(F.aggregate("edges", F.lit(False), lambda odd, e: odd != crosses(e)))
-    found = inside.groupBy("polygon_id").agg(F.count("*").alias("inside"), F.count_if("passes").alias("inside_filtered"))
-    return polygons.select("polygon_id").join(found, "polygon_id", "left").fillna(0, ["inside", "inside_filtered"])
+    found = inside.groupBy("polygon_id").agg(F.sum("n").alias("inside"), F.sum("m").alias("inside_filtered"))
+    told = members.join(copies.spread(found.withColumnRenamed("polygon_id", "like")), "like", "left")
+    return told.select("polygon_id", "inside", "inside_filtered").fillna(0, ["inside", "inside_filtered"])
 
 
 # Multiples of the first disc's radius, and the points that a disc needs.
