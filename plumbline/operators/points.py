@@ -123,11 +123,11 @@ def fit_planes(points: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def floor_percentiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+def floor_percentiles(df: DataFrame, value: str, shares: dict[str, float], *by: str, counts: str | None = None) -> DataFrame:
     """n, and for each named share the element floor((n - 1) * share) of each group's ascending values, all in one pass.
 
-    Equal values are counted before they are ranked, so that a group is one row a distinct value."""
-    counted = df.groupBy(*by, value).agg(F.count("*").alias("_k"))
+    Equal values are counted before they are ranked, so that a group is one row a distinct value. counts: a column that tells how often a row counts."""
+    counted = df.groupBy(*by, value).agg((F.sum(counts) if counts else F.count("*")).alias("_k"))
     up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     ranked = counted.select(*by, value, F.sum("_k").over(up).alias("_to"), F.sum("_k").over(whole).alias("n"))
@@ -135,8 +135,8 @@ def floor_percentiles(df: DataFrame, value: str, shares: dict[str, float], *by:
     return ranked.groupBy(*by, "n").agg(*at)
 
 
-def floor_percentile(df: DataFrame, value: str, share: float, *by: str) -> DataFrame:
-    return floor_percentiles(df, value, {"value": share}, *by)
+def floor_percentile(df: DataFrame, value: str, share: float, *by: str, counts: str | None = None) -> DataFrame:
+    return floor_percentiles(df, value, {"value": share}, *by, counts=counts)
 
 
 def strided(points: DataFrame, budget: int, order: str = "idx") -> DataFrame:
@@ -215,17 +215,21 @@ LADDER = ((1, 12), (2, 12), (4, 8), (8, 6))
 def ground_ladder(queries: DataFrame, points: DataFrame, radius: float, share: float = 0.1, ladder: tuple[tuple[int, int], ...] = LADDER) -> DataFrame:
     """(query_id, rung, n, ground): a low percentile of the heights in the first of several widening discs that holds enough points; queries(query_id, qx, qy).
 
-    Queries whose widest disc holds too few have no row. Both sides are dealt to cells as wide as the widest disc."""
+    Queries whose widest disc holds too few have no row. Both sides are dealt to cells as wide as the widest disc. Queries at one place are
+    answered once, and points at one place are counted before."""
+    firsts, members = copies.once(queries, "query_id", "qx", "qy")
+    points = points.groupBy("x", "y", "z").agg(F.count("*").alias("k"))
     cell = radius * max(m for m, _ in ladder)
     at = lambda c: F.floor(F.col(c) / cell).cast("long")
     near = F.explode(F.array(*[F.struct((at("qx") + i).alias("gx"), (at("qy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    asked = queries.withColumn("_g", near).select("query_id", "qx", "qy", "_g.gx", "_g.gy")
+    asked = firsts.withColumn("_g", near).select("query_id", "qx", "qy", "_g.gx", "_g.gy")
     d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-    met = asked.join(points.select("x", "y", "z", at("x").alias("gx"), at("y").alias("gy")), ["gx", "gy"]).select("query_id", "z", d2.alias("d2"))
+    met = asked.join(copies.spread(points.select("x", "y", "z", "k", at("x").alias("gx"), at("y").alias("gy"))), ["gx", "gy"]).select("query_id", "z", "k", d2.alias("d2"))
     rungs = F.filter(F.array(*[F.struct(F.lit(k).alias("rung"), F.lit((radius * m) ** 2).alias("most"), F.lit(least).alias("least")) for k, (m, least) in enumerate(ladder)]), lambda r: r["most"] >= F.col("d2"))
-    each = met.select("query_id", "z", F.explode(rungs).alias("r")).select("query_id", "z", "r.rung", "r.least")
-    told = floor_percentile(each, "z", share, "query_id", "rung", "least").filter("n >= least")
-    return told.groupBy("query_id").agg(F.min("rung").alias("rung"), F.min_by("n", "rung").alias("n"), F.min_by("value", "rung").alias("ground"))
+    each = met.select("query_id", "z", "k", F.explode(rungs).alias("r")).select("query_id", "z", "k", "r.rung", "r.least")
+    told = floor_percentile(each, "z", share, "query_id", "rung", "least", counts="k").filter("n >= least")
+    found = told.groupBy("query_id").agg(F.min("rung").alias("rung"), F.min_by("n", "rung").alias("n"), F.min_by("value", "rung").alias("ground"))
+    return copies.each(found, members, "query_id")
 
 
 def centroids(points: DataFrame, *by: str) -> DataFrame:
