@@ -3,7 +3,7 @@
 Rectangles are put on grids of doubling cells: each is at home on the level whose cells are as large as it is, where it meets four cells at
 most, and visits the coarser levels that others are at home on. A pair meets on the level of the larger one, in the
 cell of its reference point (the greater of the lower corners), and there alone, so that no pair is told twice and no large
-rectangle is cut into small cells.
+rectangle is cut into small cells. Equal rectangles of a side are one while they are joined.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import copies
+
 BOX = ("min_x", "min_y", "max_x", "max_y")
 
 
@@ -41,10 +43,13 @@ def meeting(left: DataFrame, right: DataFrame, base: float) -> DataFrame:
     levels = sorted(r[0] for r in left.select(level_of(base).alias("v")).union(right.select(level_of(base))).distinct().collect())
     if not levels:
         levels = [0]
-    met = _dealt(left, base, levels, "l").join(_dealt(right, base, levels, "r"), ["_l", "_cx", "_cy"])
+    met = _dealt(left.select(*BOX).distinct(), base, levels, "l").join(copies.spread(_dealt(right.select(*BOX).distinct(), base, levels, "r")), ["_l", "_cx", "_cy"])
     size = F.lit(base) * F.pow(F.lit(2.0), F.col("_l"))
     first = lambda d: F.floor(F.greatest(F.col(f"l.min_{d}"), F.col(f"r.min_{d}")) / size)
     overlap = F.lit(True)
     for d in "xy":
         overlap = overlap & (F.col(f"l.max_{d}") >= F.col(f"r.min_{d}")) & (F.col(f"l.min_{d}") <= F.col(f"r.max_{d}"))
-    return met.filter((F.col("_home_l") | F.col("_home_r")) & overlap & (first("x") == F.col("_cx")) & (first("y") == F.col("_cy"))).select("l", "r")
+    pairs = met.filter((F.col("_home_l") | F.col("_home_r")) & overlap & (first("x") == F.col("_cx")) & (first("y") == F.col("_cy"))).select(F.col("l").alias("_l"), F.col("r").alias("_r"))
+    for name, rows in (("l", left), ("r", right)):
+        pairs = pairs.join(copies.spread(rows.select(F.struct(*[F.col(c) for c in BOX]).alias(f"_{name}"), F.struct(*rows.columns).alias(name))), f"_{name}")
+    return pairs.select("l", "r")
