@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
+from plumbline.operators import copies
 
 #: Slack of pixels on an edge.
 EPSILON = 1e-9
@@ -53,7 +54,7 @@ def _inside(ring: Column, x: Column, y: Column) -> Column:
 
 def masked_tiles(tiles: DataFrame, polygons: DataFrame) -> DataFrame:
     """tiles(polygon_id, x0, y0, x1, y1) with `masked`: a corner lies outside the ring, or an edge of the ring meets one of the tile."""
-    told = tiles.join(polygons.select("polygon_id", F.col("ring").cast("array<struct<x:double,y:double>>").alias("_r")), "polygon_id", "left")
+    told = tiles.join(copies.spread(polygons.select("polygon_id", F.col("ring").cast("array<struct<x:double,y:double>>").alias("_r"))), "polygon_id", "left")
     x0, y0, x1, y1 = (F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))
     corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
     out = F.lit(False)
@@ -77,4 +78,4 @@ def tile_masks(tiles: DataFrame, polygons: DataFrame, size: int) -> DataFrame:
     need = masked_tiles(tiles, polygons).filter("masked").select("polygon_id", "x0", "y0", "x1", "y1")
     column = F.explode(F.transform(F.sequence(F.floor(F.col("first") / size).cast("long"), F.floor(F.col("last") / size).cast("long")), lambda c: c * size))
     s = spans(polygons).select("*", (F.floor(F.col("y") / size) * size).cast("long").alias("y0"), column.alias("x0"))
-    return s.join(need, ["polygon_id", "x0", "y0"]).select("polygon_id", "x0", "y0", "y", F.greatest("first", "x0").alias("first"), F.least(F.col("last"), F.col("x1") - 1).alias("last"))
+    return s.join(copies.spread(need), ["polygon_id", "x0", "y0"]).select("polygon_id", "x0", "y0", "y", F.greatest("first", "x0").alias("first"), F.least(F.col("last"), F.col("x1") - 1).alias("last"))

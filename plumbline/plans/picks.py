@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
 from plumbline.functions import noise
-from plumbline.operators import crops, extents, mesh, points, rays, selection, triangulation
+from plumbline.operators import copies, crops, extents, mesh, points, rays, selection, triangulation
 from plumbline.plans import views
 from plumbline.plans.catalog import P, RING, crossings, query, r6
 from plumbline.sources.tables import table
@@ -133,12 +133,13 @@ _OUT = " OR ".join(f"NOT {_holds(x, y)}" for x, y in (("x0", "y0"), ("(x0 + 8)",
 need AS (SELECT k, x0, y0 FROM tiles WHERE {_OUT} OR {' OR '.join(_met(i) for i in range(6))})
 SELECT need.k AS polygon_id, x0, y0, count(x) AS kept FROM need LEFT JOIN v_kept ON v_kept.k = need.k AND x // 8 * 8 = x0 AND y // 8 * 8 = y0 GROUP BY ALL""")
 def crop_tile_masks(spark, sf_dir):
-    """The tiles of 8 pixels in the middle of each ring's sheet that need a mask, with the pixels kept."""
-    rings = _rings(spark, sf_dir)
+    """The tiles of 8 pixels in the middle of each ring's sheet that need a mask, with the pixels kept; rings that are equal are cut once."""
+    rings, members = copies.once(_rings(spark, sf_dir), "polygon_id", "ring")
     side = lambda a, b: F.sequence(F.lit(a).cast("long"), F.lit(b).cast("long"), F.lit(8).cast("long"))
     tiles = rings.select("polygon_id", F.explode(side(16, 48)).alias("x0")).withColumn("y0", F.explode(side(0, 32))).withColumns({"x1": F.col("x0") + 8, "y1": F.col("y0") + 8})
     kept = crops.tile_masks(tiles, rings, 8).groupBy("polygon_id", "x0", "y0").agg(F.sum(F.col("last") - F.col("first") + 1).alias("kept"))
-    return crops.masked_tiles(tiles, rings).filter("masked").join(kept, ["polygon_id", "x0", "y0"], "left").select("polygon_id", "x0", "y0", F.coalesce("kept", F.lit(0)).alias("kept"))
+    need = crops.masked_tiles(tiles, rings).filter("masked").join(copies.spread(kept), ["polygon_id", "x0", "y0"], "left")
+    return copies.each(need, members, "polygon_id").select("polygon_id", "x0", "y0", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
 _AREA = "abs(" + " + ".join(f"(p[{i + 1}][1] * p[{(i + 1) % 6 + 1}][2] - p[{(i + 1) % 6 + 1}][1] * p[{i + 1}][2])" for i in range(6)) + ") / 2"
