@@ -5,7 +5,7 @@ order cut it into pieces, each within one cell, so that its cells are an array e
 are equi-joins on cells. A point lies in one cell and a ray lists a cell once, so that a pair meets once.
 
 rays: (ray_id, ox, oy, oz, dx, dy, dz, reach): the ray at t is o + t * d for 0 <= t <= reach. Rows with a null or without a
-direction meet nothing.
+direction meet nothing. Equal rays are followed once.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
+from plumbline.operators import copies
 
 AXES = ("x", "y", "z")
+RAY = (*[f"{m}{d}" for m in "od" for d in AXES], "reach")
 #: Hits of a ray that are told from each source of points.
 HITS = 8
 
@@ -105,13 +107,16 @@ def surface_hits(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFram
     """(ray_id, t, surface, face_id, x, y, z): the first triangle along each ray; triangles: (surface, face_id, ax .. cz).
 
     Where rays have a column `active`, only the surface that it names counts; null stands for all."""
+    has = "active" in rays.columns
+    rays, members = copies.once(rays, "ray_id", *RAY, *(["active"] if has else []))
+    # of equal triangles of a surface the first is told
+    triangles = triangles.groupBy("surface", *[f"{k}{d}" for k in "abc" for d in AXES]).agg(F.min("face_id").alias("face_id"))
     axis = lambda d: [F.col(f"{k}{d}") for k in "abc"]
     least, most = [F.least(*axis(d)) for d in AXES], [F.greatest(*axis(d)) for d in AXES]
     box = _bounds(triangles, least, most) or ([0.0] * 3, [0.0] * 3)
     edge = 1e-9 * max(1.0, cell)
     inside = _clipped(rays, [v - edge for v in box[0]], [v + edge for v in box[1]])
     cells = passed_cells(_ends("t0"), _ends("t1"), cell)
-    has = "active" in rays.columns
     names = ["ray_id", *[f"{m}{d}" for m in "od" for d in AXES], "reach", *(["active"] if has else [])]
     asked = inside.select(*names, F.explode(cells).alias("c")).select(*names, *[F.col(f"c.c{k}").alias(f"_c{k}") for k in range(3)])
     dealt = triangles
@@ -122,13 +127,13 @@ def surface_hits(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFram
     dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
     h, s = cross(d, v), cross(o, u)
     turn = F.nullif(dot(u, h), F.lit(0.0))
-    met = asked.join(dealt, ["_c0", "_c1", "_c2"])
+    met = asked.join(copies.spread(dealt), ["_c0", "_c1", "_c2"])
     if has:
         met = met.filter(F.col("active").isNull() | (F.col("active") == F.col("surface")))
     told = met.withColumns({"t": dot(v, s) / turn, "_u": dot(o, h) / turn, "_v": dot(d, s) / turn})
     hit = told.filter("_u >= 0 AND _v >= 0 AND _u + _v <= 1 AND t >= 0 AND t <= reach")
     first = hit.groupBy("ray_id").agg(F.min_by(F.struct("t", "surface", "face_id", *[(F.col(f"o{x}") + F.col("t") * F.col(f"d{x}")).alias(x) for x in AXES]), F.struct("t", "surface", "face_id")).alias("h"))
-    return first.select("ray_id", "h.*")
+    return copies.each(first.select("ray_id", "h.*"), members, "ray_id")
 
 
 def read_out(hits: DataFrame, origin: tuple[float, float, float], exaggeration: float = 1.0) -> DataFrame:
