@@ -79,7 +79,11 @@ def cloud_hits(rays: DataFrame, points: DataFrame, cell: float, radius: float, s
     """(ray_id, source, rank, t, distance, ...columns of points): of each ray and source the first points along the ray, `most` at most.
 
     A point is hit if it is no farther from the ray than radius + slope * its distance along the ray, which
-    is a tolerance in pixels for a camera. Take off points that are hidden before, so that they don't count."""
+    is a tolerance in pixels for a camera. Take off points that are hidden before, so that they don't count. Of the points of a source
+    at one place only the first `most` can be told, and only they are joined."""
+    rays, members = copies.once(rays, "ray_id", *RAY)
+    place = Window.partitionBy(*AXES, by).orderBy(*([c for c in ("idx",) if c in points.columns] or AXES))
+    points = points.withColumn("_k", F.row_number().over(place)).filter(F.col("_k") <= most).drop("_k")
     box = _bounds(points, [F.col(d) for d in AXES], [F.col(d) for d in AXES])
     if box is None:
         box = ([0.0] * 3, [0.0] * 3)
@@ -96,11 +100,11 @@ def cloud_hits(rays: DataFrame, points: DataFrame, cell: float, radius: float, s
     size = sum((F.col(f"d{d}") * F.col(f"d{d}") for d in AXES), F.lit(0.0))
     t = sum((p * F.col(f"d{d}") for p, d in zip(off, AXES)), F.lit(0.0)) / size
     away = F.sqrt(sum(((p - F.col("t") * F.col(f"d{d}")) * (p - F.col("t") * F.col(f"d{d}")) for p, d in zip(off, AXES)), F.lit(0.0)))
-    met = asked.join(dealt, ["_c0", "_c1", "_c2"]).withColumn("t", t).withColumn("distance", away)
+    met = asked.join(copies.spread(dealt), ["_c0", "_c1", "_c2"]).withColumn("t", t).withColumn("distance", away)
     hit = met.filter((F.col("t") >= 0) & (F.col("t") <= F.col("reach")) & (F.col("distance") <= radius + slope * F.col("t") * F.sqrt(size)))
     order = Window.partitionBy("ray_id", by).orderBy("t", "distance", *[c for c in ("idx",) if c in points.columns])
     ranked = hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    return ranked.select("ray_id", by, "rank", "t", "distance", *[c for c in points.columns if c != by])
+    return copies.each(ranked.select("ray_id", by, "rank", "t", "distance", *[c for c in points.columns if c != by]), members, "ray_id")
 
 
 def surface_hits(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
