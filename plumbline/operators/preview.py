@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import octree
+from plumbline.operators import copies, octree
 from plumbline.operators import points as pts
 from plumbline.sources.tables import materialize
 
@@ -77,7 +77,8 @@ def topology(counts: DataFrame, of: DataFrame, capacity: int = LEAF_POINTS, dept
     wide = of.select("cloud", extent.alias("extent"))
     splits = (F.col("point_count") > capacity) & (F.col("level") < depth) & (F.col("extent") / F.pow(F.lit(2.0), F.col("level")) > MIN_EXTENT)
     told = summed.join(wide, "cloud").withColumn("split", splits).drop("extent")
-    parents = told.filter("split").select("cloud", (F.col("level") + 1).alias("level"), F.col("node").alias("up"))
+    # nodes and cells grow with the clouds, though their files are small: no broadcast of either
+    parents = copies.spread(told.filter("split").select("cloud", (F.col("level") + 1).alias("level"), F.col("node").alias("up")))
     there = told.filter("level > 0").withColumn("up", _up("node", 1)).join(parents, ["cloud", "level", "up"], "left_semi").drop("up")
     nodes = materialize(told.filter("level = 0").unionByName(there), "preview-nodes")
     line = nodes.select("cloud", "level", "node", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("at"))
@@ -86,11 +87,11 @@ def topology(counts: DataFrame, of: DataFrame, capacity: int = LEAF_POINTS, dept
     siblings = Window.partitionBy("cloud", "level", _up("node", 1)).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.when(F.col("level") == 0, 0).otherwise(F.coalesce(F.sum("subtree").over(siblings), F.lit(0)))
     sized = materialize(sizes.withColumn("earlier", earlier), "preview-sizes")
-    passed = line.join(sized.select("cloud", F.col("level").alias("at"), F.col("node").alias("above"), "earlier"), ["cloud", "at", "above"])
+    passed = line.join(copies.spread(sized.select("cloud", F.col("level").alias("at"), F.col("node").alias("above"), "earlier")), ["cloud", "at", "above"])
     before = passed.groupBy("cloud", "level", "node").agg(F.sum("earlier").alias("before"))
-    found = nodes.join(sized.drop("earlier"), ["cloud", "level", "node"]).join(before, ["cloud", "level", "node"])
+    found = nodes.join(copies.spread(sized.drop("earlier")), ["cloud", "level", "node"]).join(copies.spread(before), ["cloud", "level", "node"])
     found = materialize(found.select("cloud", (F.col("before") + F.col("subtree")).alias("id"), "level", "node", "point_count", (~F.col("split")).alias("leaf"), "subtree"), "preview-topology")
-    above = found.select("cloud", (F.col("level") + 1).alias("level"), F.col("node").alias("up"), F.col("id").alias("parent_id"))
+    above = copies.spread(found.select("cloud", (F.col("level") + 1).alias("level"), F.col("node").alias("up"), F.col("id").alias("parent_id")))
     return found.withColumn("up", F.when(F.col("level") > 0, _up("node", 1))).join(above, ["cloud", "level", "up"], "left").select("cloud", "id", "level", "node", "parent_id", "point_count", "leaf", "subtree")
 
 
@@ -98,7 +99,7 @@ def leaf_of(counts: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> DataFram
     """(cloud, cell, id, level): the leaf that holds each cell of the deepest level."""
     each = counts.select("cloud", "cell", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
     each = each.withColumn("node", _up("cell", F.lit(depth) - F.col("level")))
-    return each.join(nodes.filter("leaf").select("cloud", "level", "node", "id"), ["cloud", "level", "node"]).select("cloud", "cell", "id", "level")
+    return each.join(copies.spread(nodes.filter("leaf").select("cloud", "level", "node", "id")), ["cloud", "level", "node"]).select("cloud", "cell", "id", "level")
 
 
 def build(points: DataFrame, quality: str = "balanced", capacity: int = LEAF_POINTS, of: DataFrame | None = None, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +110,7 @@ def build(points: DataFrame, quality: str = "balanced", capacity: int = LEAF_POI
     placed = cells(points, of, depth)
     counts = materialize(placed.groupBy("cloud", "cell").agg(F.count("*").alias("n")), "preview-counts")
     nodes = topology(counts, of, capacity, depth)
-    taken = placed.filter(F.col("idx") % q.least == 0).join(leaf_of(counts, nodes, depth), ["cloud", "cell"])
+    taken = placed.filter(F.col("idx") % q.least == 0).join(copies.spread(leaf_of(counts, nodes, depth)), ["cloud", "cell"])
     taken = taken.filter(F.col("idx") % q.stride_at(F.col("level")) == 0)
     sample = pts.capped_sample(taken, 1, q.cap, "cloud", "id")
     middle = of.select("cloud", *[((F.col(f"min_{d}") + F.col(f"max_{d}")) * 0.5).alias(f"_{d}") for d in AXES])
