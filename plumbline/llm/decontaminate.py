@@ -28,11 +28,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize, row_key
@@ -40,6 +41,8 @@ from plumbline.llm.common import materialize, row_key
 WINDOW = 10
 #: Text bytes after which a segment ends with the document that reaches them.
 SEGMENT_BYTES = 1 << 21
+#: Segments of a row group of the stored index. Readers decode a row group at once, and writers gather 100 rows before they look at its size.
+GROUP = 4
 #: Characters of benchmark text whose windows are broadcast at once.
 BLOCK_CHARS = 1 << 23
 
@@ -102,7 +105,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The stored index: one row a segment, see INDEX."""
     rows = docs.select(*row_key(doc_id, text), F.col(text).alias("__text"))
     rows = rows.withColumn("__id", F.col("__id").cast("long"))
-    return materialize(rows.mapInPandas(_segments, INDEX), "index")
+    return materialize(rows.mapInPandas(_segments, INDEX), "index", parquet_block_row_count_limit=GROUP)
 
 
 def windows(items: list[tuple[str, str | None]], size: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
@@ -214,6 +217,18 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[
         yield block
 
 
+@contextmanager
+def _one_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """What runs in here sends Python one row at a time. By default 10 000 rows are gathered, which of segments is a whole task's input, outside of the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def search(
     index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int | None = None, item_id: str = "item_id", text: str = "text"
 ) -> DataFrame:
@@ -229,10 +244,11 @@ def search(
     ]
     if not found:
         return index.sparkSession.createDataFrame([], kind)
+    with _one_at_a_time(index.sparkSession):
+        held = materialize(reduce(DataFrame.union, found), "hits")
     if len(found) == 1:
-        return found[0]
-    both = reduce(DataFrame.union, found)
-    return both.groupBy("segment", "doc").agg(
+        return held
+    return held.groupBy("segment", "doc").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
