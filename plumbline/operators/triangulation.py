@@ -20,10 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import copies
 from plumbline.operators.regions import Point, ear_clip, inside, signed_area
 
 #: Points of a strip, and strips of a region at most; a region of more points than both allow has larger strips.
 STRIP_POINTS, STRIPS = 50_000, 1024
+#: Corners and points of a region that is a row of a batch.
+SMALL = 128
 EPS = 1e-6
 
 TRIANGLES = "region long, strip int, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double"
@@ -233,16 +236,47 @@ def cover(ring: list[Point], extra: list[Point], seams: list[float] = (), strip:
         yield from (tuple(mesh.points[k] for k in t) for t in mesh.triangles())
 
 
-def region_triangles(rings: DataFrame, points: DataFrame, strip_points: int = STRIP_POINTS, eps: float = EPS) -> DataFrame:
+def region_triangles(rings: DataFrame, points: DataFrame, strip_points: int = STRIP_POINTS, eps: float = EPS, small: int = SMALL) -> DataFrame:
     """rings(region, seq, x, y), points(region, x, y) -> (region, strip, x1, y1 .. y3), one row a triangle.
 
-    A region of more than strip_points points is dealt to as many tasks as it has strips; the ring goes to each of them."""
+    A region of more than strip_points points is dealt to as many tasks as it has strips; the ring goes to each of them. Regions of `small`
+    corners and points at most are rows of a batch, since a group of its own costs more than its triangles."""
     sound = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    count = sound.groupBy("region").agg(F.count("*").alias("n"), F.percentile_approx("x", [k / STRIPS for k in range(1, STRIPS)], 20_000).alias("q"))
+    corners = rings.select("region", F.lit(True).alias("_c"), "seq", "x", "y")
+    both = corners.unionByName(sound.select("region", F.lit(False).alias("_c"), F.lit(None).alias("seq"), "x", "y"))
+    limit = min(small, strip_points)
+    wide = both.groupBy("region").agg(F.count("*").alias("m"), F.count_if(~F.col("_c")).alias("n")).filter(F.col("m") > limit).select("region", "n")
+    few = both.join(copies.spread(wide), "region", "left_anti")
+    return _few_triangles(few, eps).unionByName(_wide_triangles(rings.join(wide, "region", "left_semi"), sound.join(wide, "region"), strip_points, eps))
+
+
+def _few_triangles(rows: DataFrame, eps: float) -> DataFrame:
+    """region_triangles of the corners (_c) and points of regions that have few of them."""
+    corner = F.struct(F.col("seq").isNull().alias("last"), "seq", "x", "y")
+    held = rows.groupBy("region").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_c"), corner))).alias("r"), F.collect_list(F.when(~F.col("_c"), F.struct("x", "y"))).alias("p")
+    ).filter(F.size("r") > 0)
+    axes = [F.col(f"{k}.{d}").cast("array<double>").alias(f"{k}{d}") for k in "rp" for d in "xy"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in TRIANGLES.split(", ")]
+        for b in batches:
+            out = []
+            for region, *at in zip(b["region"].tolist(), b["rx"], b["ry"], b["px"], b["py"]):
+                rx, ry, px, py = (v.tolist() for v in at)
+                out += [(region, 0, *(v for p in t for v in p)) for t in cover(list(zip(rx, ry)), list(zip(px, py)), eps=eps)]
+            yield pd.DataFrame(out, columns=names)
+
+    return held.select("region", *axes).mapInPandas(run, TRIANGLES)
+
+
+def _wide_triangles(rings: DataFrame, points: DataFrame, strip_points: int, eps: float) -> DataFrame:
+    """region_triangles by strips; points have the number n of their region's points."""
+    count = points.groupBy("region").agg(F.first("n").alias("n"), F.percentile_approx("x", [k / STRIPS for k in range(1, STRIPS)], 20_000).alias("q"))
     strips = F.least(F.ceil(F.col("n") / strip_points), F.lit(STRIPS)).cast("int")
     places = F.when(strips > 1, F.transform(F.sequence(F.lit(1), strips - 1), lambda k: F.get("q", F.floor(k * STRIPS / strips).cast("int") - 1)))
     seams = count.select("region", F.array_sort(F.array_distinct(F.coalesce(places, F.array().cast("array<double>")))).alias("seams"))
-    dealt = sound.join(seams, "region").withColumn("strip", F.size(F.filter("seams", lambda s: s <= F.col("x")))).select("region", "strip", "x", "y")
+    dealt = points.join(seams, "region").withColumn("strip", F.size(F.filter("seams", lambda s: s <= F.col("x")))).select("region", "strip", "x", "y")
     every = rings.join(seams, "region", "left").withColumn("seams", F.coalesce("seams", F.array().cast("array<double>")))
     every = every.withColumn("strip", F.explode(F.sequence(F.lit(0), F.size("seams"))))
 
